@@ -232,3 +232,201 @@ def q_continents(spark, d):
 def q_continent_drill(spark, d):
     counts = stats.countries(cm(spark, d), 250).select("country", "count")
     return geo.continent_members(counts, fx.country_continents(spark, d), CONTINENT).drop("bar")
+
+
+# ---- filters, paging, lookups --------------------------------------------------
+from chatlens.operators import explore, profile, tagging  # noqa: E402
+
+PAGE_SPEC = explore.FilterSpec(model="1-URGENT", country="NATION_1")
+
+
+def _listing_str(df):
+    return explore.listing(df).withColumn("tags", F.concat_ws(",", "tags"))
+
+
+@query("conversations_page")
+def q_conversations_page(spark, d):
+    f = explore.apply_filters(cmt(spark, d), PAGE_SPEC, CATS)
+    return _listing_str(explore.page(f, 2, 20))
+
+
+@query("conversations_total")
+def q_conversations_total(spark, d):
+    f = explore.apply_filters(cmt(spark, d), PAGE_SPEC, CATS)
+    return explore.page_totals(f, 2, 20)
+
+
+@query("filter_search")
+def q_filter_search(spark, d):
+    f = explore.apply_filters(cmt(spark, d), explore.FilterSpec(search="AB[0-9]"), CATS)
+    return f.select(F.col("conversation_hash").alias("full_hash"), "model", F.col("turn").alias("turns"))
+
+
+@query("filter_topic")
+def q_filter_topic(spark, d):
+    spec = explore.FilterSpec(topic="Writing", turn_min=3, turn_max=8, redacted_only=True)
+    f = explore.apply_filters(cmt(spark, d), spec, CATS)
+    return f.select(F.col("conversation_hash").alias("full_hash"), "turn", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query("filter_unknown_topic")
+def q_filter_unknown_topic(spark, d):
+    spec = explore.FilterSpec(topic="no such topic", date_from=DATE_FROM, date_to=DATE_TO)
+    return explore.page_totals(explore.apply_filters(cmt(spark, d), spec, CATS), 1, 50)
+
+
+@query("conversation_detail")
+def q_conversation_detail(spark, d):
+    docs = fx.conversation_docs(spark, d)
+    return explore.conversation_detail(docs, "8f14e45fceea167a5a36dedd4bea2543")  # md5('7')
+
+
+# ---- tagging --------------------------------------------------------------------
+DICT = fx.FIXTURE_DICTIONARY
+
+
+def docs(spark, d):
+    return fx.table(spark, d, "documents")
+
+
+@query("flatten_text")
+def q_flatten_text(spark, d):
+    from chatlens.functions.text import flatten_messages
+    c = fx.conversation_docs(spark, d)
+    return c.select("conv_id", flatten_messages("conversation").alias("text"))
+
+
+@query("tag_documents")
+def q_tag_documents(spark, d):
+    t = tagging.tag(docs(spark, d), DICT, text="text")
+    return t.select("doc_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query("tag_conversations")
+def q_tag_conversations(spark, d):
+    t = tagging.tag(fx.conversation_docs(spark, d), DICT, conv="conversation")
+    return t.select("conv_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query("tag_min_hits")
+def q_tag_min_hits(spark, d):
+    t = tagging.tag(docs(spark, d), DICT, text="text", min_hits=2)
+    return t.select("doc_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query("tag_substring")
+def q_tag_substring(spark, d):
+    t = tagging.tag(docs(spark, d), DICT, text="text", mode="substring")
+    return t.select("doc_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query("keyword_report")
+def q_keyword_report(spark, d):
+    r = tagging.keyword_report(docs(spark, d), DICT, "text", "doc_id")
+    return r.select("doc_id", "topic", F.concat_ws(",", "hits").alias("hits"))
+
+
+@query("tag_compare")
+def q_tag_compare(spark, d):
+    dd = docs(spark, d)
+    a = tagging.tag(dd, DICT, text="text", mode="substring")
+    b = tagging.tag(dd, DICT, text="text")
+    return tagging.compare_tags(a, b, "doc_id")
+
+
+@query("tag_histogram_documents")
+def q_tag_histogram_documents(spark, d):
+    return topics.tag_histogram(tagging.tag(docs(spark, d), DICT, text="text"))
+
+
+@query("transcript")
+def q_transcript(spark, d):
+    return tagging.transcript(fx.conversation_docs(spark, d), "conversation_hash")
+
+
+# ---- profiling ------------------------------------------------------------------
+def docs_labels(spark, d):
+    return docs(spark, d).join(fx.table(spark, d, "labels"), "doc_id", "left")
+
+
+@query("null_counts")
+def q_null_counts(spark, d):
+    return profile.null_counts(docs_labels(spark, d))
+
+
+@query("numeric_summary")
+def q_numeric_summary(spark, d):
+    return profile.numeric_summary(docs(spark, d), ["n_chars"])
+
+
+@query("value_counts_lang")
+def q_value_counts_lang(spark, d):
+    return profile.value_counts(docs(spark, d), "lang")
+
+
+@query("value_counts_source_top5")
+def q_value_counts_source(spark, d):
+    return profile.value_counts(docs(spark, d), "source", 5)
+
+
+@query("length_threshold")
+def q_length_threshold(spark, d):
+    return profile.threshold_outliers(docs(spark, d), "n_chars", 10000).select("doc_id", "n_chars")
+
+
+@query("zscore_outliers")
+def q_zscore(spark, d):
+    return profile.zscore_outliers(docs(spark, d), "n_chars", 3).select("doc_id", "n_chars")
+
+
+@query("iqr_outliers_exact")
+def q_iqr_exact(spark, d):
+    return profile.iqr_outliers(docs(spark, d), "n_chars", exact=True).select("doc_id", "n_chars")
+
+
+@query("iqr_outliers_approx")
+def q_iqr_approx(spark, d):
+    return profile.iqr_outliers(docs(spark, d), "n_chars", exact=False).select("doc_id", "n_chars")
+
+
+@query("language_split")
+def q_language_split(spark, d):
+    return profile.share_split(docs(spark, d), "lang", "en")
+
+
+@query("non_english_top")
+def q_non_english_top(spark, d):
+    return profile.top_other_values(docs(spark, d), "lang", "en", 15)
+
+
+@query("sample_exact")
+def q_sample_exact(spark, d):
+    en = docs(spark, d).where(F.col("lang") == "en")
+    return profile.exact_sample(en, "doc_id", 50, 42).select("doc_id", "n_chars")
+
+
+@query("sample_reattach")
+def q_sample_reattach(spark, d):
+    dd = docs(spark, d)
+    s = profile.exact_sample(dd.where(F.col("lang") == "en").select("doc_id", "lang"), "doc_id", 50, 42)
+    return profile.reattach(s, dd, "doc_id", ["source", "n_chars"])
+
+
+@query("duplicate_keys")
+def q_duplicate_keys(spark, d):
+    return profile.duplicate_keys(docs(spark, d), F.sha2(F.col("text"), 256))
+
+
+@query("monthly")
+def q_monthly(spark, d):
+    return profile.monthly_counts(cm(spark, d), "ts")
+
+
+@query("avg_turn_by_model")
+def q_avg_turn_by_model(spark, d):
+    return profile.avg_by(cm(spark, d), "model", "turn")
+
+
+@query("shape")
+def q_shape(spark, d):
+    return profile.shape(docs(spark, d))

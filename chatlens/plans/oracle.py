@@ -298,3 +298,151 @@ FROM cc JOIN dim ON dim.country = cc.country GROUP BY continent""", _CC, _DIM)
 SQL["continent_drill"] = with_cm("""
 SELECT cc.country, cc.count FROM cc JOIN dim ON dim.country = cc.country
 WHERE dim.continent = 'EUROPE' ORDER BY cc.count DESC, cc.country""", _CC, _DIM)
+
+# ---- filters, paging, lookups --------------------------------------------------------
+LISTING = f"""substr(conversation_hash, 1, 8) || '...' AS conversation_hash, conversation_hash AS full_hash,
+       model, language, turn AS turns, country, coalesce(state, '') AS state, redacted, toxic,
+       strftime(ts, {ISO}) AS timestamp, array_to_string(tags, ',') AS tags"""
+PAGE_WHERE = "model = '1-URGENT' AND country = 'NATION_1'"
+SQL["conversations_page"] = with_cm(f"""
+SELECT {LISTING} FROM cm WHERE {PAGE_WHERE} ORDER BY ts, conversation_hash LIMIT 20 OFFSET 20""")
+SQL["conversations_total"] = with_cm(f"""
+SELECT count(*) AS total, 2 AS page, 20 AS per_page, greatest(1, (count(*) + 19) // 20) AS total_pages
+FROM cm WHERE {PAGE_WHERE}""")
+SQL["filter_search"] = with_cm("""
+SELECT conversation_hash AS full_hash, model, turn AS turns FROM cm
+WHERE regexp_matches(conversation_hash, '(?i)AB[0-9]')""")
+_WRITING = "[" + ", ".join(q(t) for t in CATS.resolve("Writing")) + "]"
+SQL["filter_topic"] = with_cm(f"""
+SELECT conversation_hash AS full_hash, turn, array_to_string(tags, ',') AS tags FROM cm
+WHERE redacted AND coalesce(list_has_any(tags, {_WRITING}), FALSE) AND turn >= 3 AND turn <= 8""")
+SQL["filter_unknown_topic"] = with_cm("""
+SELECT count(*) AS total, 1 AS page, 50 AS per_page, greatest(1, (count(*) + 49) // 50) AS total_pages
+FROM cm WHERE ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1998-06-30'""")
+SQL["conversation_detail"] = """
+SELECT md5(CAST(conv_id AS VARCHAR)) AS conversation_hash,
+       CAST(row_number() OVER (ORDER BY turn, role, text) - 1 AS INTEGER) AS pos,
+       coalesce(role, '') AS role, coalesce(text, '') AS content
+FROM conversations WHERE conv_id = 7"""
+
+# ---- tagging ------------------------------------------------------------------------------
+from chatlens.functions.text import re2_pattern  # noqa: E402
+
+DICT = fx.FIXTURE_DICTIONARY
+
+
+def _word_array(t: str) -> str:
+    items = ", ".join(f"CASE WHEN regexp_matches({t}, {q(re2_pattern(kws))}) THEN {q(topic)} END"
+                      for topic, kws in DICT.items())
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def _substring_array(t: str) -> str:
+    items = []
+    for topic, kws in DICT.items():
+        cond = " OR ".join(f"contains({t}, {q(k)})" for k in kws)
+        items.append(f"CASE WHEN {cond} THEN {q(topic)} END")
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def _min_hits_array(t: str, k: int) -> str:
+    items = []
+    for topic, kws in DICT.items():
+        n = " + ".join(f"CAST(regexp_matches({t}, {q(re2_pattern([kw]))}) AS INTEGER)" for kw in kws)
+        items.append(f"CASE WHEN ({n}) >= {k} THEN {q(topic)} END")
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def _tags_of(arr: str, t: str) -> str:
+    return f"CASE WHEN {t} IS NULL OR len({arr}) = 0 THEN ['untagged'] ELSE {arr} END"
+
+
+def doc_tags_sql(array_fn) -> str:
+    return f"""SELECT doc_id, {_tags_of('arr', 't')} AS tags
+FROM (SELECT doc_id, t, {array_fn('t')} AS arr FROM (SELECT doc_id, lower(text) AS t FROM documents))"""
+
+
+CONV_TEXT = """conv AS (SELECT conv_id,
+    lower(coalesce(string_agg(text, ' ' ORDER BY turn, role, text) FILTER (WHERE text IS NOT NULL AND text <> ''), '')) AS text,
+    lower(string_agg(coalesce(text, ''), ' ' ORDER BY turn, role, text)) AS full_text
+  FROM conversations GROUP BY conv_id)"""
+
+SQL["flatten_text"] = f"WITH {CONV_TEXT} SELECT conv_id, text FROM conv"
+SQL["tag_documents"] = f"SELECT doc_id, array_to_string(tags, ',') AS tags FROM ({doc_tags_sql(_word_array)})"
+SQL["tag_conversations"] = f"""WITH {CONV_TEXT}
+SELECT conv_id, array_to_string({_tags_of('arr', 'full_text')}, ',') AS tags
+FROM (SELECT conv_id, full_text, {_word_array('full_text')} AS arr FROM conv)"""
+SQL["tag_min_hits"] = f"SELECT doc_id, array_to_string(tags, ',') AS tags FROM ({doc_tags_sql(lambda t: _min_hits_array(t, 2))})"
+SQL["tag_substring"] = f"SELECT doc_id, array_to_string(tags, ',') AS tags FROM ({doc_tags_sql(_substring_array)})"
+
+_reports = []
+for _topic, _kws in DICT.items():
+    _lst = "[" + ", ".join(q(k) for k in _kws) + "]"
+    _hits = f"list_filter({_lst}, lambda k: contains(lower(text), k))"
+    _reports.append(f"SELECT doc_id, {q(_topic)} AS topic, array_to_string({_hits}, ',') AS hits "
+                    f"FROM documents WHERE len({_hits}) > 0")
+SQL["keyword_report"] = "\nUNION ALL\n".join(_reports)
+
+SQL["tag_compare"] = f"""
+WITH a AS (SELECT doc_id, unnest(tags) AS topic FROM ({doc_tags_sql(_substring_array)})),
+     b AS (SELECT doc_id, unnest(tags) AS topic FROM ({doc_tags_sql(_word_array)})),
+     j AS (SELECT coalesce(a.topic, b.topic) AS topic, a.doc_id IS NOT NULL AS in_a, b.doc_id IS NOT NULL AS in_b
+           FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.topic = b.topic)
+SELECT topic, count_if(in_a AND NOT in_b) AS removed, count_if(in_b AND NOT in_a) AS added,
+       count_if(in_a AND in_b) AS kept
+FROM j GROUP BY topic"""
+SQL["tag_histogram_documents"] = f"""
+SELECT tag, count(*) AS count FROM (SELECT unnest(list_distinct(tags)) AS tag FROM ({doc_tags_sql(_word_array)}))
+GROUP BY tag"""
+SQL["transcript"] = """
+SELECT md5(CAST(conv_id AS VARCHAR)) AS conversation_hash,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS pos,
+       '[' || upper(coalesce(role, 'unknown')) || ']: ' || coalesce(text, '') AS line
+FROM conversations"""
+
+# ---- profiling ------------------------------------------------------------------------------
+_DL = "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
+SQL["null_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM {_DL}"
+    for c in ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"])
+SQL["numeric_summary"] = """
+SELECT 'n_chars' AS column, count(n_chars) AS count, sum(n_chars) / count(n_chars) AS mean,
+       round(stddev_samp(n_chars), 6) AS std, CAST(min(n_chars) AS DOUBLE) AS min,
+       quantile_cont(n_chars, 0.25) AS q25, quantile_cont(n_chars, 0.5) AS q50,
+       quantile_cont(n_chars, 0.75) AS q75, CAST(max(n_chars) AS DOUBLE) AS max
+FROM documents"""
+SQL["value_counts_lang"] = "SELECT lang, count(*) AS count FROM documents WHERE lang IS NOT NULL GROUP BY lang"
+SQL["value_counts_source_top5"] = """
+SELECT source, count(*) AS count FROM documents WHERE source IS NOT NULL GROUP BY source
+ORDER BY count DESC, source LIMIT 5"""
+SQL["length_threshold"] = "SELECT doc_id, n_chars FROM documents WHERE n_chars > 10000"
+SQL["zscore_outliers"] = """
+SELECT doc_id, n_chars FROM documents,
+  (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS s FROM documents) st
+WHERE abs((n_chars - st.m) / st.s) > 3"""
+SQL["iqr_outliers_exact"] = """
+SELECT doc_id, n_chars FROM documents,
+  (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM documents) b
+WHERE n_chars < b.q1 - 1.5 * (b.q3 - b.q1) OR n_chars > b.q3 + 1.5 * (b.q3 - b.q1)"""
+SQL["language_split"] = f"""
+SELECT CASE WHEN is_value THEN 'en' ELSE 'other' END AS "group", count,
+       {pct('count', '(SELECT count(*) FROM documents)', 1)} AS pct
+FROM (SELECT coalesce(lang = 'en', FALSE) AS is_value, count(*) AS count FROM documents GROUP BY 1)"""
+SQL["non_english_top"] = """
+SELECT lang, count(*) AS count FROM documents WHERE lang IS NOT NULL AND lang IS DISTINCT FROM 'en'
+GROUP BY lang ORDER BY count DESC, lang LIMIT 15"""
+_SAMPLE = """(SELECT doc_id, lang FROM documents WHERE lang = 'en'
+   ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id LIMIT 50)"""
+SQL["sample_exact"] = """
+SELECT doc_id, n_chars FROM documents WHERE lang = 'en'
+ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id LIMIT 50"""
+SQL["sample_reattach"] = f"""
+SELECT s.doc_id, s.lang, d.source, d.n_chars FROM {_SAMPLE} s LEFT JOIN documents d ON d.doc_id = s.doc_id"""
+SQL["duplicate_keys"] = """
+SELECT sha256(text) AS key, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1"""
+SQL["monthly"] = with_cm("""
+SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS count FROM cm
+WHERE ts IS NOT NULL GROUP BY 1""")
+SQL["avg_turn_by_model"] = with_cm(f"""
+SELECT model, {mean('sum(turn)', 'count(turn)', 2)} AS avg_turn FROM cm WHERE model IS NOT NULL GROUP BY model""")
+SQL["shape"] = "SELECT count(*) AS rows, 5 AS columns FROM documents"

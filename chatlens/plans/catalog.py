@@ -430,3 +430,165 @@ def q_avg_turn_by_model(spark, d):
 @query("shape")
 def q_shape(spark, d):
     return profile.shape(docs(spark, d))
+
+
+# ---- user tags and side tables ---------------------------------------------------
+from chatlens.operators import ingest, translate, user_tags  # noqa: E402
+
+
+def assignments(spark, d):
+    return user_tags.match_keywords(cmt(spark, d), fx.user_tags(spark))
+
+
+@query("user_tag_match")
+def q_user_tag_match(spark, d):
+    return assignments(spark, d)
+
+
+@query("user_tag_match_literal")
+def q_user_tag_match_literal(spark, d):
+    return user_tags.match_keywords(cmt(spark, d), fx.user_tags(spark), literal=True)
+
+
+@query("user_tag_counts")
+def q_user_tag_counts(spark, d):
+    return user_tags.match_counts(assignments(spark, d), fx.user_tags(spark))
+
+
+@query("tags_for_conversation")
+def q_tags_for_conversation(spark, d):
+    t = user_tags.tags_for(assignments(spark, d), fx.user_tags(spark), user_id=1)
+    return t.select("conversation_hash", "tag_id", "name")
+
+
+@query("user_tag_countries")
+def q_user_tag_countries(spark, d):
+    keys = user_tags.hashes_of(assignments(spark, d), 3)
+    return topics.keyset_countries(cmt(spark, d), keys)
+
+
+@query("user_tag_page")
+def q_user_tag_page(spark, d):
+    keys = user_tags.hashes_of(assignments(spark, d), 5)
+    f = explore.by_keys(cmt(spark, d), keys)
+    return _listing_str(explore.page(f, 3, 25))
+
+
+@query("duplicate_tag_names")
+def q_duplicate_tag_names(spark, d):
+    return user_tags.duplicate_tag_names(fx.user_tags(spark)).select(
+        "user_id", "name_key", "count", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"))
+
+
+@query("history_newest")
+def q_history_newest(spark, d):
+    h = user_tags.newest_per_user(fx.history(spark, d), 5)
+    return h.select("id", "user_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), "rank")
+
+
+@query("notes_newest")
+def q_notes_newest(spark, d):
+    n = user_tags.latest(fx.notes(spark, d), 500, "created_at", "id", user_id=7)
+    return n.select("id", "conversation_hash", "text")
+
+
+@query("annotations_oldest")
+def q_annotations_oldest(spark, d):
+    a = user_tags.annotations_for(fx.notes(spark, d), 3)
+    return a.select("id", "text")
+
+
+@query("etl_runs_latest")
+def q_etl_runs_latest(spark, d):
+    r = user_tags.latest(fx.etl_runs(spark, d), 20, "ran_at", "id")
+    return r.select("id", "status", "rows_processed", "errors")
+
+
+@query("purge_user")
+def q_purge_user(spark, d):
+    keep, removed = user_tags.purge_user(fx.history(spark, d), 5)
+    return removed.select("deleted", keep.select(F.count(F.lit(1))).scalar().alias("remaining"))
+
+
+@query("activity_clean")
+def q_activity_clean(spark, d):
+    a = user_tags.clean_activity(fx.activity(spark, d), 100)
+    return a.select("id", "type", "event_id")
+
+
+@query("session_history")
+def q_session_history(spark, d):
+    a = user_tags.clean_activity(fx.activity(spark, d), 100)
+    return user_tags.session_history(a, 10).select("id", "type", "event_id")
+
+
+# ---- translation -------------------------------------------------------------------
+def stub_responses(requests: DataFrame) -> DataFrame:
+    """Deterministic stand-in for a translation service, derived from each
+    request: clean JSON, fenced JSON, truncated JSON, an API error, or no
+    answer, chosen by the request's document number."""
+    conv = F.from_json("conv_json", "array<struct<role:string,content:string>>")
+    good = F.to_json(F.transform(conv, lambda m: F.struct(m["role"].alias("role"),
+                                                          F.concat(F.lit("EN: "), m["content"]).alias("content"))))
+    kind = F.col("doc_id") % 10
+    raw = (F.when(kind == 2, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+            .when(kind == 3, F.substring(good, 1, 40))
+            .when(kind == 0, F.lit(None))
+            .otherwise(good))
+    err = F.when(kind == 0, F.lit("overloaded_error: service busy"))
+    return (requests.where(kind != 1)
+                    .select("custom_id", raw.alias("raw"), err.alias("error")))
+
+
+def tr_requests(spark, d):
+    dc = fx.document_conversations(spark, d)
+    req = translate.translation_requests(dc)
+    ids = dc.select("conversation_hash", "doc_id")
+    return req.join(ids, "conversation_hash")
+
+
+@query("translate_requests")
+def q_translate_requests(spark, d):
+    r = tr_requests(spark, d)
+    return r.select("conversation_hash", "doc_id", "prompt")
+
+
+@query("translate_outcomes")
+def q_translate_outcomes(spark, d):
+    r = tr_requests(spark, d)
+    o = translate.classify_responses(r, stub_responses(r))
+    return o.select("conversation_hash", "status", "error_text")
+
+
+@query("translate_summary")
+def q_translate_summary(spark, d):
+    r = tr_requests(spark, d)
+    return translate.outcome_summary(translate.classify_responses(r, stub_responses(r)))
+
+
+@query("translate_rebuild")
+def q_translate_rebuild(spark, d):
+    dc = fx.document_conversations(spark, d)
+    r = tr_requests(spark, d)
+    o = translate.classify_responses(r, stub_responses(r))
+    out = translate.rebuild(dc, o)
+    return out.select("doc_id", "language",
+                      F.col("conversation_en").isNotNull().alias("translated"),
+                      F.coalesce(F.col("conversation_en")[0]["content"], F.lit("")).alias("first_en"))
+
+
+# ---- keyed load -------------------------------------------------------------------
+@query("first_wins_load")
+def q_first_wins_load(spark, d):
+    """Load conversations keyed by text hash: first document (by id) per distinct
+    text into a target already holding the first 'src0' documents."""
+    dd = docs(spark, d).select(F.sha2("text", 256).alias("conversation_hash"), "doc_id", "source", "lang")
+    target = ingest.first_wins(dd.where(F.col("source") == "src0"), "conversation_hash", ["doc_id"])
+    return ingest.first_wins_load(dd, target, "conversation_hash", ["doc_id"], defaults=False)
+
+
+@query("anti_new_keys")
+def q_anti_new_keys(spark, d):
+    o = fx.table(spark, d, "orders").select("o_orderkey")
+    li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return ingest.new_keys(o, li, "o_orderkey")

@@ -446,3 +446,130 @@ WHERE ts IS NOT NULL GROUP BY 1""")
 SQL["avg_turn_by_model"] = with_cm(f"""
 SELECT model, {mean('sum(turn)', 'count(turn)', 2)} AS avg_turn FROM cm WHERE model IS NOT NULL GROUP BY model""")
 SQL["shape"] = "SELECT count(*) AS rows, 5 AS columns FROM documents"
+
+# ---- user tags and side tables ----------------------------------------------------------------
+def _list(v):
+    return "[" + ", ".join(q(x) for x in v) + "]::VARCHAR[]"
+
+
+_UT_ROWS = ", ".join(f"({a}, {b}, {q(c)}, {q(d)}, {_list(e)})" for a, b, c, d, e in fx.USER_TAGS)
+UT = f"ut AS (SELECT * FROM (VALUES {_UT_ROWS}) AS t(tag_id, user_id, name, color, keywords))"
+KW = """kw AS (SELECT DISTINCT tag_id, lower(trim(k)) AS kw
+          FROM (SELECT tag_id, unnest(keywords) AS k FROM ut) WHERE lower(trim(k)) <> '')"""
+
+
+def _assign(literal: bool = False) -> str:
+    fields = ["lower(cm.model)", "lower(cm.language)", "lower(cm.country)",
+              "lower(array_to_string(cm.tags, ' '))"]
+    if literal:
+        cond = " OR ".join(f"contains({f}, kw.kw)" for f in fields)
+    else:
+        cond = " OR ".join(f"{f} LIKE '%' || kw.kw || '%'" for f in fields)
+    return f"""assign AS (SELECT DISTINCT kw.tag_id, cm.conversation_hash FROM cm JOIN kw ON ({cond}))"""
+
+
+SQL["user_tag_match"] = with_cm("SELECT tag_id, conversation_hash FROM assign", UT, KW, _assign())
+SQL["user_tag_match_literal"] = with_cm("SELECT tag_id, conversation_hash FROM assign", UT, KW, _assign(True))
+SQL["user_tag_counts"] = with_cm("""
+SELECT ut.tag_id, ut.user_id, ut.name, coalesce(c.n, 0) AS match_count
+FROM ut LEFT JOIN (SELECT tag_id, count(*) AS n FROM assign GROUP BY tag_id) c ON c.tag_id = ut.tag_id""",
+    UT, KW, _assign())
+SQL["tags_for_conversation"] = with_cm("""
+SELECT a.conversation_hash, a.tag_id, ut.name FROM assign a JOIN ut ON ut.tag_id = a.tag_id
+WHERE ut.user_id = 1""", UT, KW, _assign())
+SQL["user_tag_countries"] = with_cm(f"""
+SELECT country, n AS count, {pct('n', 'total', 1)} AS pct
+FROM (SELECT country, count_if(conversation_hash IN (SELECT conversation_hash FROM assign WHERE tag_id = 3)) AS n,
+             count(*) AS total
+      FROM cm WHERE country IS NOT NULL GROUP BY country) WHERE n > 0""", UT, KW, _assign())
+SQL["user_tag_page"] = with_cm(f"""
+SELECT {LISTING} FROM cm WHERE conversation_hash IN (SELECT conversation_hash FROM assign WHERE tag_id = 5)
+ORDER BY ts, conversation_hash LIMIT 25 OFFSET 50""", UT, KW, _assign())
+SQL["duplicate_tag_names"] = f"""
+WITH {UT}
+SELECT user_id, lower(trim(name)) AS name_key, count(*) AS count,
+       array_to_string(list(CAST(tag_id AS VARCHAR) ORDER BY tag_id), ',') AS tag_ids
+FROM ut GROUP BY user_id, lower(trim(name)) HAVING count(*) > 1"""
+SQL["history_newest"] = """
+SELECT id, user_id, created_at, rank FROM (
+  SELECT event_id AS id, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS created_at,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank
+  FROM events) WHERE rank <= 5"""
+SQL["notes_newest"] = """
+SELECT event_id AS id, md5(CAST(event_id % 1000 AS VARCHAR)) AS conversation_hash, props AS text
+FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 500"""
+SQL["annotations_oldest"] = """
+SELECT event_id AS id, props AS text FROM events WHERE user_id = 3 ORDER BY ts, event_id"""
+SQL["etl_runs_latest"] = """
+SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
+       user_id AS rows_processed, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS errors
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 20"""
+SQL["purge_user"] = """
+SELECT count_if(user_id = 5) AS deleted, count_if(user_id IS DISTINCT FROM 5) AS remaining FROM events"""
+ACT = """act AS (
+  SELECT id, type, ts, event_id FROM (
+    SELECT concat_ws('-', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m%d%H')) AS id,
+           CASE WHEN event_type IN ('click', 'view') THEN 'filter' ELSE event_type END AS type,
+           ts, event_id,
+           row_number() OVER (PARTITION BY concat_ws('-', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m%d%H'))
+                              ORDER BY ts DESC, event_id DESC) AS rn
+    FROM events WHERE user_id % 3 <> 0) WHERE rn = 1
+  ORDER BY ts DESC, event_id DESC LIMIT 100)"""
+SQL["activity_clean"] = f"WITH {ACT} SELECT id, type, event_id FROM act"
+SQL["session_history"] = f"""WITH {ACT}
+SELECT id, type, event_id FROM act WHERE type IN ('filter', 'country') ORDER BY ts DESC, event_id DESC LIMIT 10"""
+
+# ---- translation -------------------------------------------------------------------------------
+from chatlens.operators.translate import PROMPT  # noqa: E402
+
+DC = """dc AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS conversation_hash, doc_id, text,
+              CASE WHEN lang = 'en' THEN 'English' ELSE lang END AS language,
+              CAST(to_json([{'role': 'user', 'content': text}]) AS VARCHAR) AS conv_json FROM documents)"""
+REQ = "req AS (SELECT * FROM dc WHERE language IS DISTINCT FROM 'English')"
+_FENCE_RE2 = r"```(?:json)?\s*([\s\S]+?)```"
+RESP = f"""resp AS (
+  SELECT conversation_hash, doc_id,
+         CASE WHEN doc_id % 10 = 2 THEN '```json' || chr(10) || good || chr(10) || '```'
+              WHEN doc_id % 10 = 3 THEN substr(good, 1, 40)
+              WHEN doc_id % 10 = 0 THEN NULL ELSE good END AS raw,
+         CASE WHEN doc_id % 10 = 0 THEN 'overloaded_error: service busy' END AS error,
+         doc_id % 10 <> 1 AS answered
+  FROM (SELECT *, CAST(to_json([{{'role': 'user', 'content': 'EN: ' || text}}]) AS VARCHAR) AS good FROM req))"""
+OUT = f"""outc AS (
+  SELECT conversation_hash, doc_id, raw, error, answered,
+         CASE WHEN regexp_matches(t, {q(_FENCE_RE2)})
+              THEN regexp_replace(regexp_extract(t, {q(_FENCE_RE2)}, 1), '^\\s+|\\s+$', '', 'g') ELSE t END AS cleaned
+  FROM (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM resp)),
+st AS (
+  SELECT conversation_hash, doc_id, cleaned,
+         CASE WHEN answered AND error IS NOT NULL THEN 'api_error'
+              WHEN NOT answered OR raw IS NULL THEN 'missing'
+              WHEN json_valid(cleaned) THEN 'clean' ELSE 'parse_error' END AS status,
+         raw, error
+  FROM outc)"""
+SQL["translate_requests"] = f"""WITH {DC}, {REQ}
+SELECT conversation_hash, doc_id, {q(PROMPT + chr(10) + chr(10))} || conv_json AS prompt FROM req"""
+SQL["translate_outcomes"] = f"""WITH {DC}, {REQ}, {RESP}, {OUT}
+SELECT conversation_hash, status,
+       CASE WHEN status = 'api_error' THEN error
+            WHEN status = 'parse_error' THEN 'JSONDecodeError | raw[:300]: ' || substr(raw, 1, 300) END AS error_text
+FROM st"""
+SQL["translate_summary"] = f"""WITH {DC}, {REQ}, {RESP}, {OUT}
+SELECT s.status, coalesce(c.n, 0) AS count
+FROM (VALUES ('clean'), ('api_error'), ('parse_error'), ('missing')) AS s(status)
+LEFT JOIN (SELECT status, count(*) AS n FROM st GROUP BY status) c ON c.status = s.status"""
+SQL["translate_rebuild"] = f"""WITH {DC}, {REQ}, {RESP}, {OUT}
+SELECT dc.doc_id, dc.language, coalesce(st.status = 'clean', FALSE) AS translated,
+       coalesce(CASE WHEN st.status = 'clean' THEN json_extract_string(st.cleaned, '$[0].content') END, '') AS first_en
+FROM dc LEFT JOIN st ON st.doc_id = dc.doc_id"""
+
+# ---- keyed load -----------------------------------------------------------------------------------
+SQL["first_wins_load"] = """
+WITH dd AS (SELECT sha256(text) AS conversation_hash, doc_id, source, lang FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY conversation_hash ORDER BY doc_id) AS rn
+      FROM dd WHERE conversation_hash IS NOT NULL)
+SELECT conversation_hash, doc_id, source, lang FROM f
+WHERE rn = 1 AND conversation_hash NOT IN (SELECT conversation_hash FROM dd
+                                            WHERE source = 'src0' AND conversation_hash IS NOT NULL)"""
+SQL["anti_new_keys"] = """
+SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)"""

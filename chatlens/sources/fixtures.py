@@ -174,3 +174,23 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("language"))
     return e.select(ident.alias("id"), typ.alias("type"), F.col("props").alias("label"),
                     F.col("ts"), filters.alias("filters"), F.col("event_id"))
+
+
+# User keyword tags (parameters of the tag queries; the matching runs over the
+# whole conversation table).  Covers: a model keyword, a language keyword and a
+# country substring, a ``_`` wildcard matching across a tag border, an explicit
+# ``%``, a keyword spanning two tags, an empty keyword list, names that differ
+# only by case and spaces.
+USER_TAGS = [
+    (1, 1, "Urgent", "#e11d48", ["urgent"]),
+    (2, 1, "building", "#2563eb", ["Building", " nation_1 "]),
+    (3, 2, "brand 2x", "#16a34a", ["brand#2_"]),
+    (4, 2, "Empty", "#9ca3af", []),
+    (5, 3, "High", "#f59e0b", ["%high%"]),
+    (6, 1, "urgent ", "#7c3aed", ["#13 brand#1"]),
+]
+
+
+def user_tags(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        USER_TAGS, "tag_id int, user_id int, name string, color string, keywords array<string>")

@@ -68,7 +68,7 @@ def log_run(spark: SparkSession, path: str, rows: int, status: str, errors: int,
     """IO12: append one run-log row (duration 2 dp, notes cut to 500 chars)."""
     import datetime
     import uuid
-    row = [(run_id or uuid.uuid4().hex, datetime.datetime.utcnow().replace(microsecond=0), int(rows),
+    row = [(run_id or uuid.uuid4().hex, datetime.datetime.now(datetime.timezone.utc).replace(microsecond=0, tzinfo=None), int(rows),
             status, int(errors), round(float(seconds), 2), (notes or "")[:500])]
     spark.createDataFrame(row, RUN_LOG_SCHEMA).write.mode("append").parquet(path)
 

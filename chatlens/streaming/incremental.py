@@ -70,17 +70,24 @@ def stream_first_wins(spark: SparkSession, in_dir: str, target: str, checkpoint:
     return w.start()
 
 
+def _event_time(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; naive times are read as UTC (the session zone)."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df
+
+
 def dedupe_stream(df: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """ST3: drop repeated keys that arrive within the watermark delay."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return _event_time(df, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def event_time_counts(df: DataFrame, ts: str, dims: list[str], size: str = "1 hour",
                       delay: str = "10 minutes") -> DataFrame:
     """ST4: counts per tumbling window and dimension; append mode emits a
     window once the watermark passes its end."""
-    return (df.withWatermark(ts, delay)
+    return (_event_time(df, ts).withWatermark(ts, delay)
               .groupBy(F.window(ts, size).alias("w"), *dims)
               .agg(F.count(F.lit(1)).alias("count"))
-              .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      *dims, "count"))
+              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), *dims, "count"))

@@ -90,3 +90,52 @@ def flatten_messages(conv: Column | str, field: str = "content",
     else:
         parts = F.transform(contents, lambda x: F.coalesce(x, F.lit("")))
     return F.lower(F.concat_ws(" ", parts))
+
+
+# Non-word run used to split text into tokens; the complement of _WORD.
+TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
+
+
+def keyword_kind(keyword: str) -> str:
+    """How a keyword can be matched exactly without a regex scan.
+
+    * ``token``: only letters/digits/underscore with boundaries on both edges -
+      it occurs iff it equals one token of the text split on non-word runs;
+    * ``substring``: no boundary on either edge - a plain substring test;
+    * ``regex``: anything else (phrases, inner punctuation, one-sided edges).
+    """
+    k = keyword.lower()
+    left, right = _edge_is_word(k[0]), _edge_is_word(k[-1])
+    if left and right and re.fullmatch(r"[\w]+", k) and all(c.isalnum() or c == "_" for c in k):
+        return "token"
+    if not left and not right:
+        return "substring"
+    return "regex"
+
+
+def keyword_hit(text: Column, tokens: Column, keywords) -> Column:
+    """True when any keyword occurs in ``text`` (lower-case) under the boundary
+    rule; ``tokens`` is ``split(text, TOKEN_SPLIT)``.  Exactly the found / not
+    found result of the combined regex, with regex work only for keywords that
+    need it (and only on rows that contain one of them as a substring)."""
+    kws = [k.lower() for k in keywords if k]
+    tok = [k for k in kws if keyword_kind(k) == "token"]
+    sub = [k for k in kws if keyword_kind(k) == "substring"]
+    rx = [k for k in kws if keyword_kind(k) == "regex"]
+    conds = []
+    if tok:
+        conds.append(F.coalesce(F.arrays_overlap(tokens, F.array(*[F.lit(k) for k in tok])), F.lit(False)))
+    for k in sub:
+        conds.append(text.contains(k))
+    if rx:
+        pre = None
+        for k in rx:
+            c = text.contains(k)
+            pre = c if pre is None else (pre | c)
+        conds.append(pre & text.rlike(java_pattern(rx)))
+    if not conds:
+        return F.lit(False)
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out

@@ -14,24 +14,35 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.functions.text import flatten_messages, topic_patterns
+from chatlens.functions.text import (TOKEN_SPLIT, flatten_messages, keyword_hit,
+                                     topic_patterns)
 from chatlens.schema import CONV, TAGS
 
 UNTAGGED = "untagged"
 
 
-def topic_array(text: Column, dictionary: dict, mode: str = "word", min_hits: int = 1) -> Column:
+def topic_array(text: Column, dictionary: dict, mode: str = "word", min_hits: int = 1,
+                tokens: Column | None = None) -> Column:
     """Array of topics whose keywords occur in ``text`` (already lower-case),
-    in dictionary order; empty when none."""
+    in dictionary order; empty when none.
+
+    Word mode: a topic is found through ``functions.text.keyword_hit`` (token
+    membership / substring / pre-filtered regex).  With ``min_hits > 1`` the
+    distinct matches of the topic's regex are counted, only on rows where the
+    topic was found at all.
+    """
     items = []
     if mode == "word":
-        for topic, p in topic_patterns(dictionary).items():
-            if not p:
+        if tokens is None:
+            tokens = F.split(text, TOKEN_SPLIT)
+        pats = topic_patterns(dictionary)
+        for topic, kws in dictionary.items():
+            if not pats.get(topic):
                 continue
-            if min_hits <= 1:
-                hit = text.rlike(p)
-            else:
-                hit = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))) >= min_hits
+            hit = keyword_hit(text, tokens, kws)
+            if min_hits > 1:
+                n = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pats[topic]), F.lit(0))))
+                hit = F.when(hit, n >= min_hits).otherwise(F.lit(False))
             items.append(F.when(hit, F.lit(topic)))
     elif mode == "substring":
         # older variant: keywords used as written, so upper-case ones never hit
@@ -46,12 +57,13 @@ def topic_array(text: Column, dictionary: dict, mode: str = "word", min_hits: in
         raise ValueError("mode must be 'word' or 'substring'")
     if not items:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*items))
 
 
-def tag_text(text: Column, dictionary: dict, mode: str = "word", min_hits: int = 1) -> Column:
+def tag_text(text: Column, dictionary: dict, mode: str = "word", min_hits: int = 1,
+             tokens: Column | None = None) -> Column:
     """TG3-TG6 on a text column: topics, or ``['untagged']`` for none / null / empty."""
-    arr = topic_array(text, dictionary, mode, min_hits)
+    arr = topic_array(text, dictionary, mode, min_hits, tokens)
     empty = text.isNull() | (F.size(arr) == 0)
     return F.when(empty, F.array(F.lit(UNTAGGED))).otherwise(arr)
 
@@ -62,12 +74,22 @@ def tag(df: DataFrame, dictionary: dict, text: str | None = None, conv: str = CO
     (TG1 flattening: every message's content joined by a space)."""
     if text is not None:
         t = F.lower(F.col(text))
-        df = df.withColumn("_t", t)
-        res = df.withColumn(out, tag_text(F.col("_t"), dictionary, mode, min_hits)).drop("_t")
-        return res
-    t = F.when(F.size(F.col(conv)) > 0, flatten_messages(conv, skip_empty=False))
+    else:
+        t = F.when(F.size(F.col(conv)) > 0, flatten_messages(conv, skip_empty=False))
+    # text and tokens are computed once per row (separate projection, not
+    # re-evaluated per topic)
     df = df.withColumn("_t", t)
-    return df.withColumn(out, tag_text(F.col("_t"), dictionary, mode, min_hits)).drop("_t")
+    if mode == "word":
+        df = df.withColumn("_tok", F.split(F.col("_t"), TOKEN_SPLIT))
+        tokens = F.col("_tok")
+    else:
+        tokens = None
+    # the topic array is its own column so the emptiness test does not
+    # re-evaluate every topic test
+    df = df.withColumn("_arr", topic_array(F.col("_t"), dictionary, mode, min_hits, tokens))
+    empty = F.col("_t").isNull() | (F.size("_arr") == 0)
+    return (df.withColumn(out, F.when(empty, F.array(F.lit(UNTAGGED))).otherwise(F.col("_arr")))
+              .drop("_t", "_tok", "_arr"))
 
 
 def keyword_report(df: DataFrame, dictionary: dict, text: str, id_col: str) -> DataFrame:

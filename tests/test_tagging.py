@@ -8,7 +8,7 @@ from chatlens.operators import tagging
 from chatlens.sources import fixtures as fx
 
 DICT = {"python": ["python", "c++", "Lua编程"], "teen": ["tween"], "shout": ["!!"],
-        "sql": ["select", "from", "inner join"]}
+        "sql": ["select", "from", "inner join"], "accent": ["é", "ïve"], "mixed": ["x", "_a"]}
 
 
 def brute_tags(text, dictionary, min_hits=1):
@@ -30,7 +30,9 @@ def brute_tags(text, dictionary, min_hits=1):
 
 
 CASES = ["use python please", "用python写", "épython", "between us", "c++ code", "lua编程 tutorial",
-         "wow!!", "SELECT * FROM t", "python and lua编程 and python", "", None, "tweens", "a tween"]
+         "wow!!", "SELECT * FROM t", "python and lua编程 and python", "", None, "tweens", "a tween",
+         "python_3 python3 python's", "(python)", "inner  join", "inner join", "xc++", "c++x", "tween-age",
+         "Python\nSelect", "ÉPYTHON", "naïve python", "innerjoin from"]
 
 
 @pytest.mark.parametrize("min_hits", [1, 2])
@@ -43,7 +45,8 @@ def test_word_tagger_matches_brute_force(spark, min_hits):
 
 def test_boundary_cases(spark):
     df = spark.createDataFrame([(t,) for t in CASES[:5]], "text string")
-    got = [list(r.tags) for r in tagging.tag(df, DICT, text="text").collect()]
+    base = {k: DICT[k] for k in ("python", "teen", "shout", "sql")}
+    got = [list(r.tags) for r in tagging.tag(df, base, text="text").collect()]
     assert got == [["python"], ["untagged"], ["untagged"], ["untagged"], ["python"]]
 
 
@@ -53,7 +56,8 @@ def test_conversation_input(spark):
             (2, []), (3, None), (4, [("user", None), ("assistant", "tween")]),
             (5, [("user", "inner"), ("assistant", "join")])]   # keyword across a message seam
     df = spark.createDataFrame(rows, schema)
-    got = {r.id: list(r.tags) for r in tagging.tag(df, DICT).collect()}
+    base = {k: DICT[k] for k in ("python", "teen", "shout", "sql")}
+    got = {r.id: list(r.tags) for r in tagging.tag(df, base).collect()}
     assert got == {1: ["python"], 2: ["untagged"], 3: ["untagged"], 4: ["teen"], 5: ["sql"]}
 
 

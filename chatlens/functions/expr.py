@@ -66,3 +66,20 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
                 .drop("_r1", "_salt"))
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+
+
+def hash_ip(ip) -> Column:
+    """SC8: SHA-256 hex of an address; null or empty gives null."""
+    c = _c(ip)
+    return F.when(c.isNotNull() & (c != ""), F.sha2(c, 256))
+
+
+def log_ratio(count, max_count) -> Column:
+    """SC5: ``log1p(count) / log1p(max)`` (1 when the maximum is at most 1)."""
+    c, m = _c(count), _c(max_count)
+    return F.when(m > 1, F.log1p(c) / F.log1p(m)).otherwise(F.lit(1.0))
+
+
+def intensity(value, max_value, gamma: float = 0.6) -> Column:
+    """SC5: ``(value / max) ** gamma`` heat intensity with ``max`` at least 1."""
+    return F.pow(_c(value) / F.greatest(_c(max_value), F.lit(1)), F.lit(gamma))

@@ -139,3 +139,15 @@ def keyword_hit(text: Column, tokens: Column, keywords) -> Column:
     for c in conds[1:]:
         out = out | c
     return out
+
+
+def tags_to_json(tags) -> Column:
+    """TG9: tag array -> JSON text (as stored by the tagger)."""
+    c = F.col(tags) if isinstance(tags, str) else tags
+    return F.to_json(c)
+
+
+def tags_from_json(text) -> Column:
+    """TG9: JSON text -> tag array; malformed or non-array JSON gives null."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.from_json(c, "array<string>")

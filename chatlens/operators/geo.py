@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.functions.expr import mean_round, pct
@@ -58,44 +58,74 @@ def continent_members(country_counts: DataFrame, dim: DataFrame, name: str) -> D
              .orderBy(F.desc("count"), F.asc("country")))
 
 
-def resolve_regions(names: DataFrame, items: DataFrame, aliases: DataFrame,
-                    affixes: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """JN10: map data region names to map items of the same country.
+def _norm_key(c) -> Column:
+    """Apostrophes removed, trimmed, compared accent- and case-insensitively."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.collate(F.trim(F.regexp_replace(x, "['’ʼ`]", "")), "UNICODE_CI_AI")
 
-    Rules, the first that hits wins: exact name; alias table; accent-,
-    apostrophe- and case-insensitive equality; country-specific affix rules
-    ``(country, prefix, suffix)`` applied to the data name.  All rules are
-    equi-joins on ``(country, normalised name)``; the winner per region comes
-    from a ``min_by`` on the rule rank (no window over a hot country).
+
+def resolve_regions(names: DataFrame, items: DataFrame, aliases: DataFrame | None = None,
+                    rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """JN10: map region names (of a map) to data items (states) of the same country.
+
+    Rules, the first that hits wins: (1) exact name; (2) alias table;
+    (3) accent-, apostrophe- and case-insensitive equality; (10+i) the i-th
+    country rule ``(country, operation, text)`` (``dims.REGION_AFFIX_RULES``).
+    Every rule is an equi-join on (country, key); the winner per name is a
+    ``min_by`` on the rule rank (an aggregation, no window).
 
     ``names``: (country, name); ``items``: (country, item); ``aliases``:
-    (country, alias, name) meaning data name ``alias`` is item ``name``.
+    (country, alias, name) meaning map name ``alias`` is item ``name``.
+    Returns (country, name, item, rule) with null item and rule for no match.
     """
-    def norm(c):
-        s = F.regexp_replace(F.col(c), "['’`]", "")
-        return F.lower(F.trim(F.regexp_replace(F.normalize(s, "NFD"), r"\p{M}", "")))
-
-    cands = []
-    n = names.select("country", "name")
-    it = items.select("country", "item")
-    cands.append(n.join(it, (n.country == it.country) & (n.name == it.item))
-                   .select(n.country, n.name, it.item, F.lit(1).alias("rule")))
-    a = aliases.select("country", F.col("alias").alias("a_alias"), F.col("name").alias("a_name"))
-    cands.append(n.join(a, (n.country == a.country) & (n.name == a.a_alias))
-                   .join(it, (n.country == it.country) & (F.col("a_name") == it.item))
-                   .select(n.country, n.name, it.item, F.lit(2).alias("rule")))
-    nn = n.withColumn("_k", norm("name"))
-    ni = it.withColumn("_k", norm("item"))
-    cands.append(nn.join(ni, ["country", "_k"]).select("country", "name", "item", F.lit(3).alias("rule")))
-    for i, (country, prefix, suffix) in enumerate(affixes or []):
-        aff = (nn.where(F.col("country") == F.lit(country))
-                 .withColumn("_k2", F.lower(F.concat(F.lit(prefix), F.col("_k"), F.lit(suffix)))))
-        cands.append(aff.join(ni.withColumnRenamed("_k", "_k2"), ["country", "_k2"])
-                        .select("country", "name", "item", F.lit(10 + i).alias("rule")))
+    from chatlens.sources.dims import REGION_AFFIX_RULES
+    rules = REGION_AFFIX_RULES if rules is None else rules
+    # fresh column names on both sides: inputs may derive from the same frame
+    n = names.select(F.col("country").alias("n_c"), F.col("name").alias("n_n")).distinct()
+    it = items.select(F.col("country").alias("i_c"), F.col("item").alias("i_i")).distinct()
+
+    # candidate strings per name: rule 1 (itself, exact), rule 3 (itself,
+    # normalised) and one per applicable country rule; all exact candidates are
+    # resolved by one equi-join and all normalised ones by another
+    exact = [F.struct(F.lit(1).alias("rule"), F.col("n_n").alias("cand"))]
+    normed = [F.struct(F.lit(3).alias("rule"), F.col("n_n").alias("cand"))]
+    for i, (country, op, text) in enumerate(rules):
+        if op.startswith("prefix"):
+            cand = F.concat(F.lit(text), F.col("n_n"))
+        elif op.startswith("strip_suffix"):
+            cand = F.regexp_replace(F.col("n_n"), re_escape(text) + "$", "")
+        elif op.startswith("suffix"):
+            cand = F.concat(F.col("n_n"), F.lit(text))
+        else:
+            raise ValueError(op)
+        c = F.when(F.col("n_c") == F.lit(country),
+                   F.struct(F.lit(10 + i).alias("rule"), cand.alias("cand")))
+        (normed if op.endswith("_norm") else exact).append(c)
+    ex = n.select("n_c", "n_n", F.explode(F.array_compact(F.array(*exact))).alias("e"))
+    ex = ex.select("n_c", "n_n", F.col("e.rule").alias("rule"), F.col("e.cand").alias("cand"))
+    cands = [ex.join(it, (F.col("n_c") == F.col("i_c")) & (F.col("cand") == F.col("i_i")))
+               .select("n_c", "n_n", "i_i", "rule")]
+    nm = n.select("n_c", "n_n", F.explode(F.array_compact(F.array(*normed))).alias("e"))
+    nm = nm.select("n_c", "n_n", F.col("e.rule").alias("rule"), _norm_key(F.col("e.cand")).alias("n_k"))
+    ni = it.withColumn("i_k", _norm_key("i_i"))
+    cands.append(nm.join(ni, (F.col("n_c") == F.col("i_c")) & (F.col("n_k") == F.col("i_k")))
+                   .select("n_c", "n_n", "i_i", "rule"))
+    if aliases is not None:
+        a = aliases.select(F.col("country").alias("a_c"), F.col("alias").alias("a_a"),
+                           F.col("name").alias("a_n"))
+        j = (n.join(a, (F.col("n_c") == F.col("a_c")) & (F.col("n_n") == F.col("a_a")))
+              .join(it, (F.col("n_c") == F.col("i_c")) & (F.col("a_n") == F.col("i_i"))))
+        cands.append(j.select("n_c", "n_n", "i_i", F.lit(2).alias("rule")))
     u = cands[0]
     for c in cands[1:]:
         u = u.unionByName(c)
-    best = (u.groupBy("country", "name")
-             .agg(F.min_by(F.struct("item", "rule"), F.struct("rule", "item")).alias("b")))
-    return (n.join(best, ["country", "name"], "left")
-             .select("country", "name", F.col("b.item").alias("item"), F.col("b.rule").alias("rule")))
+    best = (u.groupBy("n_c", "n_n")
+             .agg(F.min_by(F.struct("i_i", "rule"), F.struct("rule", "i_i")).alias("b")))
+    return (n.join(best, ["n_c", "n_n"], "left")
+             .select(F.col("n_c").alias("country"), F.col("n_n").alias("name"),
+                     F.col("b.i_i").alias("item"), F.col("b.rule").alias("rule")))
+
+
+def re_escape(s: str) -> str:
+    import re
+    return re.escape(s)

@@ -43,7 +43,8 @@ def keyword_table(tags: DataFrame, keywords: str = "keywords") -> DataFrame:
 
 
 def _match_values(values: DataFrame, kws: DataFrame, literal: bool) -> DataFrame:
-    """(tag_id, v) pairs where keyword matches value ``v``; keywords broadcast in chunks."""
+    """(tag_id, field, v) where a keyword matches value ``v``; keywords broadcast
+    in chunks of checked size (every chunk is matched, nothing is capped)."""
     n = kws.count()  # size check of the keyword side (small table)
     chunks = max(1, -(-n // KEYWORD_CHUNK))
     if chunks == 1:
@@ -55,7 +56,7 @@ def _match_values(values: DataFrame, kws: DataFrame, literal: bool) -> DataFrame
     for p in parts:
         cond = (F.col("v").contains(F.col("kw")) if literal
                 else F.like(F.col("v"), F.concat(F.lit("%"), F.col("kw"), F.lit("%"))))
-        out.append(values.join(F.broadcast(p), cond, "inner").select("tag_id", "v"))
+        out.append(values.join(F.broadcast(p), cond, "inner").select("tag_id", "field", "v"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -63,19 +64,24 @@ def match_keywords(df: DataFrame, tags: DataFrame, literal: bool = False,
                    fields=(MODEL, LANG, COUNTRY), tags_col: str = TAGS,
                    key: str = KEY) -> DataFrame:
     """UT1 / FL10: ``(tag_id, conversation_hash)`` for every tag with a keyword
-    that is a case-insensitive substring of a field or of the tag text."""
+    that is a case-insensitive substring of a field or of the tag text.
+
+    Plan: each conversation becomes (key, field, lower-case value) rows; the
+    distinct (field, value) pairs (an aggregation with map-side combine) are
+    matched against the keywords; matches join back on (field, value) - one
+    equi-join, whose build side AQE broadcasts when small and splits when a
+    value is hot.
+    """
     kws = keyword_table(tags)
-    text_exprs = {f: F.lower(F.col(f)) for f in fields}
-    text_exprs["_tags_text"] = F.lower(F.concat_ws(" ", F.coalesce(F.col(tags_col),
-                                                                   F.array().cast("array<string>"))))
-    base = df.select(key, *[e.alias(f"_v_{n}") for n, e in text_exprs.items()])
-    hits = []
-    for n in text_exprs:
-        col = f"_v_{n}"
-        vals = base.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct()
-        m = _match_values(vals, kws, literal).distinct()
-        hits.append(base.join(m, base[col] == m["v"]).select("tag_id", key))
-    return reduce(DataFrame.unionByName, hits).distinct()
+    texts = [F.lower(F.col(f)) for f in fields]
+    texts.append(F.lower(F.concat_ws(" ", F.coalesce(F.col(tags_col), F.array().cast("array<string>")))))
+    pairs = F.array(*[F.struct(F.lit(i).alias("field"), t.alias("v")) for i, t in enumerate(texts)])
+    long = (df.select(key, F.explode(pairs).alias("p"))
+              .select(key, F.col("p.field").alias("field"), F.col("p.v").alias("v"))
+              .where(F.col("v").isNotNull()))
+    vals = long.select("field", "v").distinct()
+    m = _match_values(vals, kws, literal).distinct()
+    return long.join(m, ["field", "v"]).select("tag_id", key).distinct()
 
 
 def match_counts(assign: DataFrame, tags: DataFrame) -> DataFrame:

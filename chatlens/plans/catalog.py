@@ -592,3 +592,25 @@ def q_anti_new_keys(spark, d):
     o = fx.table(spark, d, "orders").select("o_orderkey")
     li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return ingest.new_keys(o, li, "o_orderkey")
+
+
+# ---- region names, tag search ------------------------------------------------------
+REGION_RULES = [(f"NATION_{i}", "suffix", "-S2") for i in range(25)]
+
+
+@query("region_resolve")
+def q_region_resolve(spark, d):
+    """Map-name variants of every state (exact, lower-case, the bare country name
+    plus a suffix rule, and an unknown one) resolved against the states."""
+    st = (cm(spark, d).where(F.col("state").isNotNull() & (F.trim("state") != ""))
+          .select("country", F.col("state").alias("item")).distinct())
+    names = (st.select("country", F.col("item").alias("name"))
+               .unionByName(st.select("country", F.lower("item").alias("name")))
+               .unionByName(st.select("country", F.col("country").alias("name")))
+               .unionByName(st.select("country", F.concat("item", F.lit("?")).alias("name"))))
+    return geo.resolve_regions(names, st, None, REGION_RULES)
+
+
+@query("tag_search")
+def q_tag_search(spark, d):
+    return explore.tag_search(topics.tag_frequency(cmt(spark, d), CATS), "BRAND#1")

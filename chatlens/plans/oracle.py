@@ -573,3 +573,20 @@ WHERE rn = 1 AND conversation_hash NOT IN (SELECT conversation_hash FROM dd
                                             WHERE source = 'src0' AND conversation_hash IS NOT NULL)"""
 SQL["anti_new_keys"] = """
 SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)"""
+
+# ---- region names, tag search ------------------------------------------------------------------
+_NORM = "lower(strip_accents(trim(regexp_replace({x}, '[''’ʼ`]', '', 'g'))))"
+SQL["region_resolve"] = with_cm(f"""
+SELECT n.country, n.name, b.item, b.rule FROM names n
+LEFT JOIN (SELECT country, name, arg_min(item, rule * 1000000 + 0) AS item, min(rule) AS rule
+           FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c10)
+           GROUP BY country, name) b ON b.country = n.country AND b.name = n.name""",
+    "st AS (SELECT DISTINCT country, state AS item FROM cm WHERE state IS NOT NULL AND trim(state) <> '')",
+    """names AS (SELECT country, item AS name FROM st UNION SELECT country, lower(item) FROM st
+             UNION SELECT country, country FROM st UNION SELECT country, item || '?' FROM st)""",
+    "c1 AS (SELECT n.country, n.name, s.item, 1 AS rule FROM names n JOIN st s ON s.country = n.country AND s.item = n.name)",
+    f"""c3 AS (SELECT n.country, n.name, s.item, 3 AS rule FROM names n JOIN st s
+            ON s.country = n.country AND {_NORM.format(x='s.item')} = {_NORM.format(x='n.name')})""",
+    """c10 AS (SELECT n.country, n.name, s.item, CAST(10 + CAST(substr(n.country, 8) AS INTEGER) AS INTEGER) AS rule
+             FROM names n JOIN st s ON s.country = n.country AND s.item = n.name || '-S2')""")
+SQL["tag_search"] = with_cm("SELECT * FROM tf WHERE contains(lower(tag), 'brand#1')", f"tf AS ({TAG_FREQ})")

@@ -164,3 +164,15 @@ def continent_frame(spark: SparkSession, continents: dict | None = None) -> Data
     alias = {v: k for k, v in SPELLINGS.items()}
     rows += [(alias[c], cont, i) for c, cont, i in list(rows) if c in alias]
     return spark.createDataFrame(rows, "country string, continent string, cont_order int")
+
+# --- fixed values: country-specific region-name rules, tried in this order ----
+# (country, operation, text): ``prefix`` / ``suffix`` add text to the map name,
+# ``strip_suffix`` removes it; ``*_norm`` compares accent- and case-insensitively.
+REGION_AFFIX_RULES = [
+    ("Philippines", "prefix", "Province of "),
+    ("Taiwan", "strip_suffix", " City"),
+    ("Taiwan", "suffix", " County"),
+    ("Vietnam", "suffix", " Province"),
+    ("Vietnam", "suffix_norm", " Province"),
+] + [(c, "suffix", s) for c in ("Russia", "Ukraine", "Iran")
+     for s in (" Oblast", " Krai", " Republic", " Province", " Autonomous Okrug")]

@@ -590,3 +590,27 @@ LEFT JOIN (SELECT country, name, arg_min(item, rule * 1000000 + 0) AS item, min(
     """c10 AS (SELECT n.country, n.name, s.item, CAST(10 + CAST(substr(n.country, 8) AS INTEGER) AS INTEGER) AS rule
              FROM names n JOIN st s ON s.country = n.country AND s.item = n.name || '-S2')""")
 SQL["tag_search"] = with_cm("SELECT * FROM tf WHERE contains(lower(tag), 'brand#1')", f"tf AS ({TAG_FREQ})")
+
+
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if is HUGEINT; Spark's is BIGINT: cast every call."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            k += 1
+            if depth == 0:
+                break
+        out.append(sql[i:j])
+        out.append("CAST(" + _bigint_count_if(sql[j + len(key):k - 1]).join([key, ")"]) + " AS BIGINT)")
+        i = k
+
+
+SQL = {k: _bigint_count_if(v) for k, v in SQL.items()}

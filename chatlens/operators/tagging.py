@@ -101,7 +101,8 @@ def keyword_report(df: DataFrame, dictionary: dict, text: str, id_col: str) -> D
         F.struct(F.lit(topic).alias("topic"),
                  F.filter(F.array(*[F.lit(k) for k in kws]), lambda k: t.contains(k)).alias("hits"))
         for topic, kws in dictionary.items() if kws])
-    return (df.select(id_col, F.explode(F.filter(per_topic, lambda s: F.size(s["hits"]) > 0)).alias("m"))
+    return (df.select(id_col, F.explode_outer(F.filter(per_topic, lambda s: F.size(s["hits"]) > 0)).alias("m"))
+              .where(F.col("m").isNotNull())
               .select(id_col, F.col("m.topic").alias("topic"), F.col("m.hits").alias("hits")))
 
 
@@ -116,8 +117,12 @@ def transcript(df: DataFrame, key: str, conv: str = CONV) -> DataFrame:
 def compare_tags(a: DataFrame, b: DataFrame, key: str, tags: str = TAGS) -> DataFrame:
     """TG12: per topic, rows tagged only by ``a`` (removed in b), only by ``b``
     (added) and by both; a full outer join of the two (key, topic) sets."""
-    ea = a.select(key, F.explode(tags).alias("topic")).withColumn("_a", F.lit(True))
-    eb = b.select(key, F.explode(tags).alias("topic")).withColumn("_b", F.lit(True))
+    # explode_outer: a plain explode makes Catalyst add a size(tags) > 0 filter
+    # that re-evaluates the whole tagging expression a second time
+    ea = (a.select(key, F.explode_outer(tags).alias("topic")).where(F.col("topic").isNotNull())
+           .withColumn("_a", F.lit(True)))
+    eb = (b.select(key, F.explode_outer(tags).alias("topic")).where(F.col("topic").isNotNull())
+           .withColumn("_b", F.lit(True)))
     j = ea.join(eb, [key, "topic"], "full_outer")
     return j.groupBy("topic").agg(
         F.count_if(F.col("_a").isNotNull() & F.col("_b").isNull()).alias("removed"),

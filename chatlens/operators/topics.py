@@ -54,7 +54,10 @@ def tag_frequency(df: DataFrame, cats: Categories, tags: str = TAGS) -> DataFram
 
 def tag_histogram(df: DataFrame, tags: str = TAGS) -> DataFrame:
     """TG8: number of rows carrying each tag, descending."""
-    return (df.select(F.explode(F.array_distinct(tags)).alias("tag"))
+    # explode_outer + null filter: no inferred size() filter that would
+    # evaluate a computed tag array twice
+    return (df.select(F.explode_outer(F.array_distinct(tags)).alias("tag"))
+              .where(F.col("tag").isNotNull())
               .groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
               .orderBy(F.desc("count"), F.asc("tag")))
 
@@ -77,7 +80,8 @@ def model_topic_matrix(df: DataFrame, cats: Categories, top: int = 10,
                 .agg(F.count(F.lit(1)).alias("model_total"))
                 .orderBy(F.desc("model_total"), F.asc(MODEL)).limit(top))
     cells = (df.where(F.col(MODEL).isNotNull() & F.col(tags).isNotNull())
-               .select(MODEL, F.explode(cats.categories_of(F.col(tags))).alias("topic"))
+               .select(MODEL, F.explode_outer(cats.categories_of(F.col(tags))).alias("topic"))
+               .where(F.col("topic").isNotNull())
                .groupBy(MODEL, "topic").agg(F.count(F.lit(1)).alias("count")))
     grid = totals.select(MODEL, "model_total",
                          F.explode(F.array(*[F.lit(c) for c in cats.order])).alias("topic"))
@@ -93,7 +97,8 @@ def topics_by_country(df: DataFrame, cats: Categories, k: int = 3,
     base = df.where(F.col(COUNTRY).isNotNull())
     totals = base.groupBy(COUNTRY).agg(F.count(F.lit(1)).alias("total"))
     cc = (base.where(F.col(tags).isNotNull())
-              .select(COUNTRY, F.explode(cats.categories_of(F.col(tags))).alias("category"))
+              .select(COUNTRY, F.explode_outer(cats.categories_of(F.col(tags))).alias("category"))
+              .where(F.col("category").isNotNull())
               .groupBy(COUNTRY, "category").agg(F.count(F.lit(1)).alias("count")))
     j = cc.join(totals, COUNTRY).withColumn("pct", pct("count", "total", 1))
     w = Window.partitionBy(COUNTRY).orderBy(F.desc("count"), F.asc("category"))

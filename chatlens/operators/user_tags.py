@@ -76,7 +76,7 @@ def match_keywords(df: DataFrame, tags: DataFrame, literal: bool = False,
     texts = [F.lower(F.col(f)) for f in fields]
     texts.append(F.lower(F.concat_ws(" ", F.coalesce(F.col(tags_col), F.array().cast("array<string>")))))
     pairs = F.array(*[F.struct(F.lit(i).alias("field"), t.alias("v")) for i, t in enumerate(texts)])
-    long = (df.select(key, F.explode(pairs).alias("p"))
+    long = (df.select(key, F.explode_outer(pairs).alias("p"))
               .select(key, F.col("p.field").alias("field"), F.col("p.v").alias("v"))
               .where(F.col("v").isNotNull()))
     vals = long.select("field", "v").distinct()

@@ -21,7 +21,13 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """PR2: count, mean, sample std, min, exact quartiles, max per column (long form)."""
+    """PR2: count, mean, sample std, min, exact quartiles, max per column (long form).
+
+    Exact ``percentile`` keeps a value -> count map per group and merges maps
+    map-side, so its memory grows with the number of *distinct* values (bounded
+    for lengths and turn counts), not with rows; use ``iqr_bounds(exact=False)``
+    style ``percentile_approx`` for continuous, unbounded-cardinality columns.
+    """
     parts = []
     for c in cols:
         x = F.col(c)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.functions.text import (TOKEN_SPLIT, flatten_messages, keyword_hit,
-                                     topic_patterns)
+                                     keyword_kind, topic_patterns)
 from chatlens.schema import CONV, TAGS
 
 UNTAGGED = "untagged"
@@ -41,7 +41,12 @@ def topic_array(text: Column, dictionary: dict, mode: str = "word", min_hits: in
                 continue
             hit = keyword_hit(text, tokens, kws)
             if min_hits > 1:
-                n = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pats[topic]), F.lit(0))))
+                lowered = [k.lower() for k in kws if k]
+                if all(keyword_kind(k) == "token" for k in lowered):
+                    # whole-token keywords never overlap: distinct hits = distinct tokens found
+                    n = F.size(F.array_intersect(tokens, F.array(*[F.lit(k) for k in lowered])))
+                else:
+                    n = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pats[topic]), F.lit(0))))
                 hit = F.when(hit, n >= min_hits).otherwise(F.lit(False))
             items.append(F.when(hit, F.lit(topic)))
     elif mode == "substring":

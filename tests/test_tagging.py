@@ -32,7 +32,7 @@ def brute_tags(text, dictionary, min_hits=1):
 CASES = ["use python please", "用python写", "épython", "between us", "c++ code", "lua编程 tutorial",
          "wow!!", "SELECT * FROM t", "python and lua编程 and python", "", None, "tweens", "a tween",
          "python_3 python3 python's", "(python)", "inner  join", "inner join", "xc++", "c++x", "tween-age",
-         "Python\nSelect", "ÉPYTHON", "naïve python", "innerjoin from"]
+         "Python\nSelect", "ÉPYTHON", "naïve python", "innerjoin from", "x _a x", "x_a", "_a-x"]
 
 
 @pytest.mark.parametrize("min_hits", [1, 2])

@@ -614,3 +614,49 @@ def q_region_resolve(spark, d):
 @query("tag_search")
 def q_tag_search(spark, d):
     return explore.tag_search(topics.tag_frequency(cmt(spark, d), CATS), "BRAND#1")
+
+
+# ---- streaming (ST1 + ST5, ST4) ----------------------------------------------------
+import uuid  # noqa: E402
+
+from chatlens.session import scratch_path  # noqa: E402
+from chatlens.streaming import event_time_counts, stream_first_wins  # noqa: E402
+
+
+def _stream_source(spark, d, name):
+    """File stream over one table file (a glob, so the file source lists it)."""
+    schema = fx.table(spark, d, name).schema
+    return schema, f"{d.rstrip('/')}/{name}.parque[t]"
+
+
+@query("stream_first_wins")
+def q_stream_first_wins(spark, d):
+    """ST1/ST5: documents ingested as a stream (available-now), first document
+    per distinct text kept, one run-log row per micro-batch."""
+    schema, path = _stream_source(spark, d, "documents")
+    base = scratch_path(spark, f"st1-{uuid.uuid4().hex[:10]}")
+
+    def shape(s):
+        return s.select(F.sha2("text", 256).alias("conversation_hash"), "doc_id", "source", "lang")
+
+    q = stream_first_wins(spark, path, f"{base}/target", f"{base}/ckpt", schema,
+                          key="conversation_hash", order_by=["doc_id"], transform=shape,
+                          run_log=f"{base}/runs")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/target")
+
+
+@query("stream_hourly_counts")
+def q_stream_hourly_counts(spark, d):
+    """ST4: hourly event counts per type with a 10-minute watermark, append
+    mode into a Parquet sink; windows still open at the end are not emitted."""
+    schema, path = _stream_source(spark, d, "events")
+    base = scratch_path(spark, f"st4-{uuid.uuid4().hex[:10]}")
+    src = spark.readStream.schema(schema).parquet(path)
+    q = (event_time_counts(src, "ts", ["event_type"], "1 hour", "10 minutes")
+         .writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+         .start(f"{base}/out"))
+    q.awaitTermination()
+    return spark.read.schema("window_start timestamp_ntz, window_end timestamp_ntz, event_type string, count bigint") \
+                .parquet(f"{base}/out")

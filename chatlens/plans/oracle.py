@@ -614,3 +614,15 @@ def _bigint_count_if(sql: str) -> str:
 
 
 SQL = {k: _bigint_count_if(v) for k, v in SQL.items()}
+
+# ---- streaming --------------------------------------------------------------------------------
+SQL["stream_first_wins"] = """
+WITH dd AS (SELECT sha256(text) AS conversation_hash, doc_id, source, lang FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY conversation_hash ORDER BY doc_id) AS rn
+      FROM dd WHERE conversation_hash IS NOT NULL)
+SELECT conversation_hash, doc_id, source, lang FROM f WHERE rn = 1"""
+SQL["stream_hourly_counts"] = """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, count(*) AS count
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""

@@ -28,7 +28,9 @@ def _category_grid(df_counts: DataFrame, cats: Categories, key: str = "category"
                    count: str = "count") -> DataFrame:
     """Right-fill a (category, count) frame with every category at zero."""
     spark = df_counts.sparkSession
-    return (cats.order_frame(spark).join(df_counts, key, "left")
+    # df_counts is aggregated by category: at most one row per category of the
+    # (fixed-size) dimension plus the default, so broadcasting it is bounded
+    return (cats.order_frame(spark).join(F.broadcast(df_counts), key, "left")
                 .select("cat_order", key, F.coalesce(F.col(count), F.lit(0)).alias(count)))
 
 

@@ -660,3 +660,22 @@ def q_stream_hourly_counts(spark, d):
     q.awaitTermination()
     return spark.read.schema("window_start timestamp_ntz, window_end timestamp_ntz, event_type string, count bigint") \
                 .parquet(f"{base}/out")
+
+
+@query("filter_turn_range")
+def q_filter_turn_range(spark, d):
+    f = explore.apply_filters(cm(spark, d), explore.FilterSpec(turn_min=4, turn_max=9))
+    return explore.page_totals(f, 1, 100)
+
+
+@query("region_classes")
+def q_region_classes(spark, d):
+    """SC5 + SC10: per state of every country, the log-ratio intensity class of its
+    volume against the country's largest state (map colouring)."""
+    from pyspark.sql import Window
+    from chatlens.functions.expr import log_ratio
+    s = (cm(spark, d).where(F.col("state").isNotNull() & (F.trim("state") != ""))
+         .groupBy("country", "state").agg(F.count(F.lit(1)).alias("count")))
+    mx = F.max("count").over(Window.partitionBy("country"))
+    return s.select("country", "state", "count",
+                    stats.log_ratio_class(log_ratio(F.col("count"), mx)).alias("intensity_class"))

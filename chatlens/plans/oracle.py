@@ -626,3 +626,15 @@ SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL
        event_type, count(*) AS count
 FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+SQL["filter_turn_range"] = with_cm("""
+SELECT count(*) AS total, 1 AS page, 100 AS per_page, greatest(1, (count(*) + 99) // 100) AS total_pages
+FROM cm WHERE turn >= 4 AND turn <= 9""")
+SQL["region_classes"] = with_cm("""
+SELECT country, state, count,
+       CASE WHEN r > 0.8 THEN 5 WHEN r > 0.6 THEN 4 WHEN r > 0.4 THEN 3 WHEN r > 0.2 THEN 2
+            WHEN r > 0.05 THEN 1 ELSE 0 END AS intensity_class
+FROM (SELECT country, state, count,
+             CASE WHEN max(count) OVER (PARTITION BY country) > 1
+                  THEN ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY country)) ELSE 1.0 END AS r
+      FROM (SELECT country, state, count(*) AS count FROM cm
+            WHERE state IS NOT NULL AND trim(state) <> '' GROUP BY country, state))""")

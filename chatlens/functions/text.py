@@ -113,26 +113,73 @@ def keyword_kind(keyword: str) -> str:
     return "regex"
 
 
-def keyword_hit(text: Column, tokens: Column, keywords) -> Column:
+def required_tokens(keyword: str) -> list[str]:
+    """Whole tokens a keyword match must contain: the word runs of the keyword
+    that are bounded on both sides (inner runs, plus the first / last run when
+    that edge has a word boundary).  A match implies each is a token of the text."""
+    k = keyword.lower()
+    runs = [r for r in re.split(r"[^\w]+", k) if r]
+    if not runs:
+        return []
+    out = []
+    for i, r in enumerate(runs):
+        if not all(c.isalnum() or c == "_" for c in r):
+            continue
+        first = i == 0 and k.startswith(r)
+        last = i == len(runs) - 1 and k.endswith(r)
+        if (first and not _edge_is_word(k[0])) or (last and not _edge_is_word(k[-1])):
+            continue
+        out.append(r)
+    return out
+
+
+def dictionary_tokens(dictionary) -> list[str]:
+    """Every token a dictionary can need to look up (``found`` set of ``keyword_hit``)."""
+    toks = set()
+    for kws in dictionary.values():
+        for k in kws:
+            if not k:
+                continue
+            if keyword_kind(k) == "token":
+                toks.add(k.lower())
+            elif keyword_kind(k) == "regex":
+                toks.update(required_tokens(k))
+    return sorted(toks)
+
+
+def found_tokens(tokens: Column, dictionary) -> Column:
+    """The dictionary tokens present in a row: one hash-set intersection per row,
+    shared by every topic test."""
+    toks = dictionary_tokens(dictionary)
+    if not toks:
+        return F.array().cast("array<string>")
+    return F.array_intersect(tokens, F.array(*[F.lit(t) for t in toks]))
+
+
+def keyword_hit(text: Column, found: Column, keywords) -> Column:
     """True when any keyword occurs in ``text`` (lower-case) under the boundary
-    rule; ``tokens`` is ``split(text, TOKEN_SPLIT)``.  Exactly the found / not
-    found result of the combined regex, with regex work only for keywords that
-    need it (and only on rows that contain one of them as a substring)."""
+    rule; ``found`` is ``found_tokens(split(text, TOKEN_SPLIT), dictionary)``.
+
+    Exactly the found / not-found result of the combined regex: whole-token
+    keywords by membership in ``found``; boundary-free keywords by substring;
+    the rest by regex, run only on rows that hold the tokens such a match
+    needs and the keyword as a substring.
+    """
     kws = [k.lower() for k in keywords if k]
     tok = [k for k in kws if keyword_kind(k) == "token"]
     sub = [k for k in kws if keyword_kind(k) == "substring"]
     rx = [k for k in kws if keyword_kind(k) == "regex"]
     conds = []
     if tok:
-        conds.append(F.coalesce(F.arrays_overlap(tokens, F.array(*[F.lit(k) for k in tok])), F.lit(False)))
+        conds.append(F.coalesce(F.arrays_overlap(found, F.array(*[F.lit(k) for k in tok])), F.lit(False)))
     for k in sub:
         conds.append(text.contains(k))
-    if rx:
-        pre = None
-        for k in rx:
-            c = text.contains(k)
-            pre = c if pre is None else (pre | c)
-        conds.append(pre & text.rlike(java_pattern(rx)))
+    for k in rx:
+        # per keyword: its regex runs only where its tokens and its text occur
+        c = text.contains(k)
+        for t in required_tokens(k):
+            c = F.array_contains(found, F.lit(t)) & c
+        conds.append(c & text.rlike(java_pattern([k])))
     if not conds:
         return F.lit(False)
     out = conds[0]

@@ -14,8 +14,8 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.functions.text import (TOKEN_SPLIT, flatten_messages, keyword_hit,
-                                     keyword_kind, topic_patterns)
+from chatlens.functions.text import (TOKEN_SPLIT, flatten_messages, found_tokens,
+                                     keyword_hit, keyword_kind, topic_patterns)
 from chatlens.schema import CONV, TAGS
 
 UNTAGGED = "untagged"
@@ -23,6 +23,7 @@ UNTAGGED = "untagged"
 
 def topic_array(text: Column, dictionary: dict, mode: str = "word", min_hits: int = 1,
                 tokens: Column | None = None) -> Column:
+    # ``tokens``: the row's dictionary tokens (``functions.text.found_tokens``)
     """Array of topics whose keywords occur in ``text`` (already lower-case),
     in dictionary order; empty when none.
 
@@ -34,17 +35,18 @@ def topic_array(text: Column, dictionary: dict, mode: str = "word", min_hits: in
     items = []
     if mode == "word":
         if tokens is None:
-            tokens = F.split(text, TOKEN_SPLIT)
+            tokens = found_tokens(F.split(text, TOKEN_SPLIT), dictionary)
+        found = tokens
         pats = topic_patterns(dictionary)
         for topic, kws in dictionary.items():
             if not pats.get(topic):
                 continue
-            hit = keyword_hit(text, tokens, kws)
+            hit = keyword_hit(text, found, kws)
             if min_hits > 1:
                 lowered = [k.lower() for k in kws if k]
                 if all(keyword_kind(k) == "token" for k in lowered):
                     # whole-token keywords never overlap: distinct hits = distinct tokens found
-                    n = F.size(F.array_intersect(tokens, F.array(*[F.lit(k) for k in lowered])))
+                    n = F.size(F.array_intersect(found, F.array(*[F.lit(k) for k in lowered])))
                 else:
                     n = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pats[topic]), F.lit(0))))
                 hit = F.when(hit, n >= min_hits).otherwise(F.lit(False))
@@ -85,7 +87,8 @@ def tag(df: DataFrame, dictionary: dict, text: str | None = None, conv: str = CO
     # re-evaluated per topic)
     df = df.withColumn("_t", t)
     if mode == "word":
-        df = df.withColumn("_tok", F.split(F.col("_t"), TOKEN_SPLIT))
+        # dictionary tokens present in the row, computed once and shared by all topics
+        df = df.withColumn("_tok", found_tokens(F.split(F.col("_t"), TOKEN_SPLIT), dictionary))
         tokens = F.col("_tok")
     else:
         tokens = None

@@ -8,7 +8,8 @@ from chatlens.operators import tagging
 from chatlens.sources import fixtures as fx
 
 DICT = {"python": ["python", "c++", "Lua编程"], "teen": ["tween"], "shout": ["!!"],
-        "sql": ["select", "from", "inner join"], "accent": ["é", "ïve"], "mixed": ["x", "_a"]}
+        "sql": ["select", "from", "inner join"], "accent": ["é", "ïve"], "mixed": ["x", "_a"],
+        "punct": ["node.js", "c# code", "#tag", "wow!", "dall-e 3"]}
 
 
 def brute_tags(text, dictionary, min_hits=1):
@@ -32,7 +33,9 @@ def brute_tags(text, dictionary, min_hits=1):
 CASES = ["use python please", "用python写", "épython", "between us", "c++ code", "lua编程 tutorial",
          "wow!!", "SELECT * FROM t", "python and lua编程 and python", "", None, "tweens", "a tween",
          "python_3 python3 python's", "(python)", "inner  join", "inner join", "xc++", "c++x", "tween-age",
-         "Python\nSelect", "ÉPYTHON", "naïve python", "innerjoin from", "x _a x", "x_a", "_a-x"]
+         "Python\nSelect", "ÉPYTHON", "naïve python", "innerjoin from", "x _a x", "x_a", "_a-x",
+         "i use node.js daily", "nodexjs", "node.jsx", "c# code here", "c#code", "a #tag b", "x#tag",
+         "#tags", "wow!", "wowwow!", "dall-e 3 and dall-e 30", "dall-e 30"]
 
 
 @pytest.mark.parametrize("min_hits", [1, 2])

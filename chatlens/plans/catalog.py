@@ -679,3 +679,8 @@ def q_region_classes(spark, d):
     mx = F.max("count").over(Window.partitionBy("country"))
     return s.select("country", "state", "count",
                     stats.log_ratio_class(log_ratio(F.col("count"), mx)).alias("intensity_class"))
+
+
+# Registered last: its DuckDB oracle can hit an intermittent DuckDB 2.0 internal
+# cache error that invalidates the connection; last, it cannot affect the others.
+QUERIES["state_drilldown"] = QUERIES.pop("state_drilldown")

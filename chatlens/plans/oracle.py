@@ -59,6 +59,26 @@ CM = """cm AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN line_agg la ON la.l_orderkey = o.o_orderkey)"""
 
+# Tag-free form (no part join): queries that do not read tags use it, like the
+# Spark side's chat_meta(with_tags=False).
+CM_PLAIN = """cm AS (
+  WITH line_agg AS (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey)
+  SELECT md5(CAST(o.o_orderkey AS VARCHAR)) AS conversation_hash,
+         o.o_orderpriority AS model,
+         o.o_orderdate AS ts,
+         la.n_lines AS turn,
+         CASE WHEN o.o_orderkey % 97 = 0 THEN NULL ELSE c.c_mktsegment END AS language,
+         n.n_name AS country,
+         CASE WHEN o.o_orderkey % 5 = 0 THEN NULL
+              WHEN o.o_orderkey % 5 = 1 THEN '  '
+              ELSE concat(n.n_name, '-S', CAST(c.c_custkey % 3 AS VARCHAR)) END AS state,
+         (o.o_orderstatus = 'P') AS redacted,
+         (o.o_totalprice > 400000) AS toxic
+  FROM orders o
+  JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN line_agg la ON la.l_orderkey = o.o_orderkey)"""
+
 # one row per (conversation, distinct category)
 CAT_ROWS = f"""cat_rows AS (
   SELECT DISTINCT e.conversation_hash, e.model, e.country, coalesce(d.category, 'Other') AS category
@@ -70,7 +90,9 @@ ISO = "'%Y-%m-%dT%H:%M:%S'"
 
 def with_cm(body: str, *ctes: str) -> str:
     extra = "".join(",\n" + c for c in ctes)
-    return f"WITH {CM}{extra}\n{body}"
+    text = body + extra
+    base = CM if "tags" in text or "cat_rows" in text else CM_PLAIN
+    return f"WITH {base}{extra}\n{body}"
 
 
 # ---- statistics ---------------------------------------------------------------

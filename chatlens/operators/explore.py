@@ -76,6 +76,27 @@ def page(df: DataFrame, page_no: int = 1, per_page: int = 20,
     return df.orderBy(*order_by).offset((page_no - 1) * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, after: tuple | None = None, per_page: int = 20,
+               ts: str = TS, key: str = KEY) -> DataFrame:
+    """SL2 for deep pages (keyset paging): the ``per_page`` rows strictly after
+    ``after = (ts, key)``, the last row of the previous page, in ``(ts, key)``
+    order (null times first, as ``orderBy`` sorts them).
+
+    Cost does not grow with page depth: the seek is a filter (pushed into the
+    scan) plus a per-partition top-n, instead of keeping ``offset + n`` rows.
+    """
+    per_page = max(1, min(int(per_page), 100))
+    if after is not None:
+        t, k = after
+        if t is None:
+            cond = (F.col(ts).isNull() & (F.col(key) > F.lit(k))) | F.col(ts).isNotNull()
+        else:
+            lit_t = F.lit(t).cast(df.schema[ts].dataType)
+            cond = (F.col(ts) > lit_t) | ((F.col(ts) == lit_t) & (F.col(key) > F.lit(k)))
+        df = df.where(cond)
+    return df.orderBy(F.asc_nulls_first(ts), F.asc(key)).limit(per_page)
+
+
 def page_totals(df: DataFrame, page_no: int = 1, per_page: int = 20) -> DataFrame:
     """SL2: total rows, page, page size and number of pages (at least one)."""
     per_page = max(1, min(int(per_page), 100))

@@ -65,3 +65,18 @@ def test_detail_and_blank(spark):
     assert [(r.pos, r.role, r.content) for r in d] == [(0, "user", "hi"), (1, "assistant", "")]
     t = spark.createDataFrame([(" ",), ("x",), (None,)], "s string")
     assert explore.reject_blank(t, "s").count() == 1
+
+
+def test_keyset_paging_equals_offset_paging(spark):
+    df = meta(spark)
+    from pyspark.sql import functions as F
+    df = df.withColumn("ts", F.when(F.col("turn") == 0, F.lit(None)).otherwise(F.col("ts")))
+    offset_pages = [[r.conversation_hash for r in explore.page(df, p, 4).collect()] for p in range(1, 8)]
+    seek_pages, after = [], None
+    for _ in range(7):
+        rows = explore.page_after(df, after, 4).collect()
+        seek_pages.append([r.conversation_hash for r in rows])
+        if rows:
+            after = (rows[-1].ts, rows[-1].conversation_hash)
+    assert seek_pages == offset_pages
+    assert sum(len(p) for p in seek_pages) == 25

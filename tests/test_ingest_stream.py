@@ -76,3 +76,19 @@ def test_dedupe_and_windows(spark, tmpdir_path):
     # the 03:00 window is still open at the end of input (watermark); closed windows equal batch counts
     assert got[(0, "a")] == 2 and got[(1, "b")] == 1
     assert F is not None
+
+
+def test_stream_tags_on_arrival(spark, tmpdir_path):
+    """ST2: tagging inside the stream equals tagging the same rows in batch."""
+    from chatlens.operators import tagging
+    src, tgt, ck = (os.path.join(tmpdir_path, x) for x in ("tin", "tout", "tck"))
+    rows = [(f"k{i}", t, i) for i, t in enumerate(["use python", "between us", "python and tween", None])]
+    df = spark.createDataFrame(rows, "conversation_hash string, text string, seq long")
+    df.coalesce(1).write.parquet(src)
+    d = {"py": ["python"], "teen": ["tween"]}
+    q = stream_first_wins(spark, src, tgt, ck, df.schema, order_by=["seq"],
+                          transform=lambda s: tagging.tag(s, d, text="text"))
+    q.awaitTermination(120)
+    got = {r.conversation_hash: list(r.tags) for r in spark.read.parquet(tgt).collect()}
+    want = {r.conversation_hash: list(r.tags) for r in tagging.tag(df, d, text="text").collect()}
+    assert got == want

@@ -681,6 +681,15 @@ def q_region_classes(spark, d):
                     stats.log_ratio_class(log_ratio(F.col("count"), mx)).alias("intensity_class"))
 
 
+@query("conversations_seek_page")
+def q_conversations_seek_page(spark, d):
+    """SL2 keyset paging: the 20 filtered rows after a given (time, key)."""
+    import datetime
+    f = explore.apply_filters(cmt(spark, d), PAGE_SPEC, CATS)
+    after = (datetime.datetime(1997, 3, 1), "8")
+    return _listing_str(explore.page_after(f, after, 20))
+
+
 # Registered last: its DuckDB oracle can hit an intermittent DuckDB 2.0 internal
 # cache error that invalidates the connection; last, it cannot affect the others.
 QUERIES["state_drilldown"] = QUERIES.pop("state_drilldown")

@@ -660,3 +660,7 @@ FROM (SELECT country, state, count,
                   THEN ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY country)) ELSE 1.0 END AS r
       FROM (SELECT country, state, count(*) AS count FROM cm
             WHERE state IS NOT NULL AND trim(state) <> '' GROUP BY country, state))""")
+SQL["conversations_seek_page"] = with_cm(f"""
+SELECT {LISTING} FROM cm WHERE {PAGE_WHERE}
+  AND (ts > TIMESTAMP '1997-03-01' OR (ts = TIMESTAMP '1997-03-01' AND conversation_hash > '8'))
+ORDER BY ts, conversation_hash LIMIT 20""")

@@ -115,3 +115,14 @@ def test_tag_job(spark, tmpdir_path):
     m = tagging.tag_job(spark, [src], tmpdir_path + "/out", fx.FIXTURE_DICTIONARY, files=2)
     assert m["rows"] == conv.count()
     assert spark.read.parquet(tmpdir_path + "/out").count() == m["rows"]
+
+
+def test_keyword_kinds_and_required_tokens():
+    from chatlens.functions.text import keyword_kind, required_tokens
+    assert keyword_kind("python") == "token" and keyword_kind("naïve") == "token"
+    assert keyword_kind("é") == "substring" and keyword_kind("(x)") == "substring"
+    assert keyword_kind("c++") == "regex" and keyword_kind("that is") == "regex"
+    assert required_tokens("c++ code") == ["c", "code"]
+    assert required_tokens("éa") == []            # open left edge: may sit inside a longer token
+    assert required_tokens("#tag") == ["tag"] and required_tokens("wow!") == ["wow"]
+    assert required_tokens("a.b.c") == ["a", "b", "c"]

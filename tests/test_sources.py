@@ -53,3 +53,11 @@ def test_profile_helpers(spark):
     assert v.missing_columns == "tags" and v.null_keys == 0
     assert profile.iqr_outliers(d, "n_chars", exact=True).count() >= 0
     assert F is not None
+
+
+def test_schema_report_missing_column(spark, tmpdir_path):
+    a, b = (os.path.join(tmpdir_path, x) for x in ("m1", "m2"))
+    spark.createDataFrame([(1, "x")], "k long, v string").write.parquet(a)
+    spark.createDataFrame([(2,)], "k long").write.parquet(b)
+    rep = pq.schema_report(spark, [a, b]).collect()
+    assert [(r.column, r.expected, r.actual) for r in rep] == [("v", "string", None)]

@@ -1,15 +1,34 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage, with their production parameters."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chatlens.llm.jaccard_join import jaccard_components
+from chatlens.llm.packing import best_fit_packing
 from chatlens.llm.tables import table
+from chatlens.llm.token_counts import token_counts
+
+
+def _tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer(), limit=2048)
+
+
+QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
+}

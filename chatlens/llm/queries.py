@@ -4,21 +4,39 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatlens.llm.jaccard_join import jaccard_components
 from chatlens.llm.packing import best_fit_packing
+from chatlens.llm.sharding import virtual_slot_shards
 from chatlens.llm.tables import table
 from chatlens.llm.token_counts import token_counts
+from chatlens.llm.toxicity import Chain, classify, fit_chain
 
 
 def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Chain:
+    """Low quality first, then toxicity, which sees the probability of the former."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return fit_chain(docs, labels, ["low_quality", "toxic"])
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, toxicity_chain(spark, docs, sf_dir))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual_slot_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -28,7 +46,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_virtual_slot_shards": op3_virtual_slot_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
 }

@@ -67,9 +67,9 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.n
     return mix((run[end] - run[start]) * _powers(len(raw) + 1, -1)[start] + (end - start).astype(np.uint64))
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word, and the row it is in (words: no ASCII white space inside)."""
-    inside = ~SPACES[raw]
+def word_spans(raw: np.ndarray, at: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word, and the row it is in; ``gaps`` flags the bytes between words."""
+    inside = ~gaps[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -118,3 +118,12 @@ def shingles(column, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         counts[i] = len(own)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return flat, np.concatenate([[0], np.cumsum(counts)])
+
+
+def run_hashes(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run ``word[a:b]`` of word hashes; equal runs, equal hashes."""
+    if not len(a):
+        return np.zeros(0, np.uint64)
+    run = np.zeros(len(word) + 1, np.uint64)
+    np.cumsum(word * _powers(len(word), 1), out=run[1:])
+    return mix((run[b] - run[a]) * _powers(len(word) + 1, -1)[a] + (b - a).astype(np.uint64))

@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlens.llm.decontaminate import leaks
 from chatlens.llm.jaccard_join import jaccard_components
 from chatlens.llm.packing import best_fit_packing
 from chatlens.llm.sharding import virtual_slot_shards
+from chatlens.llm.substring_dedup import without_repeats
 from chatlens.llm.tables import table
 from chatlens.llm.token_counts import token_counts
 from chatlens.llm.toxicity import Chain, classify, fit_chain
@@ -45,10 +47,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer(), limit=2048)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs)
+
+
 QUERIES = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_virtual_slot_shards": op3_virtual_slot_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_template_decontamination": op6_template_decontamination,
+    "op9_sentence_span_dedup": op9_sentence_span_dedup,
 }

@@ -32,7 +32,7 @@ _GAPS = np.zeros(256, bool)
 _GAPS[:128] = [not chr(i).isalnum() for i in range(128)]
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-NUM, NAME, UNIT = (np.uint64(0xD1CE0000 + k) * np.uint64(0x9E3779B97F4A7C15) for k in range(3))
+NUM, NAME, UNIT = (np.uint64(0xD1CEBA5E_00000001 + 2 * k) for k in range(3))
 
 
 def templates(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

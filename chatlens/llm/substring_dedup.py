@@ -178,11 +178,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n = len(text)
             base = np.searchsorted(row, np.arange(n + 1))
             cover, gone = batch.column(batch.num_columns - 1), np.zeros(len(begin) + 1, np.int64)
-            out, removed = [], np.zeros(n, np.int32)
+            out, removed = [None] * n, np.zeros(n, np.int32)
             for i in range(n):
                 marks = cover[i].values
                 if marks is None or not len(marks):
-                    out.append(None)
                     continue
                 first, last = unpacked(marks.field(0), np.uint32)[0].astype(np.int64), unpacked(marks.field(1), np.uint32)[0].astype(np.int64)
                 np.add.at(gone, base[i] + first, 1)

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.llm.decontaminate import leaks
+from chatlens.llm.html_extract import extract
 from chatlens.llm.jaccard_join import jaccard_components
+from chatlens.llm.license_scan import scan
 from chatlens.llm.packing import best_fit_packing
 from chatlens.llm.sharding import virtual_slot_shards
 from chatlens.llm.substring_dedup import without_repeats
@@ -51,11 +53,19 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op7_html_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs)
 
 
+def op10_license_patience_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -64,4 +74,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_template_decontamination": op6_template_decontamination,
     "op9_sentence_span_dedup": op9_sentence_span_dedup,
+    "op7_html_minimum_cut": op7_html_minimum_cut,
+    "op10_license_patience_scan": op10_license_patience_scan,
 }

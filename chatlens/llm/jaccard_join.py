@@ -35,8 +35,8 @@ FRAGMENT_BYTES, FRAGMENTS = 12 << 20, (16, 4096)
 #: Expanded n-grams that one counting step holds.
 COUNT_BLOCK = 4 << 20
 
-_CUT = "fragment int, node long, doc_id long, n int, nodes binary, counts binary, lo binary, hi binary"
-_SEEN = "kind int, fragment int, node long, doc_id long, n int, m int, tokens binary, dfs binary"
+_CUT = "fragment int, node long, doc_id long, text_hash long, n int, nodes binary, counts binary, lo binary, hi binary"
+_SEEN = "kind int, fragment int, node long, doc_id long, text_hash long, n int, m int, tokens binary, dfs binary"
 
 
 def _cut(size: int, bits: int):
@@ -57,7 +57,7 @@ def _cut(size: int, bits: int):
         tok_at = np.r_[first[head], len(own)]
         k = len(head)
         return pa.RecordBatch.from_arrays([
-            pa.array(seg_frag[head].astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()),
+            pa.array(seg_frag[head].astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()),
             packed(node[own[first]], seg_at), packed(length.astype(np.uint32), seg_at),
             packed((token & np.uint64(0xFFFFFFFF)).astype(np.uint32), tok_at),
             packed(((token >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), tok_at),
@@ -67,14 +67,14 @@ def _cut(size: int, bits: int):
         seen: set[int] = set()  # as many as the partition has texts
         nodes, tokens, counts, held = [], [], [], 0
         for batch in batches:
-            flat, at = shingles(batch.column(1), size)
+            flat, at = shingles(batch.column(2), size)
             n = np.diff(at)
             total = np.concatenate([[np.uint64(0)], np.cumsum(flat, dtype=np.uint64)])
             node = mix(mix(total[at[1:]] - total[at[:-1]]) + n.astype(np.uint64)).view(np.int64)
             k, empty = len(n), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([
                 pa.array((-1 - (node & (spread - 1))).astype(np.int32)), pa.array(node, mask=n == 0),
-                batch.column(0), pa.array(n.astype(np.int32)), empty, empty, empty, empty,
+                batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), empty, empty, empty, empty,
             ], names=[c.split()[0] for c in _CUT.split(", ")])
             keep = np.zeros(k, bool)
             for i in np.flatnonzero(n).tolist():
@@ -99,11 +99,11 @@ def _cut(size: int, bits: int):
 def _shared(key, table):
     """One fragment: in how many sets each n-gram is; keep the shared ones."""
     schema = pa.schema([("kind", pa.int32()), ("fragment", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()),
-                        ("n", pa.int32()), ("m", pa.int32()), ("tokens", pa.binary()), ("dfs", pa.binary())])
+                        ("text_hash", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("tokens", pa.binary()), ("dfs", pa.binary())])
     fragment = key[0].as_py()
     if fragment < 0:
         k = table.num_rows
-        return pa.table([pa.array(np.zeros(k, np.int32)), table["fragment"], table["node"], table["doc_id"], table["n"],
+        return pa.table([pa.array(np.zeros(k, np.int32)), table["fragment"], table["node"], table["doc_id"], table["text_hash"], table["n"],
                          pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema)
     node, _ = unpacked(table["nodes"], np.int64)
     length = unpacked(table["counts"], np.uint32)[0].astype(np.int64)
@@ -122,7 +122,7 @@ def _shared(key, table):
     token, df, node, m = token[shared], df[shared], node[m > 0], m[m > 0]
     at, k = np.r_[0, np.cumsum(m)], len(node)
     return pa.table([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, fragment, np.int32)), pa.array(node), pa.nulls(k, pa.int64()),
-                     pa.nulls(k, pa.int32()), pa.array(m.astype(np.int32)), packed(token, at), packed(df, at)], schema=schema)
+                     pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(m.astype(np.int32)), packed(token, at), packed(df, at)], schema=schema)
 
 
 def _prefixes(num: int, den: int, bits: int):
@@ -191,8 +191,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lowered; the set
     is the distinct shingles of ``size`` words (one shingle of all words in a
     shorter text).  Two documents link when ``den * |A & B| >= num * |A | B|``.
-    Returns ``(doc_id, n_shingles, component_id)``, a row for each input row:
-    ``component_id`` is the smallest id that links can reach, itself included.
+    Returns ``(doc_id, n_shingles, component_id, class_id, text_hash)``, a row
+    for each input row: ``component_id`` is the smallest id that links can
+    reach, itself included; ``class_id`` tells classes apart where ids can't.
 
     Defined results: a null, empty or blank text has 0 shingles and links with
     nothing (its own id is its component); repeated rows and equal sets are one
@@ -203,13 +204,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     num, den = threshold
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     volume = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(FRAGMENTS[0], min(FRAGMENTS[1], volume // FRAGMENT_BYTES)).bit_length() - 1
     fragments = 1 << bits
     cut = slim.mapInArrow(_cut(size, bits), _CUT)
     seen = stored(cut.groupBy("fragment").applyInArrow(_shared, _SEEN), "shared", by=["kind"])
-    rows = seen.where("kind = 0").select("node", "doc_id", "n")
+    rows = seen.where("kind = 0").select("node", "doc_id", "text_hash", "n")
     segments = seen.where("kind = 1").select("node", "fragment", "m", "tokens", "dfs")
 
     sets = rows.where("node is not null").groupBy("node").agg(F.max("n").alias("n"))
@@ -256,8 +257,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     owner = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     named = owner.join(whole, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_node = named.join(least, "comp").select("node", "component_id")
+    by_node = named.join(least, "comp").select("node", "comp", "component_id")
     return rows.join(by_node, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("node").alias("set_id"))
+        F.col("comp").alias("class_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all their columns, without near duplicates.
+
+    Of every class the document of the smallest id stays (of equal ids, that
+    of the smallest text hash; a null id only where all are null), as one row
+    even if it is repeated.  Rows without words are in no class and all stay.
+    """
+    classes = jaccard_components(docs, id_col, text_col, **options).where("n_shingles > 0")
+    last = F.lit((1 << 63) - 1)
+    chosen = classes.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), F.col("text_hash").alias("hash"))).alias("one"))
+    chosen = stored(chosen.select(F.col("one.id").alias("__id"), F.col("one.hash").alias("__hash")), "chosen")
+    blank = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(blank).withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), last), "__hash": F.xxhash64(F.col(text_col))})
+    kept = keyed.join(chosen, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return kept.unionByName(docs.where(~blank))

@@ -93,8 +93,8 @@ shingle as (
   select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                                       when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
 sized as (select doc_id, count(*) as n from shingle group by doc_id),
-both as (select a.doc_id as x, b.doc_id as y, count(*) as o from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-link as (select x, y from both join sized p on p.doc_id = x join sized q on q.doc_id = y where 100 * o >= 75 * (p.n + q.n - o)),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as o from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select x, y from pairs join sized p on p.doc_id = x join sized q on q.doc_id = y where 100 * o >= 75 * (p.n + q.n - o)),
 edge as (select x, y from link union all select y, x from link),
 reach as (select doc_id as x, doc_id as y from documents union select r.x, e.y from reach r join edge e on r.y = e.x)
 select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c.component_id

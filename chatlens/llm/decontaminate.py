@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.tables import small_batches, stored
+from chatlens.llm.tables import sliced, small_batches, stored
 from chatlens.llm.words import FOLDED, run_hashes, span_hashes, text_buffers, word_spans
 
 #: Template words of a window, its least share of plain words, and the least words of a shorter item.
@@ -130,7 +130,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bits = np.packbits(bits)
 
     def hits(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             row, token, value = templates(b.column(2))
             for width in widths:
                 h, a = _windows(width, token, value, row)

@@ -13,8 +13,9 @@ What keeps the work small, without losing a link:
 * In the order (frequency, hash) two linked sets share one of their first
   ``n - ceil(threshold * n) + 1`` n-grams; only those meet.
 * Components need links, not all pairs: each meeting list is first compared
-  with its most typical member only; after that just pairs whose ends
-  are in different components are counted.
+  with its most typical member only, then nodes outside its largest component
+  with one member of that; after that just pairs whose ends are in different
+  components are counted.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.components import components
-from chatlens.llm.tables import packed, small_batches, stored, unpacked
+from chatlens.llm.tables import packed, sliced, small_batches, stored, unpacked
 from chatlens.llm.words import mix, shingles
 
 #: Shingles a map task gathers before it cuts them into fragments.
-GATHER = 1 << 21
+GATHER = 1 << 20
 #: Text bytes for one fragment, and the least and most fragments.
-FRAGMENT_BYTES, FRAGMENTS = 12 << 20, (16, 4096)
+FRAGMENT_BYTES, FRAGMENTS = 12 << 20, (64, 4096)
 #: Expanded n-grams that one counting step holds.
 COUNT_BLOCK = 4 << 20
 
@@ -66,7 +67,7 @@ def _cut(size: int, bits: int):
     def run(batches):
         seen: set[int] = set()  # as many as the partition has texts
         nodes, tokens, counts, held = [], [], [], 0
-        for batch in batches:
+        for batch in sliced(batches, 2):
             flat, at = shingles(batch.column(2), size)
             n = np.diff(at)
             total = np.concatenate([[np.uint64(0)], np.cumsum(flat, dtype=np.uint64)])
@@ -222,7 +223,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = stored(first.join(hubs, "token").where("node <> hub.node").select(
         F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "star")
 
-    groups = max(8, min(64, fragments // 4))  # fragments are dealt to so many counting tasks of a bucket
+    groups = fragments // 16  # fragments are dealt to so many counting tasks of a bucket
     buckets = max(1, volume // (64 << 20))
     coarse = components(star.select("a", "b")).select("node", F.pmod(F.xxhash64("comp"), F.lit(buckets)).cast("int").alias("bucket"))
     coarse = stored(coarse, "coarse")
@@ -238,19 +239,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return stored(total.join(pairs, ["a", "b"]).where(f"{den} * o >= {num} * (na + nb - o)").select("a", "b"), "links")
 
     near = linked(star.where(like))
-    comp = components(near)
-    at = first.join(comp, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    at = stored(at, "met")
-    main = at.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(
-        F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("most.comp").alias("main"))
-    open_ = at.join(main, "token")
+    hung = components(near)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def apart(comp: DataFrame) -> DataFrame:
+        """Meetings of n-grams with more than one component: every node, with the largest component there."""
+        at = first.join(comp, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        main = at.groupBy("token", "comp").agg(F.count("*").alias("k"), F.max(F.struct(F.xxhash64("token", "node").alias("dice"), "node", "n")).alias("one")).groupBy("token").agg(
+            F.max(F.struct("k", "comp", "one")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select(
+            "token", F.col("most.comp").alias("main"), F.col("most.one").alias("one"))
+        return stored(at.join(main, "token"), "apart")
+
+    def ordered(pairs: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
+        pairs = pairs.select(F.col(x).alias("x"), F.col(nx).alias("nx"), F.col(y).alias("y"), F.col(ny).alias("ny"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, nx, ny)").alias("na"),
+                            F.expr("if(x < y, ny, nx)").alias("nb")).where(like).distinct()
+
+    # a node outside a list's largest component meets one member of it, another in each of its lists
+    second = ordered(apart(hung).where("comp <> main"), "node", "n", "one.node", "one.n").join(tried, ["a", "b"], "left_anti")
+    second = stored(second, "second")
+    near = near.unionByName(linked(second))
+    tried = tried.unionByName(second.select("a", "b"))
+    # what is still apart is compared in full
+    open_ = apart(components(near))
     left = open_.where("comp <> main").select("token", "main", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
     right = open_.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    cross = left.join(right, "token").where("cx <> cy and (cy = main or x < y)").where(like.replace("na", "nx").replace("nb", "ny"))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                         F.when(F.expr("x < y"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-                         F.when(F.expr("x < y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = ordered(left.join(right, "token").where("cx <> cy and (cy = main or x < y)"), "x", "nx", "y", "ny")
     more = linked(cross.join(tried, ["a", "b"], "left_anti"))
     whole = components(near.unionByName(more))
 

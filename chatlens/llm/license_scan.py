@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.tables import small_batches
+from chatlens.llm.tables import sliced, small_batches
 from chatlens.llm.words import FOLDED, span_hashes, text_buffers, word_spans
 
 #: Share of a template's words that must be aligned, and how much longer than it a stretch may be.
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     needs = np.array([np.ceil(coverage * len(t)) for t in marks])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             word, row = word_hashes(b.column(1))
             n = len(b.column(1))
             at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)

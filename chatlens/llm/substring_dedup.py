@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.tables import packed, small_batches, stored, unpacked
+from chatlens.llm.tables import packed, sliced, small_batches, stored, unpacked
 from chatlens.llm.words import run_hashes, span_hashes, text_buffers, word_spans
 
 #: A run has this many words at least; one very long sentence can be a run.
@@ -107,7 +107,7 @@ def _cut(least_words: int, bits: int):
 
     def run(batches):
         held, many = [], 0
-        for batch in batches:
+        for batch in sliced(batches, 2):
             row, h, first, last = runs(batch.column(2), least_words)
             if len(h):
                 held.append((batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], h, first, last))
@@ -171,7 +171,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at, counted = names.index(text_col), names.index(count_col) if count_col is not None else -1
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, at):
             text = batch.column(at)
             raw, bound = text_buffers(text)
             begin, row, _, _ = sentences(raw, bound)

@@ -7,10 +7,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Text bytes that the numpy kernels take at once; a longer text is taken alone.
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,16 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, column: int, limit: int = SLICE_BYTES):
+    """The same rows in batches of at most about ``limit`` bytes in one text column."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // limit
+        edge = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows] if batch.num_rows else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+
+
 def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Arrow binary column whose row i holds the raw bytes of ``values[bounds[i]:bounds[i+1]]``."""
     values = np.ascontiguousarray(values)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.tables import packed, small_batches, stored, unpacked
+from chatlens.llm.tables import packed, sliced, small_batches, stored, unpacked
 from chatlens.llm.words import span_hashes, text_buffers, word_spans
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
@@ -127,8 +127,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str
     rows = text.join(F.broadcast(chosen), "__id").select("__id", *[f"__y{k}" for k in range(len(names))], "__text")
     rows = stored(rows, "labelled")  # the bounded sample
 
+    b_text = 1 + len(names)
+
     def count(batches):
-        for b in batches:
+        for b in sliced(batches, b_text):
             row, h, _ = _words(b.column(b.num_columns - 1))
             one, back = np.unique(h, return_inverse=True)
             cols = [pa.array(one.view(np.int64)), pa.array(np.bincount(back, minlength=len(one)).astype(np.int64))]
@@ -148,7 +150,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str
     chain = Chain(list(names), np.sort(np.array(sorted(best), np.int64).view(np.uint64)))
 
     def flags(batches):
-        for b in batches:
+        for b in sliced(batches, b_text):
             x = chain.features(b.column(b.num_columns - 1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[b.column(1 + k) for k in range(len(names))],
                                               packed(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], names=["id", *[f"y{k}" for k in range(len(names))], "x"])
@@ -191,7 +193,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             p = chain.predict(b.column(1))
             cols, names = [b.column(0)], ["doc_id"]
             for k, name in enumerate(chain.names):
@@ -211,7 +213,7 @@ def without(docs: DataFrame, chain: Chain, name: str, text_col: str = "text") ->
     at, k = docs.columns.index(text_col), chain.names.index(name)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, at):
             yield b.filter(pa.array(chain.predict(b.column(at))[:, k] <= chain.thresholds[k]))
 
     return docs.mapInArrow(run, docs.schema)

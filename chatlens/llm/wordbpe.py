@@ -307,12 +307,12 @@ class WordBpe:
         return where[back], own, alone
 
     def _batches(self, column):
-        """Texts in runs of about 4 MB, so that memory follows no batch's size."""
+        """Texts in runs of about 2 MB, so that memory follows no batch's size."""
         run, held = [], 0
         for text in column.to_pylist():
             run.append(text)
             held += len(text or "")
-            if held > 1 << 22:
+            if held > 1 << 21:
                 yield run
                 run, held = [], 0
         if run:

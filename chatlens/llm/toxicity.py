@@ -20,7 +20,7 @@ from chatlens.llm.words import span_hashes, text_buffers, word_spans
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
 SAMPLE = 8000
 #: Words kept for each category, and the least sampled rows that hold one.
-VOCABULARY, LEAST_ROWS = 128, 8
+VOCABULARY, LEAST_ROWS = 128, 3
 FOLDS = 5
 
 #: Bytes that part the words here: all ASCII but letters and digits.

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.tables import packed, small_batches, stored, unpacked
@@ -358,11 +358,11 @@ def _to_score(buckets: int):
     return run
 
 
-def _exact(single: bool, top: int):
+def _exact(single: bool, top: int, buckets: int):
+    """Exact scores; a bucket's best for each query go to the query's bucket."""
     def run(key, asks, nodes):
-        names = ["query_id", "vec_id", "score"]
         if not asks.num_rows or not nodes.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+            return _empty()
         kind = np.float32 if single else np.float64
         node, vec_id = nodes["node"].to_numpy(), nodes["vec_id"].to_numpy()
         x = unpacked(nodes["vec"], kind)[0].reshape(len(node), -1).astype(np.float64)
@@ -378,7 +378,20 @@ def _exact(single: bool, top: int):
         order = np.lexsort((vec_id[at], -s, own))
         own, at, s = own[order], at[order], s[order]
         keep = np.arange(len(own)) - np.searchsorted(own, np.arange(len(query)))[own] < top
-        return pa.table([pa.array(query[own[keep]]), pa.array(vec_id[at[keep]]), pa.array(s[keep])], names=names)
+        query, found, s = query[own[keep]], vec_id[at[keep]], s[keep]
+        order, names, bounds = _by_bucket(np.mod(query, buckets))
+        return _message(GIVE, names, key[0].as_py(), bounds, query[order], found[order], s[order])
+    return run
+
+
+def _ranked(top: int):
+    def run(key, given):
+        query, found, s = unpacked(given["a"], np.int64)[0], unpacked(given["b"], np.int64)[0], unpacked(given["x"], np.float64)[0]
+        order = np.lexsort((found, -s, query))
+        query, found, s = query[order], found[order], s[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        keep = rank <= top
+        return pa.table([pa.array(query[keep]), pa.array(rank[keep].astype(np.int32)), pa.array(found[keep]), pa.array(s[keep])], names=["query_id", "rank", "vec_id", "score"])
     return run
 
 
@@ -411,6 +424,5 @@ def nearest(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec
         given = index.unionByName(asks).groupBy("bucket").applyInArrow(_answer(buckets, k, 2 * k), _MESSAGE)
         beams = stored(beams.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_search_step(beam, width), _BEAM), "beams")
     asked = beams.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_to_score(buckets), _MESSAGE)
-    scored = asked.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_exact(single, top), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    scored = asked.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_exact(single, top, buckets), _MESSAGE)
+    return scored.groupBy("bucket").applyInArrow(_ranked(top), "query_id long, rank int, vec_id long, score double")

@@ -83,3 +83,11 @@ def log_ratio(count, max_count) -> Column:
 def intensity(value, max_value, gamma: float = 0.6) -> Column:
     """SC5: ``(value / max) ** gamma`` heat intensity with ``max`` at least 1."""
     return F.pow(_c(value) / F.greatest(_c(max_value), F.lit(1)), F.lit(gamma))
+
+
+def within(name: str, value: int, most: int | None = None) -> int:
+    """A request size from 1 to ``most``; anything else is an error, never clamped."""
+    value = int(value)
+    if value < 1 or most is not None and value > most:
+        raise ValueError(f"{name} must be from 1" + (f" to {most}" if most else " on") + f", not {value}")
+    return value

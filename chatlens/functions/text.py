@@ -8,6 +8,7 @@ thousand literals at most) and used as foldable ``rlike`` /
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 _WORD = r"[\p{L}\p{N}_]"
 
 
+_BOUNDED = frozenset(string.ascii_letters + string.digits + "_")
+
+
 def _edge_is_word(ch: str) -> bool:
-    """Only an ASCII letter, digit or underscore at a keyword edge gets a boundary."""
-    return ch.isascii() and (ch.isalnum() or ch == "_")
+    """A keyword edge gets a boundary when it is one of the 63 ASCII word characters."""
+    return ch in _BOUNDED
 
 
 def _parts(keywords, escape):

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatlens.functions.expr import within
 from chatlens.operators.stats import FilterSpecBase, scope
 from chatlens.schema import (CONV, COUNTRY, KEY, LANG, MODEL, REDACTED, STATE,
                              TAGS, TOXIC, TS, TURN)
@@ -42,7 +43,9 @@ def apply_filters(df: DataFrame, spec: FilterSpec | None,
     if spec.search:
         # case-insensitive regular expression on the key only; null never matches
         df = df.where(F.col(KEY).rlike("(?i)" + spec.search))
-    if spec.topic and cats is not None:
+    if spec.topic and cats is None:
+        raise ValueError("a topic filter needs the categories")
+    if spec.topic:
         wanted = cats.resolve(spec.topic)
         if wanted:  # an unknown topic filters nothing
             df = df.where(F.coalesce(F.arrays_overlap(F.col(TAGS), F.array(*[F.lit(t) for t in wanted])),
@@ -71,35 +74,42 @@ def page(df: DataFrame, page_no: int = 1, per_page: int = 20,
     ``orderBy + offset + limit`` plans as a per-partition top-(offset+n) and a
     final merge, so a page never sorts the whole table.
     """
-    per_page = max(1, min(int(per_page), 100))
-    page_no = max(1, int(page_no))
+    per_page = within("per_page", per_page, 100)
+    page_no = within("page_no", page_no)
     return df.orderBy(*order_by).offset((page_no - 1) * per_page).limit(per_page)
 
 
 def page_after(df: DataFrame, after: tuple | None = None, per_page: int = 20,
-               ts: str = TS, key: str = KEY) -> DataFrame:
+               ts: str = TS, key: str = KEY, tie: str | None = None) -> DataFrame:
     """SL2 for deep pages (keyset paging): the ``per_page`` rows strictly after
     ``after = (ts, key)``, the last row of the previous page, in ``(ts, key)``
     order (null times first, as ``orderBy`` sorts them).
 
+    Where rows can share ``(ts, key)``, name a column that tells them apart as
+    ``tie`` and pass ``after = (ts, key, tie value)``, or rows at a page's end are lost.
+
     Cost does not grow with page depth: the seek is a filter (pushed into the
     scan) plus a per-partition top-n, instead of keeping ``offset + n`` rows.
     """
-    per_page = max(1, min(int(per_page), 100))
+    per_page = max(1, min(int(per_page), 100))  # this page form clamps, as its source does
+    order = [F.asc_nulls_first(ts), F.asc(key)] + ([F.asc(tie)] if tie else [])
     if after is not None:
-        t, k = after
+        t, k = after[:2]
+        further = F.col(key) > F.lit(k)
+        if tie:
+            further = further | ((F.col(key) == F.lit(k)) & (F.col(tie) > F.lit(after[2])))
         if t is None:
-            cond = (F.col(ts).isNull() & (F.col(key) > F.lit(k))) | F.col(ts).isNotNull()
+            cond = (F.col(ts).isNull() & further) | F.col(ts).isNotNull()
         else:
             lit_t = F.lit(t).cast(df.schema[ts].dataType)
-            cond = (F.col(ts) > lit_t) | ((F.col(ts) == lit_t) & (F.col(key) > F.lit(k)))
+            cond = (F.col(ts) > lit_t) | ((F.col(ts) == lit_t) & further)
         df = df.where(cond)
-    return df.orderBy(F.asc_nulls_first(ts), F.asc(key)).limit(per_page)
+    return df.orderBy(*order).limit(per_page)
 
 
 def page_totals(df: DataFrame, page_no: int = 1, per_page: int = 20) -> DataFrame:
     """SL2: total rows, page, page size and number of pages (at least one)."""
-    per_page = max(1, min(int(per_page), 100))
+    per_page = within("per_page", per_page, 100)
     n = F.count(F.lit(1))
     return df.agg(n.alias("total"), F.lit(page_no).alias("page"), F.lit(per_page).alias("per_page"),
                   F.greatest(F.lit(1).cast("long"),

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlens.functions.expr import mean_round, pct, share_of_window
+from chatlens.functions.expr import mean_round, pct, share_of_window, within
 from chatlens.schema import COUNTRY, LANG, MODEL, REDACTED, TOXIC, TS, TURN
 from chatlens.sources.dims import MODEL_FAMILIES, VOLUME_PCT_BINS, WEEKDAY_NAMES
 
@@ -62,7 +62,7 @@ def _counts_with_total(df: DataFrame, dim: str, *aggs) -> DataFrame:
 
 def languages(df: DataFrame, n: int = 20) -> DataFrame:
     """AG3: rows per language, percent of all rows, top ``n``."""
-    n = max(1, min(int(n), 100))
+    n = within("n", n, 100)
     g = _counts_with_total(df, LANG)
     return (g.select(F.col(LANG).alias("language"), F.col("_rows").alias("count"),
                      pct("_rows", "_total", 1).alias("pct"))
@@ -78,7 +78,7 @@ def models(df: DataFrame) -> DataFrame:
              .orderBy(F.desc("count"), F.asc("model")))
 
 
-def _country_stats(df: DataFrame, n: int, total_floor: int = 0) -> DataFrame:
+def _country_stats(df: DataFrame, n: int | None, total_floor: int = 0) -> DataFrame:
     g = df.groupBy(COUNTRY).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.mode(LANG, True).alias("_lang"),
@@ -90,12 +90,15 @@ def _country_stats(df: DataFrame, n: int, total_floor: int = 0) -> DataFrame:
                      pct("_rows", "_total", 1).alias("pct"),
                      F.coalesce("_lang", F.lit("")).alias("dominant_language"),
                      F.coalesce("_model", F.lit("")).alias("dominant_model"))
-             .orderBy(F.desc("count"), F.asc("country")).limit(n))
+             .transform(lambda x: x if n is None else x.orderBy(F.desc("count"), F.asc("country")).limit(n)))
 
 
-def countries(df: DataFrame, n: int = 50) -> DataFrame:
-    """AG5: rows per country, percent of all rows, dominant language and model."""
-    return _country_stats(df, max(1, min(int(n), 250)))
+def countries(df: DataFrame, n: int | None = 50) -> DataFrame:
+    """AG5: rows per country, percent of all rows, dominant language and model.
+
+    ``n`` from 1 to 250 is the feature's top list; None gives every country, which
+    the continent and class figures build on."""
+    return _country_stats(df, None if n is None else within("n", n, 250))
 
 
 def countries_by_date(df: DataFrame, date_from: str | None = None,
@@ -106,7 +109,7 @@ def countries_by_date(df: DataFrame, date_from: str | None = None,
         f = f.where(F.col(TS) >= F.to_timestamp_ntz(F.lit(date_from)))
     if date_to:
         f = f.where(F.col(TS) <= F.to_timestamp_ntz(F.lit(date_to)))
-    return _country_stats(f, max(1, min(int(n), 250)), total_floor=1)
+    return _country_stats(f, within("n", n, 250), total_floor=1)
 
 
 def summary(df: DataFrame, prefixes=("gpt-3.5", "gpt-4"), english: str = "English",

@@ -136,11 +136,16 @@ def read_assignments(spark, path: str) -> DataFrame:
 
 
 def changed_tags(old: DataFrame, new: DataFrame) -> DataFrame:
-    """UT3: tags whose keyword set changed (name or colour changes do not count)."""
+    """UT3: tags whose keyword set changed (name or colour changes do not count).
+
+    New, removed and cleared tags are changes too: a removed tag comes with null
+    ``user_id``, ``name`` and ``keywords``.
+    """
     o = old.select("tag_id", F.array_sort(F.array_distinct(F.transform("keywords", lambda k: F.lower(F.trim(k))))).alias("o"))
     n = new.select("tag_id", F.array_sort(F.array_distinct(F.transform("keywords", lambda k: F.lower(F.trim(k))))).alias("n"), "keywords", "user_id", "name")
-    return n.join(o, "tag_id", "left").where(F.col("o").isNull() | (F.col("o") != F.col("n"))) \
-            .select("tag_id", "user_id", "name", "keywords")
+    both = n.withColumn("in_new", F.lit(True)).join(o.withColumn("in_old", F.lit(True)), "tag_id", "full_outer")
+    same = F.col("in_new").eqNullSafe(F.col("in_old")) & F.col("n").eqNullSafe(F.col("o"))
+    return both.where(~same).select("tag_id", "user_id", "name", "keywords")
 
 
 def rematch(df: DataFrame, old_tags: DataFrame, new_tags: DataFrame, path: str) -> list[int]:
@@ -187,31 +192,34 @@ def purge_user(df: DataFrame, user_id, user: str = "user_id"):
     return keep, removed
 
 
-def clean_activity(df: DataFrame, cap: int = 100, filters: str = "filters") -> DataFrame:
-    """SD6: drop entries whose filters are all default, keep one entry per id
-    (the newest), then the newest ``cap``.
+def clean_activity(df: DataFrame, cap: int = 100, filters: str = "filters", user: str = "user_id") -> DataFrame:
+    """SD6: drop entries whose filters are all default, keep one entry per user
+    and id (the newest), then each user's newest ``cap``.
 
-    One-per-id is an aggregation (``max_by``) with map-side combine, so a
-    repeated id never gathers its rows in one task before the reduce.
+    The log is one user's: without a ``user`` column all entries are.  Both
+    steps are ``row_number`` limits, which Spark cuts down before the shuffle.
     """
     fields = [f.name for f in df.schema[filters].dataType.fields]
     non_default = reduce(lambda a, b: a | b,
                          [F.coalesce(F.col(f"{filters}.{f}").cast("string"), F.lit("")) != ""
                           for f in fields])
     kept = df.where(non_default)
-    order = F.struct("ts", "event_id") if "event_id" in df.columns else F.struct("ts")
-    one = (kept.groupBy("id").agg(F.max_by(F.struct(*[F.col(c) for c in kept.columns if c != "id"]),
-                                           order).alias("e"))
-               .select("id", "e.*"))
-    tie = "event_id" if "event_id" in df.columns else "id"
-    return one.orderBy(F.desc("ts"), F.desc(tie)).limit(cap)
-
-
-def session_history(activity: DataFrame, n: int = 10) -> DataFrame:
-    """SD6: the newest ``n`` filter / country entries of a cleaned activity log."""
-    return (activity.where(F.col("type").isin("filter", "country"))
-                    .orderBy(F.desc("ts"), F.desc("event_id") if "event_id" in activity.columns else F.desc("id"))
-                    .limit(n))
+    own = [user] if user in df.columns else []
+    newest = [F.desc("ts"), F.desc("event_id" if "event_id" in df.columns else "id")]
+    one = _first(kept, [*own, "id"], newest, 1)
+    return _first(one, own, newest, cap) if own else one.orderBy(*newest).limit(cap)
+
+
+def session_history(activity: DataFrame, n: int = 10, user: str = "user_id") -> DataFrame:
+    """SD6: each user's newest ``n`` filter / country entries of a cleaned activity log."""
+    kept = activity.where(F.col("type").isin("filter", "country"))
+    newest = [F.desc("ts"), F.desc("event_id" if "event_id" in activity.columns else "id")]
+    return _first(kept, [user], newest, n) if user in activity.columns else kept.orderBy(*newest).limit(n)
+
+
+def _first(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
 def first_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:

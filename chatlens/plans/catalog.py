@@ -153,7 +153,7 @@ def q_model_family(spark, d):
 
 @query("volume_bins")
 def q_volume_bins(spark, d):
-    c = stats.countries(cm(spark, d), 250)
+    c = stats.countries(cm(spark, d), None)
     return c.select("country", "pct", stats.volume_class(F.col("pct")).alias("volume_class"))
 
 
@@ -224,13 +224,13 @@ def q_state_drilldown(spark, d):
 
 @query("continents")
 def q_continents(spark, d):
-    counts = stats.countries(cm(spark, d), 250).select("country", "count")
+    counts = stats.countries(cm(spark, d), None).select("country", "count")
     return geo.continents(counts, fx.country_continents(spark, d))
 
 
 @query("continent_drill")
 def q_continent_drill(spark, d):
-    counts = stats.countries(cm(spark, d), 250).select("country", "count")
+    counts = stats.countries(cm(spark, d), None).select("country", "count")
     return geo.continent_members(counts, fx.country_continents(spark, d), CONTINENT).drop("bar")
 
 

@@ -534,17 +534,18 @@ FROM events ORDER BY ts DESC, event_id DESC LIMIT 20"""
 SQL["purge_user"] = """
 SELECT count_if(user_id = 5) AS deleted, count_if(user_id IS DISTINCT FROM 5) AS remaining FROM events"""
 ACT = """act AS (
-  SELECT id, type, ts, event_id FROM (
-    SELECT concat_ws('-', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m%d%H')) AS id,
+  SELECT id, type, ts, event_id, user_id FROM (
+    SELECT concat_ws('-', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m%d%H')) AS id, user_id,
            CASE WHEN event_type IN ('click', 'view') THEN 'filter' ELSE event_type END AS type,
            ts, event_id,
            row_number() OVER (PARTITION BY concat_ws('-', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m%d%H'))
                               ORDER BY ts DESC, event_id DESC) AS rn
     FROM events WHERE user_id % 3 <> 0) WHERE rn = 1
-  ORDER BY ts DESC, event_id DESC LIMIT 100)"""
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 100)"""
 SQL["activity_clean"] = f"WITH {ACT} SELECT id, type, event_id FROM act"
 SQL["session_history"] = f"""WITH {ACT}
-SELECT id, type, event_id FROM act WHERE type IN ('filter', 'country') ORDER BY ts DESC, event_id DESC LIMIT 10"""
+SELECT id, type, event_id FROM act WHERE type IN ('filter', 'country')
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"""
 
 # ---- translation -------------------------------------------------------------------------------
 from chatlens.operators.translate import PROMPT  # noqa: E402

@@ -162,7 +162,8 @@ def etl_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity-log entries ``(id, type, label, ts, filters)`` from events.
 
-    Ids repeat (one id per user and hour) so the first-wins clean-up has work.
+    Ids repeat (one id per user and hour) so the first-wins clean-up has work,
+    and there are many users, each with a cap of their own.
     """
     e = table(spark, sf_dir, "events")
     ident = F.concat_ws("-", F.col("user_id").cast("string"),
@@ -173,7 +174,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("model"),
         F.lit("").alias("language"))
     return e.select(ident.alias("id"), typ.alias("type"), F.col("props").alias("label"),
-                    F.col("ts"), filters.alias("filters"), F.col("event_id"))
+                    F.col("ts"), filters.alias("filters"), F.col("event_id"), F.col("user_id"))
 
 
 # User keyword tags (parameters of the tag queries; the matching runs over the

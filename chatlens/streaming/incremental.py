@@ -25,10 +25,13 @@ from chatlens.schema import KEY
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing is there; any other failure is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def stream_first_wins(spark: SparkSession, in_dir: str, target: str, checkpoint: str,
@@ -57,12 +60,17 @@ def stream_first_wins(spark: SparkSession, in_dir: str, target: str, checkpoint:
         rows = rows.persist()
         try:
             n = rows.count()
+            if run_log:  # a batch replayed after its append finds no new rows; what it wrote is noted before
+                noted = _read_or_none(sess, f"{run_log}-pending")
+                before = noted.where(F.col("id") == run_id).agg(F.max("rows")).first()[0] if noted is not None else None
+                if before is None:
+                    sess.createDataFrame([(run_id, n)], "id string, rows long").write.mode("append").parquet(f"{run_log}-pending")
             if n:
                 rows.write.mode("append").parquet(target)
         finally:
             rows.unpersist()
         if run_log:
-            log_run(sess, run_log, n, "success", 0, time.perf_counter() - t0,
+            log_run(sess, run_log, n if before is None else max(n, before), "success", 0, time.perf_counter() - t0,
                     f"micro-batch {batch_id}", run_id=run_id)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

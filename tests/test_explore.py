@@ -80,3 +80,25 @@ def test_keyset_paging_equals_offset_paging(spark):
             after = (rows[-1].ts, rows[-1].conversation_hash)
     assert seek_pages == offset_pages
     assert sum(len(p) for p in seek_pages) == 25
+
+
+def test_keyset_paging_keeps_rows_that_share_time_and_key(spark):
+    import datetime
+    t = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t, "a", 1), (t, "b", 2), (t, "b", 3), (t, "c", 4)], "ts timestamp_ntz, conversation_hash string, row_id int")
+    seen, after = [], None
+    for _ in range(3):
+        rows = explore.page_after(df, after, 2, ts="ts", key="conversation_hash", tie="row_id").collect()
+        seen += [r.row_id for r in rows]
+        if rows:
+            after = (rows[-1].ts, rows[-1].conversation_hash, rows[-1].row_id)
+    assert seen == [1, 2, 3, 4]
+
+
+def test_requests_out_of_range_are_errors(spark):
+    import pytest
+    df = meta(spark)
+    for bad in (lambda: explore.page(df, 1, 250), lambda: explore.page(df, 0, 20), lambda: explore.page_totals(df, 1, 101),
+                lambda: explore.apply_filters(df, explore.FilterSpec(topic="x"))):
+        with pytest.raises(ValueError):
+            bad()

@@ -97,3 +97,21 @@ def test_clean_activity(spark):
     c = user_tags.clean_activity(df, 100).collect()
     assert [(r.id, r.event_id) for r in c] == [("x", 2), ("z", 4)]
     assert user_tags.session_history(user_tags.clean_activity(df), 1).count() == 1
+
+
+def test_removed_and_cleared_tags_are_changes(spark):
+    from pyspark.sql import functions as F
+    old = fx.user_tags(spark)
+    ids = sorted(r.tag_id for r in old.where("size(keywords) > 0").collect())
+    new = old.where(F.col("tag_id") != ids[0]).withColumn(
+        "keywords", F.when(F.col("tag_id") == ids[1], F.lit(None)).otherwise(F.col("keywords")))
+    assert sorted(r.tag_id for r in user_tags.changed_tags(old, new).collect()) == ids[:2]
+
+
+def test_activity_cap_is_per_user(spark):
+    t = dt.datetime
+    rows = [(f"i{k}", "filter", t(2024, 1, 1, 0, k), ("US",), k, k % 3) for k in range(30)]
+    df = spark.createDataFrame(rows, "id string, type string, ts timestamp_ntz, filters struct<country:string>, event_id long, user_id int")
+    got = user_tags.clean_activity(df, 4)
+    assert sorted(r.event_id for r in got.collect()) == list(range(18, 30))
+    assert sorted(r.event_id for r in user_tags.session_history(got, 1).collect()) == [27, 28, 29]

@@ -49,7 +49,7 @@ def _words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 400) -> np.ndarray:
     """Logistic regression with an intercept (last weight), by accelerated gradient steps."""
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = look = np.zeros(x.shape[1])
     v = np.random.RandomState(0).rand(x.shape[1])
     for _ in range(20):  # largest eigenvalue, for the step
@@ -157,7 +157,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str
 
     got = rows.mapInArrow(flags, "id long, " + ", ".join(f"y{k} int" for k in range(len(names))) + ", x binary").toArrow()
     width = len(chain.vocabulary) + 5
-    x = unpacked(got["x"], np.float32)[0].reshape(-1, width).astype(np.float64)
+    x = unpacked(got["x"], np.float32)[0].reshape(-1, width)
     ids = got["id"].to_numpy()
     order = np.lexsort((x.sum(axis=1), ids))
     x, ids = x[order], ids[order]

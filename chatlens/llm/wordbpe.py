@@ -117,7 +117,7 @@ def whole_tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
         if text and prepare(text) == text:
             held.append(text)
             ids.append(i)
-    proved = [k for k, e in enumerate(library.encode_batch(held, add_special_tokens=False)) if e.ids == [ids[k]]]
+    proved = [k for k, text in enumerate(held) if library.encode(text, add_special_tokens=False).ids == [ids[k]]]
     points = np.frombuffer(" ".join(held[k] for k in proved).encode("utf-32-le"), np.uint32)
     size = np.array([len(held[k]) for k in proved])
     begin = np.cumsum(size + 1) - size - 1

@@ -147,8 +147,8 @@ def _prefixes(num: int, den: int, bits: int):
             take = place < n[own] - -(-num * n[own] // den) + 1
             score = np.bincount(own, weights=np.log2(df), minlength=len(node)) / np.maximum(n, 1)
             own, token = own[take], token[take]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node[own]), pa.array(n[own]), pa.array(score[own])],
-                                             names=["token", "node", "n", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node[own]), pa.array(n[own]), pa.array(place[take].astype(np.int32)), pa.array(score[own])],
+                                             names=["token", "node", "n", "place", "score"])
 
     return run
 
@@ -218,7 +218,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alive = segments.groupBy("node").agg(F.sum("m").cast("int").alias("m_all")).join(sets, "node").where(f"{den} * m_all >= {num} * n")
     kept = stored(segments.join(alive, "node"), "kept")
     met = kept.groupBy("node", "n", "m_all").agg(F.collect_list(F.struct("fragment", "tokens", "dfs")).alias("parts"))
-    first = stored(met.mapInArrow(_prefixes(num, den, bits), "token long, node long, n int, score double"), "first")
+    first = stored(met.mapInArrow(_prefixes(num, den, bits), "token long, node long, n int, place int, score double"), "first")
     hubs = first.groupBy("token").agg(F.max(F.struct("score", "node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
     star = stored(first.join(hubs, "token").where("node <> hub.node").select(
         F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "star")
@@ -244,7 +244,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def apart(comp: DataFrame) -> DataFrame:
         """Meetings of n-grams with more than one component: every node, with the largest component there."""
-        at = first.join(comp, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        at = first.join(comp, "node", "left").select("token", "node", "n", "place", F.coalesce("comp", "node").alias("comp"))
         main = at.groupBy("token", "comp").agg(F.count("*").alias("k"), F.max(F.struct(F.xxhash64("token", "node").alias("dice"), "node", "n")).alias("one")).groupBy("token").agg(
             F.max(F.struct("k", "comp", "one")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select(
             "token", F.col("most.comp").alias("main"), F.col("most.one").alias("one"))
@@ -260,11 +260,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     second = stored(second, "second")
     near = near.unionByName(linked(second))
     tried = tried.unionByName(second.select("a", "b"))
-    # what is still apart is compared in full
+    # What is still apart is compared in full.  At two sets' first common n-gram all they share lies from its place on,
+    # so a meeting further back than the needed overlap leaves room for can't be the first of linked sets.
+    room = f"{num + den} * least(nx - px, ny - py) >= {num} * (nx + ny)"
     open_ = apart(components(near))
-    left = open_.where("comp <> main").select("token", "main", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    right = open_.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    cross = ordered(left.join(right, "token").where("cx <> cy and (cy = main or x < y)"), "x", "nx", "y", "ny")
+    left = open_.where("comp <> main").select("token", "main", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"))
+    right = open_.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("place").alias("py"))
+    cross = ordered(left.join(right, "token").where(f"cx <> cy and (cy = main or x < y) and {room}"), "x", "nx", "y", "ny")
     more = linked(cross.join(tried, ["a", "b"], "left_anti"))
     whole = components(near.unionByName(more))
 

@@ -49,6 +49,9 @@ def topic_array(text: Column, dictionary: dict, mode: str = "word", min_hits: in
                     n = F.size(F.array_intersect(found, F.array(*[F.lit(k) for k in lowered])))
                 else:
                     n = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pats[topic]), F.lit(0))))
+                    # no more distinct hits than keywords found: the regex runs only where that leaves it open
+                    most = sum((keyword_hit(text, found, [k]).cast("int") for k in dict.fromkeys(lowered)), F.lit(0))
+                    hit = hit & (most >= min_hits)
                 hit = F.when(hit, n >= min_hits).otherwise(F.lit(False))
             items.append(F.when(hit, F.lit(topic)))
     elif mode == "substring":
@@ -104,12 +107,13 @@ def keyword_report(df: DataFrame, dictionary: dict, text: str, id_col: str) -> D
     """TG7: per row and matched topic, the keywords found (plain substring test
     of each keyword as written against the lower-case text, as the diagnostic
     report does)."""
-    t = F.lower(F.col(text))
+    # the lower-case text is a column of its own: once per row, not once per keyword
+    rows = df.select(id_col, F.lower(F.col(text)).alias("_t"))
     per_topic = F.array(*[
         F.struct(F.lit(topic).alias("topic"),
-                 F.filter(F.array(*[F.lit(k) for k in kws]), lambda k: t.contains(k)).alias("hits"))
+                 F.array_compact(F.array(*[F.when(F.col("_t").contains(k), F.lit(k)) for k in kws])).alias("hits"))
         for topic, kws in dictionary.items() if kws])
-    return (df.select(id_col, F.explode_outer(F.filter(per_topic, lambda s: F.size(s["hits"]) > 0)).alias("m"))
+    return (rows.select(id_col, F.explode_outer(F.filter(per_topic, lambda s: F.size(s["hits"]) > 0)).alias("m"))
               .where(F.col("m").isNotNull())
               .select(id_col, F.col("m.topic").alias("topic"), F.col("m.hits").alias("hits")))
 

@@ -1,12 +1,8 @@
 """User keyword tags and side tables (UT1-UT7, SD1-SD6, AG28).
 
-Keyword matching (UT1) never pairs every conversation with every keyword:
-the LIKE predicate only reads model, language, country and the tag text, so
-it is evaluated on the *distinct values* of those fields (a few thousand at
-most for the first three; distinct tag sets for the last) against the keyword
-list, and the matching values are joined back to the conversations with an
-equi-join.  The keyword side is broadcast only in chunks of checked size; a
-larger keyword table is processed chunk by chunk, so every keyword is matched.
+Keyword matching (UT1) is a projection over the conversations: the keyword
+list, an array whose size is checked, is tested against model, language,
+country and tag text in the row.
 """
 
 from __future__ import annotations
@@ -19,7 +15,7 @@ from pyspark.sql import functions as F
 from chatlens.functions.expr import top_n_per_group
 from chatlens.schema import COUNTRY, KEY, LANG, MODEL, TAGS
 
-KEYWORD_CHUNK = 20000  # keywords per broadcast chunk (a few MB)
+KEYWORD_BYTES = 8 << 20  # keywords of one matching pass
 
 
 def parse_keywords(raw) -> F.Column:
@@ -42,46 +38,47 @@ def keyword_table(tags: DataFrame, keywords: str = "keywords") -> DataFrame:
                 .where(F.col("kw") != "").distinct())
 
 
-def _match_values(values: DataFrame, kws: DataFrame, literal: bool) -> DataFrame:
-    """(tag_id, field, v) where a keyword matches value ``v``; keywords broadcast
-    in chunks of checked size (every chunk is matched, nothing is capped)."""
-    n = kws.count()  # size check of the keyword side (small table)
-    chunks = max(1, -(-n // KEYWORD_CHUNK))
-    if chunks == 1:
-        parts = [kws]
-    else:
-        b = kws.withColumn("_chunk", F.pmod(F.xxhash64("tag_id", "kw"), F.lit(chunks)))
-        parts = [b.where(F.col("_chunk") == i).drop("_chunk") for i in range(chunks)]
-    out = []
-    for p in parts:
-        cond = (F.col("v").contains(F.col("kw")) if literal
-                else F.like(F.col("v"), F.concat(F.lit("%"), F.col("kw"), F.lit("%"))))
-        out.append(values.join(F.broadcast(p), cond, "inner").select("tag_id", "field", "v"))
-    return reduce(DataFrame.unionByName, out)
+def _keyword_array(kws: DataFrame) -> F.Column:
+    """All keywords as one array ``(tag_id, kw, piece, plain)``; its size is checked while it is built."""
+    volume = F.sum(F.octet_length("kw") + 16)
+    too_large = F.raise_error(F.lit(f"over {KEYWORD_BYTES} bytes of keywords in one part: give more parts"))
+    # the longest piece without wildcards: a plain test that spares most rows the pattern
+    pieces = F.transform(F.split("kw", r"[%_\\]"), lambda x: F.struct(F.length(x).alias("n"), x.alias("piece")))
+    every = F.collect_list(F.struct("tag_id", "kw", F.array_max(pieces)["piece"].alias("piece"), (F.array_max(pieces)["piece"] == F.col("kw")).alias("plain")))
+    return kws.agg(F.when(volume > KEYWORD_BYTES, too_large.cast("array<struct<tag_id:int,kw:string,piece:string,plain:boolean>>")).otherwise(every)).scalar()
 
 
 def match_keywords(df: DataFrame, tags: DataFrame, literal: bool = False,
                    fields=(MODEL, LANG, COUNTRY), tags_col: str = TAGS,
-                   key: str = KEY) -> DataFrame:
+                   key: str = KEY, parts: int = 1, unique_keys: bool = False) -> DataFrame:
     """UT1 / FL10: ``(tag_id, conversation_hash)`` for every tag with a keyword
     that is a case-insensitive substring of a field or of the tag text.
 
-    Plan: each conversation becomes (key, field, lower-case value) rows; the
-    distinct (field, value) pairs (an aggregation with map-side combine) are
-    matched against the keywords; matches join back on (field, value) - one
-    equi-join, whose build side AQE broadcasts when small and splits when a
-    value is hot.
+    Plan: the keywords are one array of checked size (a scalar subquery), the
+    fields are lower-cased once, and every row keeps the tags whose keyword it
+    holds: a projection, with no join and no shuffle of conversations.  A
+    keyword table over ``KEYWORD_BYTES`` needs more ``parts``: its tags are
+    dealt to so many arrays, each matched in a pass of its own.  Without
+    ``unique_keys`` the matches of repeated keys are reduced to one.
     """
-    kws = keyword_table(tags)
+    kws = keyword_table(tags).withColumn("tag_id", F.col("tag_id").cast("int"))
     texts = [F.lower(F.col(f)) for f in fields]
     texts.append(F.lower(F.concat_ws(" ", F.coalesce(F.col(tags_col), F.array().cast("array<string>")))))
-    pairs = F.array(*[F.struct(F.lit(i).alias("field"), t.alias("v")) for i, t in enumerate(texts)])
-    long = (df.select(key, F.explode_outer(pairs).alias("p"))
-              .select(key, F.col("p.field").alias("field"), F.col("p.v").alias("v"))
-              .where(F.col("v").isNotNull()))
-    vals = long.select("field", "v").distinct()
-    m = _match_values(vals, kws, literal).distinct()
-    return long.join(m, ["field", "v"]).select("tag_id", key).distinct()
+    rows = df.select(key, F.array_compact(F.array(*texts)).alias("_v"))
+
+    def holds(v, k):
+        if literal:
+            return v.contains(k["kw"])
+        return v.contains(k["piece"]) & (k["plain"] | F.like(v, F.concat(F.lit("%"), k["kw"], F.lit("%"))))
+
+    out = []
+    for i in range(parts):
+        own = kws if parts == 1 else kws.where(F.pmod(F.xxhash64("tag_id"), F.lit(parts)) == i)
+        hits = F.filter("_k", lambda k: F.exists("_v", lambda v: holds(v, k)))
+        ids = F.array_distinct(F.transform(hits, lambda k: k["tag_id"]))
+        out.append(rows.withColumn("_k", _keyword_array(own)).select(key, F.explode_outer(ids).alias("tag_id")).where("tag_id is not null").select("tag_id", key))
+    found = reduce(DataFrame.unionByName, out)
+    return found if unique_keys else found.distinct()
 
 
 def match_counts(assign: DataFrame, tags: DataFrame) -> DataFrame:
@@ -176,10 +173,10 @@ def latest(df: DataFrame, n: int, ts: str, tie: str = "id", **equals) -> DataFra
     return df.orderBy(F.desc(ts), F.desc(tie)).limit(n)
 
 
-def annotations_for(df: DataFrame, user_id, key_value=None, ts: str = "created_at",
+def annotations_for(df: DataFrame, user_id=None, key_value=None, ts: str = "created_at",
                     tie: str = "id") -> DataFrame:
-    """SD3: annotations of one user (on one conversation when given), oldest first."""
-    f = df.where(F.col("user_id") == F.lit(user_id))
+    """SD3: annotations of one user (of every user without one; on one conversation when given), oldest first."""
+    f = df if user_id is None else df.where(F.col("user_id") == F.lit(user_id))
     if key_value is not None:
         f = f.where(F.col(KEY) == F.lit(key_value))
     return f.orderBy(F.asc(ts), F.asc(tie))
@@ -220,15 +217,3 @@ def session_history(activity: DataFrame, n: int = 10, user: str = "user_id") ->
 def _first(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each key."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
-
-
-def first_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
-    """WN6: the first row per key by ``order_cols`` (aggregate, skew-safe)."""
-    others = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order_cols)).alias("_r"))
-              .select(key, "_r.*"))
-
-
-def rank_window(df: DataFrame, part: list[str], order) -> DataFrame:
-    """Helper for small frames: row number within partitions."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))

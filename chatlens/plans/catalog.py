@@ -119,7 +119,8 @@ def q_hourly(spark, d):
 
 @query("hourly_filled")
 def q_hourly_filled(spark, d):
-    e = events(spark, d).where(F.col("event_type") == "purchase")
+    """All events at the even hour they fall in, so every odd hour is a filled one."""
+    e = events(spark, d).withColumn("ts", F.expr("ts - make_dt_interval(0, hour(ts) % 2, 0, 0)"))
     return stats.hourly(e, fill=True)
 
 
@@ -147,13 +148,21 @@ def q_chart_country(spark, d):
 
 @query("model_family")
 def q_model_family(spark, d):
-    m = stats.models(cm(spark, d))
+    """Priorities as model names, one for each family prefix and one too long to show whole."""
+    starts = F.array(*[F.lit(x) for x in ("gpt-4o-mini-", "gpt-4o-", "gpt-4-", "gpt-3.5-turbo-", "some-other-vendor-")])
+    named = cm(spark, d).withColumn("model", F.concat(F.element_at(starts, F.substring("model", 1, 1).cast("int")), "model"))
+    m = stats.models(named)
     return m.select("model", stats.model_family(F.col("model")).alias("family"), "count")
 
 
 @query("volume_bins")
 def q_volume_bins(spark, d):
-    c = stats.countries(cm(spark, d), None)
+    """Six areas cut from the conversation hash, from under 0.5 % of all rows to over 15 %."""
+    h = F.col("conversation_hash")
+    area = F.lit("F")
+    for name, end in (("E", "3c"), ("D", "1c"), ("C", "0c"), ("B", "04"), ("A", "01")):
+        area = F.when(h < end, F.lit(name)).otherwise(area)
+    c = stats.countries(cm(spark, d).withColumn("country", area), None)
     return c.select("country", "pct", stats.volume_class(F.col("pct")).alias("volume_class"))
 
 
@@ -196,7 +205,7 @@ def q_tbc(spark, d):
 @query("rank_countries_for_topic")
 def q_rank_countries(spark, d):
     tbc = topics.topics_by_country(cmt(spark, d), CATS, 3)
-    return topics.countries_for_topic(tbc, "Writing", 20).drop("bar")
+    return topics.countries_for_topic(tbc, "Writing", 20)
 
 
 @query("topic_countries")
@@ -231,7 +240,7 @@ def q_continents(spark, d):
 @query("continent_drill")
 def q_continent_drill(spark, d):
     counts = stats.countries(cm(spark, d), None).select("country", "count")
-    return geo.continent_members(counts, fx.country_continents(spark, d), CONTINENT).drop("bar")
+    return geo.continent_members(counts, fx.country_continents(spark, d), CONTINENT)
 
 
 # ---- filters, paging, lookups --------------------------------------------------
@@ -437,7 +446,7 @@ from chatlens.operators import ingest, translate, user_tags  # noqa: E402
 
 
 def assignments(spark, d):
-    return user_tags.match_keywords(cmt(spark, d), fx.user_tags(spark))
+    return user_tags.match_keywords(cmt(spark, d), fx.user_tags(spark), unique_keys=True)
 
 
 @query("user_tag_match")
@@ -447,7 +456,7 @@ def q_user_tag_match(spark, d):
 
 @query("user_tag_match_literal")
 def q_user_tag_match_literal(spark, d):
-    return user_tags.match_keywords(cmt(spark, d), fx.user_tags(spark), literal=True)
+    return user_tags.match_keywords(cmt(spark, d), fx.user_tags(spark), literal=True, unique_keys=True)
 
 
 @query("user_tag_counts")
@@ -476,7 +485,7 @@ def q_user_tag_page(spark, d):
 
 @query("duplicate_tag_names")
 def q_duplicate_tag_names(spark, d):
-    return user_tags.duplicate_tag_names(fx.user_tags(spark)).select(
+    return user_tags.duplicate_tag_names(fx.named_tags(spark, d)).select(
         "user_id", "name_key", "count", F.concat_ws(",", F.col("tag_ids").cast("array<string>")).alias("tag_ids"))
 
 
@@ -488,14 +497,14 @@ def q_history_newest(spark, d):
 
 @query("notes_newest")
 def q_notes_newest(spark, d):
-    n = user_tags.latest(fx.notes(spark, d), 500, "created_at", "id", user_id=7)
-    return n.select("id", "conversation_hash", "text")
+    n = user_tags.newest_per_user(fx.notes(spark, d), 500)
+    return n.select("user_id", "rank", "id", "conversation_hash", "text")
 
 
 @query("annotations_oldest")
 def q_annotations_oldest(spark, d):
-    a = user_tags.annotations_for(fx.notes(spark, d), 3)
-    return a.select("id", "text")
+    a = user_tags.annotations_for(fx.notes(spark, d), key_value="c4ca4238a0b923820dcc509a6f75849b")  # md5('1')
+    return a.select("id", "user_id", "text")
 
 
 @query("etl_runs_latest")

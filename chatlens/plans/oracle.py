@@ -185,8 +185,8 @@ SELECT (SELECT model FROM m ORDER BY s / n DESC NULLS LAST, model LIMIT 1) AS de
 SQL["hourly"] = """
 SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS count FROM events WHERE ts IS NOT NULL GROUP BY 1"""
 SQL["hourly_filled"] = """
-WITH c AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM events
-           WHERE ts IS NOT NULL AND event_type = 'purchase' GROUP BY 1)
+WITH c AS (SELECT CAST(hour(ts) - hour(ts) % 2 AS INTEGER) AS hour, count(*) AS n FROM events
+           WHERE ts IS NOT NULL GROUP BY 1)
 SELECT h.hour, coalesce(c.n, 0) AS count
 FROM (SELECT CAST(range AS INTEGER) AS hour FROM range(24)) h LEFT JOIN c ON c.hour = h.hour"""
 _DAYS = "['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun']"
@@ -220,14 +220,16 @@ SELECT model,
             WHEN length(model) > 16 THEN substr(model, 1, 14) || '…'
             ELSE model END AS family,
        count(turn) AS count
-FROM cm WHERE model IS NOT NULL GROUP BY model""")
+FROM (SELECT turn, ['gpt-4o-mini-', 'gpt-4o-', 'gpt-4-', 'gpt-3.5-turbo-', 'some-other-vendor-'][CAST(substr(model, 1, 1) AS INTEGER)] || model AS model FROM cm)
+WHERE model IS NOT NULL GROUP BY model""")
 
 SQL["volume_bins"] = with_cm(f"""
 SELECT country, p AS pct,
        CASE WHEN p > 15 THEN 5 WHEN p > 8 THEN 4 WHEN p > 4 THEN 3 WHEN p > 2 THEN 2
             WHEN p > 0.5 THEN 1 ELSE 0 END AS volume_class
 FROM (SELECT country, {pct('count(*)', '(SELECT count(*) FROM cm)', 1)} AS p
-      FROM cm WHERE country IS NOT NULL GROUP BY country)""")
+      FROM (SELECT CASE WHEN conversation_hash < '01' THEN 'A' WHEN conversation_hash < '04' THEN 'B' WHEN conversation_hash < '0c' THEN 'C'
+                        WHEN conversation_hash < '1c' THEN 'D' WHEN conversation_hash < '3c' THEN 'E' ELSE 'F' END AS country FROM cm) GROUP BY country)""")
 
 SQL["run_status"] = """
 SELECT count_if(NOT coalesce(event_type = 'error', FALSE)) AS success_count,
@@ -274,8 +276,8 @@ TBC_CTES = (CAT_ROWS,
           FROM cc JOIN tot ON tot.country = cc.country)""")
 SQL["topics_by_country"] = with_cm("SELECT country, category, count, pct, rank FROM j WHERE rank <= 3", *TBC_CTES)
 SQL["rank_countries_for_topic"] = with_cm("""
-SELECT country, pct FROM j WHERE rank <= 3 AND category = 'Writing'
-ORDER BY pct DESC, country LIMIT 20""", *TBC_CTES)
+SELECT country, pct, pct / max(pct) OVER () AS bar
+FROM (SELECT country, pct FROM j WHERE rank <= 3 AND category = 'Writing' ORDER BY pct DESC, country LIMIT 20)""", *TBC_CTES)
 
 
 def topic_countries_sql(tags: list[str]) -> str:
@@ -323,7 +325,7 @@ SELECT continent, CAST(sum(count) AS BIGINT) AS total, count(*) AS country_count
        {pct('sum(count)', '(SELECT sum(count) FROM cc)', 1)} AS pct
 FROM cc JOIN dim ON dim.country = cc.country GROUP BY continent""", _CC, _DIM)
 SQL["continent_drill"] = with_cm("""
-SELECT cc.country, cc.count FROM cc JOIN dim ON dim.country = cc.country
+SELECT cc.country, cc.count, cc.count / max(cc.count) OVER () AS bar FROM cc JOIN dim ON dim.country = cc.country
 WHERE dim.continent = 'EUROPE' ORDER BY cc.count DESC, cc.country""", _CC, _DIM)
 
 # ---- filters, paging, lookups --------------------------------------------------------
@@ -512,8 +514,9 @@ FROM (SELECT country, count_if(conversation_hash IN (SELECT conversation_hash FR
 SQL["user_tag_page"] = with_cm(f"""
 SELECT {LISTING} FROM cm WHERE conversation_hash IN (SELECT conversation_hash FROM assign WHERE tag_id = 5)
 ORDER BY ts, conversation_hash LIMIT 25 OFFSET 50""", UT, KW, _assign())
-SQL["duplicate_tag_names"] = f"""
-WITH {UT}
+SQL["duplicate_tag_names"] = """
+WITH ut AS (SELECT c_custkey AS tag_id, c_custkey % 997 AS user_id,
+                   CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '  ' || lower(c_mktsegment) || ' ' END AS name FROM customer)
 SELECT user_id, lower(trim(name)) AS name_key, count(*) AS count,
        array_to_string(list(CAST(tag_id AS VARCHAR) ORDER BY tag_id), ',') AS tag_ids
 FROM ut GROUP BY user_id, lower(trim(name)) HAVING count(*) > 1"""
@@ -523,10 +526,11 @@ SELECT id, user_id, created_at, rank FROM (
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank
   FROM events) WHERE rank <= 5"""
 SQL["notes_newest"] = """
-SELECT event_id AS id, md5(CAST(event_id % 1000 AS VARCHAR)) AS conversation_hash, props AS text
-FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 500"""
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank,
+       event_id AS id, md5(CAST(event_id % 1000 AS VARCHAR)) AS conversation_hash, props AS text
+FROM events QUALIFY rank <= 500"""
 SQL["annotations_oldest"] = """
-SELECT event_id AS id, props AS text FROM events WHERE user_id = 3 ORDER BY ts, event_id"""
+SELECT event_id AS id, user_id, props AS text FROM events WHERE event_id % 1000 = 1 ORDER BY ts, event_id"""
 SQL["etl_runs_latest"] = """
 SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
        user_id AS rows_processed, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS errors

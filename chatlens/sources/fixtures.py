@@ -146,6 +146,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("props").alias("text"), F.col("ts").alias("created_at"))
 
 
+def named_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(tag_id, user_id, name)`` from customers: a user's names repeat but for case and spaces."""
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.concat(F.lit("  "), F.lower("c_mktsegment"), F.lit(" ")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tag_id"), (F.col("c_custkey") % 997).alias("user_id"), name.alias("name"))
+
+
 def etl_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log rows from events: one run per event, ``error`` for one event type."""
     e = table(spark, sf_dir, "events")

@@ -1,6 +1,6 @@
 import os
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from chatlens.operators import explore, profile
 from chatlens.sources import fixtures as fx
@@ -51,8 +51,9 @@ def test_profile_helpers(spark):
     assert smp.count() == 17 and {r.doc_id for r in smp.collect()} == {r.doc_id for r in profile.exact_sample(d, "doc_id", 17, 42).collect()}
     v = profile.verify_table(d, ["doc_id", "tags"], "doc_id").first()
     assert v.missing_columns == "tags" and v.null_keys == 0
-    assert profile.iqr_outliers(d, "n_chars", exact=True).count() >= 0
-    assert F is not None
+    n = np.array([r.n_chars for r in d.select("n_chars").collect()])
+    low, high = np.quantile(n, [0.25, 0.75])
+    assert profile.iqr_outliers(d, "n_chars", exact=True).count() == ((n < low - 1.5 * (high - low)) | (n > high + 1.5 * (high - low))).sum()
 
 
 def test_schema_report_missing_column(spark, tmpdir_path):

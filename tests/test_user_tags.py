@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from chatlens.operators import user_tags
 from chatlens.sources import fixtures as fx
 
@@ -37,6 +39,21 @@ def test_match_keywords_brute_force(spark):
     for literal in (False, True):
         got = {(r.tag_id, r.conversation_hash) for r in user_tags.match_keywords(df, tags, literal).collect()}
         assert got == brute_match(rows, fx.USER_TAGS, literal)
+        parts = user_tags.match_keywords(df.union(df), tags, literal, parts=3).collect()
+        assert len(parts) == len(got) and {(r.tag_id, r.conversation_hash) for r in parts} == got
+
+
+def test_keywords_of_no_tag_match_nothing(spark):
+    df = spark.createDataFrame([("a", "m", None, None, None)], "conversation_hash string, model string, language string, country string, tags array<string>")
+    none = fx.user_tags(spark).where("tag_id = 4")
+    assert user_tags.match_keywords(df, none).count() == 0
+
+
+def test_too_many_keywords_in_one_part_raise(spark, monkeypatch):
+    monkeypatch.setattr(user_tags, "KEYWORD_BYTES", 10)
+    df = spark.createDataFrame([("a", "m", None, None, None)], "conversation_hash string, model string, language string, country string, tags array<string>")
+    with pytest.raises(Exception, match="give more parts"):
+        user_tags.match_keywords(df, fx.user_tags(spark)).collect()
 
 
 def test_counts_and_duplicates(spark):

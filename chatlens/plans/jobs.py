@@ -1,0 +1,410 @@
+"""Registered jobs that write a table and read it back, loads with a run log,
+injected translators, and streams, each with its DuckDB SQL.
+
+Importing this module adds to ``catalog.QUERIES`` and ``oracle.SQL``.  Written
+tables go under ``spark.checkpoint.dir``, into a folder of their own per run.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from chatlens.functions import expr, text
+from chatlens.operators import explore, geo, ingest, profile, tagging, translate, user_tags
+from chatlens.plans import oracle
+from chatlens.plans.catalog import _stream_source, cm, cmt, docs, events, query, tr_requests
+from chatlens.schema import COUNTRY, KEY, LANG, MODEL, STATE, TAGS, TS, TURN
+from chatlens.session import scratch_path
+from chatlens.sources import dims, parquet
+from chatlens.sources import fixtures as fx
+from chatlens.streaming import dedupe_stream, stream_first_wins
+
+SQL = oracle.SQL
+with_cm = oracle.with_cm
+
+
+def new_path(spark, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+# ---- reading, writing, layout ------------------------------------------------------
+@query("parts_roundtrip")
+def q_parts_roundtrip(spark, d):
+    """IO1, IO4, IO7, SO2: all events as part sets (overwrite and append), read as one
+    frame and counted through a global view."""
+    base = new_path(spark, "parts")
+    e = events(spark, d).select("event_id", "user_id", "event_type")
+    buys = F.col("event_type").eqNullSafe("purchase")
+    views = F.col("event_type").eqNullSafe("view")
+    parquet.publish(e.where(buys), f"{base}/a")
+    parquet.publish(e.where(views), f"{base}/b")
+    parquet.publish(e.where(~buys & ~views), f"{base}/b", mode="append")
+    whole = parquet.read_parts(spark, [f"{base}/a", f"{base}/b"], schema=e.schema)
+    view = f"all_events_{uuid.uuid4().hex[:10]}"
+    parquet.publish(whole, view=view)
+    return spark.sql(f"""SELECT event_type, count(*) AS events, sum(event_id) AS id_sum, count(DISTINCT user_id) AS users
+                         FROM global_temp.{view} GROUP BY event_type""")
+
+
+SQL["parts_roundtrip"] = """
+SELECT event_type, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS id_sum, count(DISTINCT user_id) AS users
+FROM events GROUP BY event_type"""
+
+
+@query("csv_sink")
+def q_csv_sink(spark, d):
+    """IO5: conversations as CSV, messages as JSON text, read back and parsed."""
+    path = new_path(spark, "csv")
+    c = fx.conversation_docs(spark, d)
+    parquet.write_csv_sample(c, path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").schema(
+        "conv_id long, conversation_hash string, conversation string").csv(path)
+    return back.select("conv_id", KEY, F.json_array_length("conversation").cast("long").alias("messages"))
+
+
+SQL["csv_sink"] = """
+SELECT conv_id, md5(CAST(conv_id AS VARCHAR)) AS conversation_hash, count(*) AS messages FROM conversations GROUP BY conv_id"""
+
+
+@query("compact_documents")
+def q_compact_documents(spark, d):
+    """IO6: documents rewritten in files of the target size, and read back."""
+    base = new_path(spark, "compact")
+    src = docs(spark, d).select("doc_id", "lang", "text")
+    parquet.publish(src, f"{base}/in", partition_by=["lang"])
+    parquet.compact(spark, f"{base}/in", f"{base}/out", columns=["doc_id", "lang", "text"])
+    return spark.read.parquet(f"{base}/out").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+SQL["compact_documents"] = "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents"
+
+
+@query("drop_columns")
+def q_drop_columns(spark, d):
+    """IO9: customers without the columns whose name holds ``KEY`` in any case."""
+    return translate.drop_matching(fx.table(spark, d, "customer"), "KEY")
+
+
+SQL["drop_columns"] = "SELECT c_name, c_acctbal, c_mktsegment FROM customer"
+
+
+@query("vertical_split")
+def q_vertical_split(spark, d):
+    """IO8: documents split into a side table and the rest; both written, read and joined again."""
+    base = new_path(spark, "split")
+    parquet.write_split(docs(spark, d), ["lang", "source"], f"{base}/side", f"{base}/rest", key="doc_id")
+    side, rest = spark.read.parquet(f"{base}/side"), spark.read.parquet(f"{base}/rest")
+    return rest.join(side, "doc_id").select("doc_id", "lang", "source", F.length("text").cast("long").alias("chars"))
+
+
+SQL["vertical_split"] = "SELECT doc_id, lang, source, length(text) AS chars FROM documents"
+
+
+@query("keyed_layout")
+def q_keyed_layout(spark, d):
+    """IO13, FL8: conversations in the keyed layout, read back by key with a semi-join."""
+    path = new_path(spark, "keyed")
+    parquet.write_keyed(fx.conversation_docs(spark, d), path, partitions=8)
+    keys = fx.table(spark, d, "conversations").where("turn = 1").select(F.md5(F.col("conv_id").cast("string")).alias(KEY)).distinct()
+    found = spark.read.parquet(path).join(keys, KEY, "left_semi")
+    return found.select("conv_id", KEY, F.size("conversation").cast("long").alias("messages"),
+                        F.md5(F.col("conversation")[0]["content"]).alias("first_md5"))
+
+
+SQL["keyed_layout"] = """
+SELECT conv_id, md5(CAST(conv_id AS VARCHAR)) AS conversation_hash, count(*) AS messages, md5(arg_min(text, turn)) AS first_md5
+FROM conversations GROUP BY conv_id HAVING bool_or(turn = 1)"""
+
+
+@query("column_order")
+def q_column_order(spark, d):
+    """IO14: ``source`` moved right after ``doc_id``; the line shows the order."""
+    out = parquet.place_after(docs(spark, d).select("doc_id", "lang", "n_chars", "source"), "source", "doc_id")
+    return out.select(F.concat_ws("|", *[F.col(c).cast("string") for c in out.columns]).alias("line"))
+
+
+SQL["column_order"] = "SELECT concat_ws('|', CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)) AS line FROM documents"
+
+
+@query("verify_written")
+def q_verify_written(spark, d):
+    """PR14: checks of a written table: rows, missing columns, null keys (here: languages)."""
+    path = new_path(spark, "verify")
+    parquet.publish(cm(spark, d), path)
+    return profile.verify_table(spark.read.parquet(path), [KEY, MODEL, "conversation_en"], LANG)
+
+
+SQL["verify_written"] = with_cm("""
+SELECT count(*) AS rows, 'conversation_en' AS missing_columns, count(*) - count(language) AS null_keys FROM cm""")
+
+
+# ---- keyed loads and the run log ----------------------------------------------------
+@query("load_with_defaults")
+def q_load_with_defaults(spark, d):
+    """IO10: first-wins load with null defaults."""
+    out = ingest.first_wins_load(cmt(spark, d), None, KEY, [TS])
+    return out.select(KEY, LANG, STATE, F.col(TURN).cast("long").alias(TURN), "redacted", "tags_text")
+
+
+SQL["load_with_defaults"] = with_cm("""
+SELECT conversation_hash, coalesce(language, '') AS language, CASE WHEN trim(state) = '' THEN NULL ELSE state END AS state,
+       coalesce(turn, 0) AS turn, coalesce(redacted, FALSE) AS redacted, lower(array_to_string(tags, ' ')) AS tags_text FROM cm""")
+
+
+@query("run_log")
+def q_run_log(spark, d):
+    """IO12: a load that ends well and one that fails, each with its row in the run log."""
+    path = new_path(spark, "runs")
+    e = events(spark, d)
+    with ingest.logged_run(spark, path, "all events") as run:
+        run["rows"] = e.count()
+    try:
+        with ingest.logged_run(spark, path):
+            raise LookupError(f"{e.select('event_type').distinct().count()} event types without a target")
+    except LookupError:
+        pass
+    return spark.read.parquet(path).select("rows_processed", "status", "errors", "notes")
+
+
+SQL["run_log"] = """
+SELECT count(*) AS rows_processed, 'success' AS status, CAST(0 AS INTEGER) AS errors, 'all events' AS notes FROM events
+UNION ALL SELECT 0, 'error', CAST(1 AS INTEGER), (count(DISTINCT event_type) + max(event_type IS NULL)::BIGINT) || ' event types without a target' FROM events"""
+
+
+# ---- text helpers --------------------------------------------------------------------
+@query("tags_json")
+def q_tags_json(spark, d):
+    """TG9: tags to JSON and back; the text of untagged conversations is cut, so it is malformed."""
+    js = text.tags_to_json(TAGS)
+    js = F.when(F.array_contains(TAGS, "untagged"), F.expr(f"substring(to_json({TAGS}), 1, 5)")).otherwise(js)
+    t = cmt(spark, d).select(KEY, js.alias("tags_json"))
+    return t.select(KEY, "tags_json", F.concat_ws("|", F.coalesce(text.tags_from_json("tags_json"), F.array(F.lit("malformed")))).alias("decoded"))
+
+
+SQL["tags_json"] = with_cm("""
+SELECT conversation_hash, CASE WHEN list_contains(tags, 'untagged') THEN substr('["untagged"]', 1, 5)
+                               ELSE '["' || array_to_string(tags, '","') || '"]' END AS tags_json,
+       CASE WHEN list_contains(tags, 'untagged') THEN 'malformed' ELSE array_to_string(tags, '|') END AS decoded FROM cm""")
+
+
+@query("tag_job")
+def q_tag_job(spark, d):
+    """TG10: the tagging job: conversations read from parts, tagged, written."""
+    base = new_path(spark, "tagging")
+    parquet.publish(fx.conversation_docs(spark, d), f"{base}/in")
+    done = tagging.tag_job(spark, [f"{base}/in"], f"{base}/out", fx.FIXTURE_DICTIONARY)
+    return spark.read.parquet(f"{base}/out").select("conv_id", F.concat_ws(",", TAGS).alias("tags"), F.lit(done["rows"]).cast("long").alias("rows"))
+
+
+SQL["tag_job"] = f"SELECT conv_id, tags, count(*) OVER () AS rows FROM ({SQL['tag_conversations']})"
+
+
+@query("blank_states_rejected")
+def q_blank_states_rejected(spark, d):
+    """FL13: conversations whose state is null or blank are dropped."""
+    return explore.reject_blank(cm(spark, d), STATE).groupBy(COUNTRY, STATE).agg(F.count("*").alias("count"))
+
+
+SQL["blank_states_rejected"] = with_cm("SELECT country, state, count(*) AS count FROM cm WHERE length(trim(state)) > 0 GROUP BY country, state")
+
+
+@query("keyword_lists")
+def q_keyword_lists(spark, d):
+    """SC3: comma lists of customers, trimmed without empties, and lower-cased without repeats."""
+    seg = F.col("c_mktsegment")
+    raw = F.concat(F.lit(" , "), seg, F.lit(",, "), F.lower(seg), F.lit(" ,"), F.col("c_name"), F.lit(","))
+    return fx.table(spark, d, "customer").select(
+        "c_custkey", F.concat_ws("|", user_tags.parse_keywords(raw)).alias("keywords"),
+        F.concat_ws("|", user_tags.normalize_tag_names(raw)).alias("names"))
+
+
+SQL["keyword_lists"] = """
+SELECT c_custkey, c_mktsegment || '|' || lower(c_mktsegment) || '|' || trim(c_name) AS keywords,
+       lower(c_mktsegment) || '|' || lower(trim(c_name)) AS names FROM customer"""
+
+
+@query("address_hashes")
+def q_address_hashes(spark, d):
+    """SC8: SHA-256 of every event's address; none for an empty or missing one."""
+    u = F.col("user_id")
+    ip = (F.when(F.col("event_type") == "error", F.lit("")).when(F.col("event_type") == "view", F.lit(None))
+          .otherwise(F.concat(F.lit("10.0."), (u % 250).cast("string"), F.lit("."), F.floor(u / 250).cast("string"))))
+    return events(spark, d).select("event_id", expr.hash_ip(ip).alias("ip_hash"))
+
+
+SQL["address_hashes"] = """
+SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN NULL
+       ELSE sha256('10.0.' || (user_id % 250) || '.' || (user_id // 250)) END AS ip_hash FROM events"""
+
+
+@query("country_intensity")
+def q_country_intensity(spark, d):
+    """SC5: heat intensity of every country against the largest."""
+    c = cm(spark, d).groupBy(COUNTRY).agg(F.count("*").alias("count"))
+    most = c.agg(F.max("count").alias("m")).scalar()
+    return c.select(COUNTRY, "count", F.round(expr.intensity("count", most), 6).alias("intensity"))
+
+
+SQL["country_intensity"] = with_cm("""
+SELECT country, count, round(pow(count / greatest(max(count) OVER (), 1), 0.6), 6) AS intensity
+FROM (SELECT country, count(*) AS count FROM cm GROUP BY country)""")
+
+
+# ---- regions and continents ------------------------------------------------------------
+def _rules():
+    """Three rules for every nation, in the order they are tried."""
+    return [(f"NATION_{i}", op, arg) for i in range(25)
+            for op, arg in (("prefix", "NATION_"), ("strip_suffix", " City"), ("suffix_norm", "-s2"))]
+
+
+@query("region_resolve_rules")
+def q_region_resolve_rules(spark, d):
+    """JN10, SC9: aliases, accents, prefix, strip and normalised-suffix rules over every state."""
+    st = (cm(spark, d).where(F.col(STATE).isNotNull() & (F.trim(STATE) != ""))
+          .select(COUNTRY, F.col(STATE).alias("item")).distinct())
+    aliases = st.select(COUNTRY, F.concat(F.lit("alias of "), "item").alias("alias"), F.col("item").alias("name"))
+    accented = F.translate("item", "AO", "ÁÖ")
+    names = st.select(COUNTRY, F.explode(F.array(
+        F.concat(F.lit("alias of "), "item"), accented, F.substring("item", 8, 99), F.concat("item", F.lit(" City")),
+        F.translate(COUNTRY, "AO", "ÁÖ"))).alias("name"))
+    return geo.resolve_regions(names, st, aliases, _rules())
+
+
+SQL["region_resolve_rules"] = with_cm("""
+SELECT country, 'alias of ' || item AS name, item, CAST(2 AS INTEGER) AS rule FROM st
+UNION ALL SELECT country, translate(item, 'AO', 'ÁÖ'), item, CAST(3 AS INTEGER) FROM st
+UNION ALL SELECT country, substr(item, 8), item, CAST(10 + 3 * i AS INTEGER) FROM st
+UNION ALL SELECT country, item || ' City', item, CAST(11 + 3 * i AS INTEGER) FROM st
+UNION ALL SELECT c.country, translate(c.country, 'AO', 'ÁÖ'), s.item, CASE WHEN s.item IS NOT NULL THEN CAST(12 + 3 * c.i AS INTEGER) END
+FROM (SELECT DISTINCT country, i FROM st) c LEFT JOIN st s ON s.country = c.country AND s.item = c.country || '-S2'""",
+    """st AS (SELECT DISTINCT country, state AS item, CAST(substr(country, 8) AS INTEGER) AS i FROM cm
+             WHERE state IS NOT NULL AND trim(state) <> '')""")
+
+#: What stands for the 25 nations, with both spellings of three countries and two places without a continent.
+PLACES = ["United States", "Türkiye", "Turkey", "The Netherlands", "Netherlands", "Czechia", "Czech Republic", "Brazil", "Egypt",
+          "Australia", "Japan", "Canada", "Atlantis", "France", "Nigeria", "India", "Chile", "Mexico", "China", "Peru",
+          "Germany", "Israel", "South Africa", "Colombia", "Norway"]
+
+
+@query("shipped_continents")
+def q_shipped_continents(spark, d):
+    """JN9: conversations per continent of the shipped dimension, both spellings included."""
+    place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), F.regexp_extract(COUNTRY, r"(\d+)$", 1).cast("int") + 1)
+    c = cm(spark, d).select(place.alias("country")).groupBy("country").agg(F.count("*").alias("count"))
+    dim = dims.continent_frame(spark)
+    return c.join(dim, "country", "left").select("country", "count", "continent", "cont_order")
+
+
+_CONT = {"North America": [0, 11, 17], "South America": [7, 16, 23], "Europe": [3, 4, 5, 6, 13, 20, 24],
+         "Asia": [1, 2, 10, 15, 18, 21], "Africa": [8, 14, 22], "Oceania": [9]}
+SQL["shipped_continents"] = with_cm(f"""
+SELECT p.place AS country, count(*) AS count, c.continent, c.cont_order
+FROM cm JOIN {oracle.values(list(enumerate(PLACES)), ['i', 'place'])} p ON p.i = CAST(substr(cm.country, 8) AS INTEGER)
+LEFT JOIN {oracle.values([(i, n, o) for o, (n, at) in enumerate(_CONT.items()) for i in at], ['i', 'continent', 'cont_order'])} c ON c.i = p.i
+GROUP BY ALL""")
+
+
+# ---- translation --------------------------------------------------------------------------
+def busy_or_chatty(conversation: str) -> str:
+    """A translator for tests: fails on some texts and answers others without JSON."""
+    if " und " in conversation:
+        raise RuntimeError("busy")
+    return "no JSON here" if " que " in conversation else conversation
+
+
+@query("translator_errors")
+def q_translator_errors(spark, d):
+    """TR2, TR6: an injected translator over all requests; the error report."""
+    r = tr_requests(spark, d)
+    return translate.error_reports(translate.classify_responses(r, translate.run_translator(r, busy_or_chatty, retries=2, backoff=0)))
+
+
+SQL["translator_errors"] = f"""WITH {oracle.DC}, {oracle.REQ}
+SELECT conversation_hash, CASE WHEN contains(text, ' und ') THEN 'api_error' ELSE 'parse_error' END AS status,
+       CASE WHEN contains(text, ' und ') THEN 'RuntimeError: busy' ELSE 'JSONDecodeError | raw[:300]: no JSON here' END AS error_text
+FROM req WHERE contains(text, ' und ') OR contains(text, ' que ')"""
+
+
+@query("translation_cache")
+def q_translation_cache(spark, d):
+    """TR8: whole translations for all conversations that the cache (French ones) lacks."""
+    dc = fx.document_conversations(spark, d)
+    cache = dc.where(F.col(LANG) == "fr").select(KEY)
+    out = translate.fill_translation_cache(dc, cache, lambda s: s.replace("e", "E"))
+    content = F.get("conversation_en", F.lit(0))["content"]
+    return out.select(KEY, F.length(content).cast("long").alias("chars"), F.md5(content).alias("content_md5"))
+
+
+SQL["translation_cache"] = f"""WITH {oracle.DC}
+SELECT conversation_hash, length(text) AS chars, md5(replace(text, 'e', 'E')) AS content_md5
+FROM dc WHERE language IS DISTINCT FROM 'fr'"""
+
+
+# ---- user tags ------------------------------------------------------------------------------
+@query("user_tag_rematch")
+def q_user_tag_rematch(spark, d):
+    """UT2, UT3: assignments written, then changed, cleared and removed tags matched anew."""
+    path = new_path(spark, "assignments")
+    now = fx.user_tags(spark)
+    old = [(i, u, n, c, {1: ["nation_2"], 4: ["building"]}.get(i, k)) for i, u, n, c, k in fx.USER_TAGS]
+    before = spark.createDataFrame(old + [(99, 1, "gone", "#000000", ["machinery"])], now.schema)
+    corpus = cmt(spark, d)
+    first = user_tags.match_keywords(corpus, before, unique_keys=True)
+    user_tags.replace_assignments(first, [i for i, *_ in old] + [99], path)
+    user_tags.rematch(corpus, before, now, path)
+    return user_tags.read_assignments(spark, path).select("tag_id", KEY)
+
+
+SQL["user_tag_rematch"] = SQL["user_tag_match"]
+
+
+# ---- streams -----------------------------------------------------------------------------------
+def _tagged_stream(spark, d, log=None):
+    schema, path = _stream_source(spark, d, "documents")
+    base = new_path(spark, "arrivals")
+
+    def shape(s):
+        t = tagging.tag(s, fx.FIXTURE_DICTIONARY, text="text")
+        return t.select(F.sha2("text", 256).alias(KEY), "doc_id", F.concat_ws(",", TAGS).alias("tags"))
+
+    q = stream_first_wins(spark, path, f"{base}/target", f"{base}/ckpt", schema, key=KEY, order_by=["doc_id"], transform=shape, run_log=f"{base}/runs")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/{'runs' if log else 'target'}")
+
+
+@query("stream_tag_on_arrival")
+def q_stream_tag_on_arrival(spark, d):
+    """ST2: documents tagged as they arrive, the first of each text kept."""
+    return _tagged_stream(spark, d).select("doc_id", "tags")
+
+
+SQL["stream_tag_on_arrival"] = f"""
+SELECT t.doc_id, t.tags FROM ({SQL['tag_documents']}) t
+JOIN (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text) f ON f.doc_id = t.doc_id"""
+
+
+@query("stream_run_log")
+def q_stream_run_log(spark, d):
+    """ST5: the run log of the stream; one row for the one micro-batch."""
+    return _tagged_stream(spark, d, log=True).select("rows_processed", "status", "errors", "notes")
+
+
+SQL["stream_run_log"] = """
+SELECT count(DISTINCT text) AS rows_processed, 'success' AS status, CAST(0 AS INTEGER) AS errors, 'micro-batch 0' AS notes FROM documents"""
+
+
+@query("stream_distinct_users")
+def q_stream_distinct_users(spark, d):
+    """ST3: duplicate users dropped within a delay longer than the data; which event stays is open, so users only."""
+    schema, path = _stream_source(spark, d, "events")
+    base = new_path(spark, "dedupe")
+    src = spark.readStream.schema(schema).parquet(path)
+    q = (dedupe_stream(src.where("user_id is not null and ts is not null"), "user_id", "ts", "36500 days").select("user_id")
+         .writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start(f"{base}/out"))
+    q.awaitTermination()
+    return spark.read.schema("user_id bigint").parquet(f"{base}/out")
+
+
+SQL["stream_distinct_users"] = "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"

@@ -63,11 +63,13 @@ def write_csv_sample(df: DataFrame, path: str, nested: tuple = (CONV,)) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def compact(spark: SparkSession, in_paths, out_path: str, files: int,
+def compact(spark: SparkSession, in_paths, out_path: str, files: int | None = None,
             columns: list[str] | None = None) -> None:
-    """IO6: many inputs rewritten as ``files`` output files."""
+    """IO6: many inputs rewritten as ``files`` output files; without a number, as
+    files near ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` (a rebalance)."""
     df = read_parts(spark, in_paths, columns=columns)
-    df.repartition(files).write.mode("overwrite").parquet(out_path)
+    df = df.repartition(files) if files else df.hint("rebalance")
+    df.write.mode("overwrite").parquet(out_path)
 
 
 def split_columns(df: DataFrame, side_cols: list[str], key: str = KEY):
@@ -77,6 +79,13 @@ def split_columns(df: DataFrame, side_cols: list[str], key: str = KEY):
     return side, rest
 
 
+def write_split(df: DataFrame, side_cols: list[str], side_path: str, rest_path: str, key: str = KEY) -> None:
+    """IO8: both parts of ``split_columns`` as Parquet tables, each keeping the key."""
+    side, rest = split_columns(df, side_cols, key)
+    publish(side, side_path)
+    publish(rest, rest_path)
+
+
 def write_keyed(df: DataFrame, path: str, key: str = KEY, partitions: int | None = None,
                 bloom: bool = True) -> None:
     """IO13: range-partition and sort by the key, with a Parquet bloom filter on
@@ -89,11 +98,7 @@ def write_keyed(df: DataFrame, path: str, key: str = KEY, partitions: int | None
 
 
 def place_after(df: DataFrame, column: str, anchor: str) -> DataFrame:
-    """IO14: move ``column`` right after ``anchor``."""
-    order = []
-    for name in df.columns:
-        if name != column:
-            order.append(name)
-        if name == anchor:
-            order.append(column)
-    return df.select(order)
+    """IO14: move ``column`` right after ``anchor``; a missing anchor is an error."""
+    rest = [c for c in df.columns if c != column]
+    at = rest.index(anchor) + 1
+    return df.select(*rest[:at], column, *rest[at:])

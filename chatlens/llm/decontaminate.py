@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders; what is left is a template.
 Windows of template words are hashed and joined with the benchmark's.  Along
-an alignment every value that a placeholder stands for must be replaced by one
-value throughout, which tells a re-parameterised question from chance.
+an alignment the value that a placeholder stands for stays or is replaced by
+one value; windows that hold another replacement do not count, which tells a
+re-parameterised question from chance.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ def templates(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     part of a number).  A word that starts with a digit is a number; a unit
     must follow one; a capital inside a sentence makes a name.  Runs of
     numbers, or of names, are one placeholder, and plain words are lowered.
+    The low two bits of a value are its kind: 1 a number, 2 a name, 3 a unit.
     """
     raw, at = text_buffers(column)
     if not len(raw):
@@ -67,7 +69,7 @@ def templates(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.r_[False, (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 2))] & ~new_row
     head = np.flatnonzero(~again)
     value = run_hashes(word, head, np.r_[head[1:], len(word)])
-    return row[head], token[head], np.where(kind[head] > 0, value | np.uint64(1), np.uint64(0))
+    return row[head], token[head], np.where(kind[head] > 0, value & ~np.uint64(3) | kind[head].astype(np.uint64), np.uint64(0))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -106,13 +108,59 @@ def _benchmark(size: int):
     return run
 
 
+def _consistent(batches):
+    """The places of each alignment's windows without the clashing ones, and those with no value changed.
+
+    Several values may become equal, and a use that keeps its value clashes with nothing.  Of the
+    replacements of one value the one at most places holds; of as many, the first for a number or a unit (equal
+    numbers may be two quantities) and none for a name.
+    """
+    for b in batches:
+        windows = b.column(b.num_columns - 1)
+        n = len(windows)
+        line = np.repeat(np.arange(n), np.diff(windows.offsets.to_numpy()))
+        flat = windows.flatten()
+        place, slots, held = flat.field("place").to_numpy(), flat.field("slots"), flat.field("held")
+        width = np.diff(slots.offsets.to_numpy())
+        window = np.repeat(np.arange(len(flat)), width)
+        spot = place[window] + np.arange(len(window)) - np.repeat(np.cumsum(width) - width, width)
+        slot, value = slots.flatten().to_numpy(), held.flatten().to_numpy()
+        new = slot != value
+        window, spot, slot, value = window[new], spot[new], slot[new], value[new]
+        kept = np.ones(len(flat), bool)
+        if len(window):
+            own = line[window]
+            order = np.lexsort((spot, value, slot, own))
+            o, t, v, p = own[order], slot[order], value[order], spot[order]
+            pair = np.r_[True, (o[1:] != o[:-1]) | (t[1:] != t[:-1]) | (v[1:] != v[:-1])]
+            number = np.cumsum(pair) - 1  # of the pair of slot and value
+            many = np.bincount(number, np.r_[True, pair[1:] | (p[1:] != p[:-1])])
+            o, t, first = o[pair], t[pair], p[pair]
+            best = np.lexsort((first, -many, t, o))
+            lead = np.r_[True, (o[best][1:] != o[best][:-1]) | (t[best][1:] != t[best][:-1])]
+            tied = np.r_[~lead[1:] & (many[best][1:] == many[best][:-1]), False]
+            holds = np.zeros(len(many), bool)
+            holds[best] = lead & ~(tied & (t[best] & 3 == 2))
+            kept[window[order[~holds[number]]]] = False
+        same = np.ones(len(flat), bool)
+        same[window] = False
+        yield pa.RecordBatch.from_arrays(
+            [b.column(k) for k in range(b.num_columns - 1)] + [_by_line(line, place, kept, n), _by_line(line, place, kept & same, n)],
+            names=b.schema.names[:-1] + ["places", "same"])
+
+
+def _by_line(line, place, which, n):
+    """A list of the flagged windows' places for each of ``n`` alignments."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(line[which], np.arange(n + 1)).astype(np.int32)), pa.array(place[which]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, text_hash, item_id, n_windows, coverage, exact)`` of every document that holds a benchmark item.
 
-    ``coverage`` is the share of the item's windows found in alignments whose
-    slots are consistent; rows under the ``coverage`` parameter are left out.
-    ``exact``: no value was changed.
+    ``coverage`` is the share of the item's windows found in alignments, without
+    those whose values clash there; rows under the ``coverage`` parameter are left out.
+    ``exact``: all of them are found with no value changed.
 
     Defined results: null, empty or blank texts hold nothing, nor do items of
     under four template words; rows with equal id and text are one document;
@@ -152,15 +200,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = slim.mapInArrow(hits, f"doc_id {kind}, text_hash long, window long, width int, at int, held array<long>")
     met = found.join(known, ["window", "width"]).withColumn("line", F.col("at") - F.col("place"))
     # one alignment: the windows of a document and an item at one distance
-    line = met.groupBy("doc_id", "text_hash", "item_id", "line", "n_windows").agg(
-        F.collect_set("place").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.filter(F.arrays_zip("slots", "held"), lambda x: x["slots"] != 0)))).alias("pairs"))
-    ok = line.where("size(pairs) = size(array_distinct(pairs.slots)) and size(pairs) = size(array_distinct(pairs.held))")
+    line = met.groupBy("doc_id", "text_hash", "item_id", "line", "n_windows").agg(F.collect_set(F.struct("place", "slots", "held")).alias("windows"))
+    ok = line.drop("line").mapInArrow(_consistent, f"doc_id {kind}, text_hash long, item_id long, n_windows int, places array<int>, same array<int>")
     whole = ok.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-        F.min(F.forall("pairs", lambda x: x["slots"] == x["held"])).alias("exact"))
+        F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"))
     return whole.select("doc_id", "text_hash", "item_id", F.size("places").cast("long").alias("n_windows"),
-                        (F.size("places") / F.col("n_windows")).alias("coverage"), "exact").where(F.col("coverage") >= coverage)
+                        (F.size("places") / F.col("n_windows")).alias("coverage"),
+                        (F.size("same") == F.size("places")).alias("exact")).where(F.col("coverage") >= coverage)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -29,6 +29,13 @@ UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles met
          "s ms h min sec second seconds minute minutes hour hours day days week weeks month months year years "
          "percent dollar dollars euro euros cent cents usd eur gbp degree degrees kmh mph kph hz khz mhz ghz w kw mw v a j kj n pa kb mb gb tb").split()
 
+#: Words that no name is, though a sentence may start with them.
+FUNCTION_WORDS = ("a an the this that these those some any each every all both half many much few several another other such no none one "
+                  "i you he she it we they me him her us them my your his its our their what which who whom whose when where why how "
+                  "is are was were be been am do does did has have had can could will would shall should may might must "
+                  "if and or but so then than as at by for from in into of off on onto over out up down to under with without within about after before "
+                  "between during since until while because though although not there here now also only just first next last finally again").split()
+
 _GAPS = np.zeros(256, bool)
 _GAPS[:128] = [not chr(i).isalnum() for i in range(128)]
 _DIGIT = np.zeros(256, bool)
@@ -36,74 +43,97 @@ _DIGIT[48:58] = True
 NUM, NAME, UNIT = (np.uint64(0xD1CEBA5E_00000001 + 2 * k) for k in range(3))
 
 
-def templates(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template words of every row: ``(row, template hash, value hash)``; value 0 is a plain word.
+def templates(column) -> list[tuple[np.ndarray, ...]]:
+    """Template words of every row, in two forms: ``(row, template hash, value hash, spot, doubtful)``; value 0 is a plain word.
 
     Words are runs of letters and digits (a point or comma between digits is
     part of a number).  A word that starts with a digit is a number; a unit
     must follow one; a capital inside a sentence makes a name.  Runs of
     numbers, or of names, are one placeholder, and plain words are lowered.
     The low two bits of a value are its kind: 1 a number, 2 a name, 3 a unit.
+
+    A capital that opens a sentence is doubtful, ``FUNCTION_WORDS`` apart: a
+    plain word in the first form, a name in the second.  ``spot`` counts the
+    words of the second form in both, so that places in them can be compared.
     """
     raw, at = text_buffers(column)
+    none = np.zeros(0, np.int64)
+    nothing = [(none, none.view(np.uint64), none.view(np.uint64), none, none.astype(bool))] * 2
     if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return nothing
     digit = _DIGIT[raw]
     joint = np.zeros(len(raw), bool)
     joint[1:-1] = ((raw[1:-1] == 46) | (raw[1:-1] == 44)) & digit[:-2] & digit[2:]
     shown = np.where(joint, np.uint8(48), raw)
     start, end, row = word_spans(shown, at, _GAPS)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return nothing
     word = span_hashes(raw, start, end, FOLDED)
-    units = np.sort(_unit_hashes())
     number = digit[start]
     new_row = np.r_[True, row[1:] != row[:-1]]
-    known = units[np.minimum(np.searchsorted(units, word), len(units) - 1)] == word
-    unit = known & np.r_[False, number[:-1]] & ~new_row
+    unit = _among(word, UNITS) & np.r_[False, number[:-1]] & ~new_row
     stops = np.r_[0, np.cumsum((raw == 46) | (raw == 33) | (raw == 63) | (raw == 10))]
     opens = new_row | (stops[start] > np.r_[0, stops[end[:-1]]])
-    name = (raw[start] >= 65) & (raw[start] <= 90) & ~opens
-    kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0)))
-    token = np.where(kind == 1, NUM, np.where(kind == 2, NAME, np.where(kind == 3, UNIT, word)))
-    again = np.r_[False, (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 2))] & ~new_row
-    head = np.flatnonzero(~again)
-    value = run_hashes(word, head, np.r_[head[1:], len(word)])
-    return row[head], token[head], np.where(kind[head] > 0, value & ~np.uint64(3) | kind[head].astype(np.uint64), np.uint64(0))
-
-
-def _unit_hashes() -> np.ndarray:
-    raw = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+    capital = (raw[start] >= 65) & (raw[start] <= 90) & ~unit
+    doubt = capital & opens
+    doubt[doubt] = ~_among(word[doubt], FUNCTION_WORDS)
+    out, spot = [], None
+    for name in (capital & (doubt | ~opens), capital & ~opens):  # the second form first: it gives the spots
+        kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0)))
+        token = np.where(kind == 1, NUM, np.where(kind == 2, NAME, np.where(kind == 3, UNIT, word)))
+        again = np.r_[False, (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | ((kind[1:] == 2) & ~opens[1:]))] & ~new_row
+        head = np.flatnonzero(~again)
+        if spot is None:
+            before = np.cumsum(~again) - 1
+            spot = before - np.repeat(before[new_row], np.diff(np.r_[np.flatnonzero(new_row), len(word)]))
+        value = run_hashes(word, head, np.r_[head[1:], len(word)])
+        out.append((row[head], token[head], np.where(kind[head] > 0, value & ~np.uint64(3) | kind[head].astype(np.uint64), np.uint64(0)), spot[head], doubt[head]))
+    return out[::-1]
+
+
+def _among(word: np.ndarray, words: list[str]) -> np.ndarray:
+    """Flags the hashes that are of one of ``words``."""
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
     start, end, _ = word_spans(raw, np.array([0, len(raw)]))
-    return span_hashes(raw, start, end, FOLDED)
+    known = np.sort(span_hashes(raw, start, end, FOLDED))
+    return known[np.minimum(np.searchsorted(known, word), len(known) - 1)] == word
 
 
-def _windows(size: int, token, value, row):
-    """Hash and first word of each window of ``size`` in one row, with enough plain words."""
+def _windows(size: int, token, value, row, needed=None):
+    """Hash and first word of each window of ``size`` in one row, with enough plain words and a ``needed`` one, if given."""
     n = len(token) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     a = np.arange(n)
     plain = np.r_[0, np.cumsum(value == 0)]
-    a = a[(row[a] == row[a + size - 1]) & (plain[a + size] - plain[a] >= PLAIN * size)]
+    ok = (row[a] == row[a + size - 1]) & (plain[a + size] - plain[a] >= PLAIN * size)
+    if needed is not None:
+        have = np.r_[0, np.cumsum(needed)]
+        ok &= have[a + size] > have[a]
+    a = a[ok]
     return run_hashes(token, a, a + size), a
 
 
 def _benchmark(size: int):
     def run(batches):
         for b in batches:
-            row, token, value = templates(b.column(1))
-            out = {k: [] for k in ("item_id", "window", "width", "place", "n_windows", "slots")}
+            forms = templates(b.column(1))
+            out = {k: [] for k in ("item_id", "window", "width", "place", "n_windows", "spots", "slots")}
             for i, item in enumerate(b.column(0).to_pylist()):
-                own = np.flatnonzero(row == i)
-                if len(own) < SHORTEST:
-                    continue
-                width = min(size, len(own))
-                h, a = _windows(width, token[own], value[own], row[own])
-                for x, p in zip(h.view(np.int64).tolist(), a.tolist(), strict=True):
-                    for k, v in zip(out, (item, x, width, p, len(h), value[own][p: p + width].view(np.int64).tolist()), strict=True):
+                made = []
+                for second, (row, token, value, spot, doubt) in enumerate(forms):
+                    own = slice(*np.searchsorted(row, [i, i + 1]))
+                    width = min(size, len(row[own]))
+                    if width < SHORTEST:
+                        continue
+                    h, a = _windows(width, token[own], value[own], row[own], doubt[own] if second else None)
+                    for x, p in zip(h.view(np.int64).tolist(), a.tolist(), strict=True):
+                        made.append((x, width, int(spot[own][p]), spot[own][p: p + width].tolist(), value[own][p: p + width].view(np.int64).tolist()))
+                many = len({m[2] for m in made})
+                for x, width, place, spots, slots in made:
+                    for k, v in zip(out, (item, x, width, place, many, spots, slots), strict=True):
                         out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("window", pa.int64()), ("width", pa.int32()), ("place", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("window", pa.int64()), ("width", pa.int32()), ("place", pa.int32()), ("n_windows", pa.int32()), ("spots", pa.list_(pa.int32())), ("slots", pa.list_(pa.int64()))]))
 
     return run
 
@@ -123,8 +153,7 @@ def _consistent(batches):
         place, slots, held = flat.field("place").to_numpy(), flat.field("slots"), flat.field("held")
         width = np.diff(slots.offsets.to_numpy())
         window = np.repeat(np.arange(len(flat)), width)
-        spot = place[window] + np.arange(len(window)) - np.repeat(np.cumsum(width) - width, width)
-        slot, value = slots.flatten().to_numpy(), held.flatten().to_numpy()
+        spot, slot, value = flat.field("spots").flatten().to_numpy(), slots.flatten().to_numpy(), held.flatten().to_numpy()
         new = slot != value
         window, spot, slot, value = window[new], spot[new], slot[new], value[new]
         kept = np.ones(len(flat), bool)
@@ -169,7 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    known = stored(items.mapInArrow(_benchmark(window), "item_id long, window long, width int, place int, n_windows int, slots array<long>"), "items")
+    known = stored(items.mapInArrow(_benchmark(window), "item_id long, window long, width int, place int, n_windows int, spots array<int>, slots array<long>"), "items")
     mask = (1 << FILTER_BITS) - 1
     widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most ``window`` values
     spots = known.select(F.expr(f"window & {mask}").alias("spot")).distinct().toArrow()["spot"].to_numpy()  # at most 2**FILTER_BITS
@@ -179,28 +208,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def hits(batches):
         for b in sliced(batches, 2):
-            row, token, value = templates(b.column(2))
-            for width in widths:
-                h, a = _windows(width, token, value, row)
-                spot = (h & np.uint64(mask)).astype(np.int64)
-                there = (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
-                h, a = h[there], a[there]
-                if not len(h):
-                    continue
-                own = row[a]
-                begin = np.searchsorted(row, np.arange(len(b.column(0))))
-                slots = value[a[:, None] + np.arange(width)].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)),
-                     pa.array((a - begin[own]).astype(np.int32)), pa.ListArray.from_arrays(pa.array((np.arange(len(h) + 1) * width).astype(np.int32)), pa.array(slots.ravel()))],
-                    names=["doc_id", "text_hash", "window", "width", "at", "held"])
+            for second, (row, token, value, spot, doubt) in enumerate(templates(b.column(2))):
+                for width in widths:
+                    h, a = _windows(width, token, value, row, doubt if second else None)
+                    bit = (h & np.uint64(mask)).astype(np.int64)
+                    there = (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+                    h, a = h[there], a[there]
+                    if not len(h):
+                        continue
+                    own = pa.array(row[a])
+                    slots = value[a[:, None] + np.arange(width)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(own), b.column(1).take(own), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)),
+                         pa.array(spot[a].astype(np.int32)), pa.ListArray.from_arrays(pa.array((np.arange(len(h) + 1) * width).astype(np.int32)), pa.array(slots.ravel()))],
+                        names=["doc_id", "text_hash", "window", "width", "at", "held"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     found = slim.mapInArrow(hits, f"doc_id {kind}, text_hash long, window long, width int, at int, held array<long>")
     met = found.join(known, ["window", "width"]).withColumn("line", F.col("at") - F.col("place"))
     # one alignment: the windows of a document and an item at one distance
-    line = met.groupBy("doc_id", "text_hash", "item_id", "line", "n_windows").agg(F.collect_set(F.struct("place", "slots", "held")).alias("windows"))
+    line = met.groupBy("doc_id", "text_hash", "item_id", "line", "n_windows").agg(F.collect_set(F.struct("place", "spots", "slots", "held")).alias("windows"))
     ok = line.drop("line").mapInArrow(_consistent, f"doc_id {kind}, text_hash long, item_id long, n_windows int, places array<int>, same array<int>")
     whole = ok.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),

@@ -22,3 +22,13 @@ def test_values_that_become_equal_and_one_changed_use_of_a_value(spark):
     assert set(got) == {0, 1, 2, 4}
     assert got[0]["coverage"] == 1.0 and got[1]["coverage"] == 1.0 and 0.5 <= got[2]["coverage"] < 1
     assert [got[k]["exact"] for k in (0, 1, 2, 4)] == [False, False, False, True]
+
+
+def test_changed_names_that_open_a_sentence(spark):
+    toms = "Tom has 3 apples. Tom buys 4 more apples. Tom eats 2 apples. How many apples does Tom have?"
+    got = found(spark, [(toms, toms.replace("Tom", "Anna")), ("Tom has 3 apples and 4 pears.", "Anna has 3 apples and 4 pears."),
+                        ("Tom Smith has 3 red apples and 4 pears in his bag.", "We know that Anna has 5 red apples and 6 pears in his bag."),
+                        (toms, "Now " + toms.lower()), ("What is the capital of France?", "Berlin is the capital of Germany.")])
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0]["coverage"] == 1.0 and got[1]["coverage"] == 1.0 and got[2]["coverage"] == 1.0
+    assert not got[0]["exact"] and not got[1]["exact"]

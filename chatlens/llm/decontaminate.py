@@ -21,6 +21,8 @@ from chatlens.llm.words import FOLDED, run_hashes, span_hashes, text_buffers, wo
 WINDOW, PLAIN, SHORTEST = 8, 0.5, 4
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
+#: Template words in a row that are a match, whatever the item's length.
+RUN = 14
 #: Bits of the filter of benchmark windows that the map tasks carry (a megabyte).
 FILTER_BITS = 23
 #: Units that count as such after a number.
@@ -44,7 +46,9 @@ NUM, NAME, UNIT = (np.uint64(0xD1CEBA5E_00000001 + 2 * k) for k in range(3))
 
 
 def templates(column) -> list[tuple[np.ndarray, ...]]:
-    """Template words of every row, in two forms: ``(row, template hash, value hash, spot, doubtful)``; value 0 is a plain word.
+    """Template words of every row, in two forms: ``(row, template hash, value hash, spot, doubtful, tail)``; value 0 is a plain word.
+
+    A third form of the same shape has all words as they are, in lower case.
 
     Words are runs of letters and digits (a point or comma between digits is
     part of a number).  A word that starts with a digit is a number; a unit
@@ -55,10 +59,11 @@ def templates(column) -> list[tuple[np.ndarray, ...]]:
     A capital that opens a sentence is doubtful, ``FUNCTION_WORDS`` apart: a
     plain word in the first form, a name in the second.  ``spot`` counts the
     words of the second form in both, so that places in them can be compared.
+    ``tail`` is the value of the last word alone, for an item that starts inside a run.
     """
     raw, at = text_buffers(column)
     none = np.zeros(0, np.int64)
-    nothing = [(none, none.view(np.uint64), none.view(np.uint64), none, none.astype(bool))] * 2
+    nothing = [(none, none.view(np.uint64), none.view(np.uint64), none, none.astype(bool), none.view(np.uint64))] * 3
     if not len(raw):
         return nothing
     digit = _DIGIT[raw]
@@ -86,9 +91,12 @@ def templates(column) -> list[tuple[np.ndarray, ...]]:
         if spot is None:
             before = np.cumsum(~again) - 1
             spot = before - np.repeat(before[new_row], np.diff(np.r_[np.flatnonzero(new_row), len(word)]))
-        value = run_hashes(word, head, np.r_[head[1:], len(word)])
-        out.append((row[head], token[head], np.where(kind[head] > 0, value & ~np.uint64(3) | kind[head].astype(np.uint64), np.uint64(0)), spot[head], doubt[head]))
-    return out[::-1]
+        till = np.r_[head[1:], len(word)]
+        value, tail = (np.where(kind[head] > 0, run_hashes(word, a, till) & ~np.uint64(3) | kind[head].astype(np.uint64), np.uint64(0)) for a in (head, till - 1))
+        out.append((row[head], token[head], value, spot[head], doubt[head], tail))
+    begin = np.flatnonzero(new_row)
+    place = np.arange(len(word)) - np.repeat(begin, np.diff(np.r_[begin, len(word)]))
+    return out[::-1] + [(row, word, np.zeros(len(word), np.uint64), place, doubt, np.zeros(len(word), np.uint64))]
 
 
 def _among(word: np.ndarray, words: list[str]) -> np.ndarray:
@@ -121,14 +129,17 @@ def _benchmark(size: int):
             out = {k: [] for k in ("item_id", "window", "width", "place", "n_windows", "spots", "slots")}
             for i, item in enumerate(b.column(0).to_pylist()):
                 made = []
-                for second, (row, token, value, spot, doubt) in enumerate(forms):
+                for form, (row, token, value, spot, doubt, _) in enumerate(forms):
                     own = slice(*np.searchsorted(row, [i, i + 1]))
                     width = min(size, len(row[own]))
-                    if width < SHORTEST:
+                    if width < (1 if form == 2 else SHORTEST) or form == 2 and made:  # its words as they are only where it has no template window
                         continue
-                    h, a = _windows(width, token[own], value[own], row[own], doubt[own] if second else None)
+                    h, a = _windows(width, token[own], value[own], row[own], doubt[own] if form == 1 else None)
                     for x, p in zip(h.view(np.int64).tolist(), a.tolist(), strict=True):
-                        made.append((x, width, int(spot[own][p]), spot[own][p: p + width].tolist(), value[own][p: p + width].view(np.int64).tolist()))
+                        if form == 2:
+                            made.append((x, -width, p, [], []))
+                        else:
+                            made.append((x, width, int(spot[own][p]), spot[own][p: p + width].tolist(), value[own][p: p + width].view(np.int64).tolist()))
                 many = len({m[2] for m in made})
                 for x, width, place, spots, slots in made:
                     for k, v in zip(out, (item, x, width, place, many, spots, slots), strict=True):
@@ -139,7 +150,7 @@ def _benchmark(size: int):
 
 
 def _consistent(batches):
-    """The places of each alignment's windows without the clashing ones, and those with no value changed.
+    """The places of each alignment's windows without the clashing ones, those with no value changed, and the most words in a row.
 
     Several values may become equal, and a use that keeps its value clashes with nothing.  Of the
     replacements of one value the one at most places holds; of as many, the first for a number or a unit (equal
@@ -154,7 +165,7 @@ def _consistent(batches):
         width = np.diff(slots.offsets.to_numpy())
         window = np.repeat(np.arange(len(flat)), width)
         spot, slot, value = flat.field("spots").flatten().to_numpy(), slots.flatten().to_numpy(), held.flatten().to_numpy()
-        new = slot != value
+        new = (slot != value) & ((spot > 0) | (slot != flat.field("tail").to_numpy()[window]))  # a run before the item is not its own
         window, spot, slot, value = window[new], spot[new], slot[new], value[new]
         kept = np.ones(len(flat), bool)
         if len(window):
@@ -173,9 +184,17 @@ def _consistent(batches):
             kept[window[order[~holds[number]]]] = False
         same = np.ones(len(flat), bool)
         same[window] = False
+        run = np.zeros(n, np.int64)
+        order = np.lexsort((place, line))
+        order = order[kept[order]]
+        if len(order):
+            base = line[order] << 32
+            start, till = base + place[order], np.maximum.accumulate(base + flat.field("till").to_numpy()[order])
+            head = np.flatnonzero(np.r_[True, start[1:] > till[:-1]])
+            np.maximum.at(run, line[order][head], till[np.r_[head[1:], len(order)] - 1] - start[head])
         yield pa.RecordBatch.from_arrays(
-            [b.column(k) for k in range(b.num_columns - 1)] + [_by_line(line, place, kept, n), _by_line(line, place, kept & same, n)],
-            names=b.schema.names[:-1] + ["places", "same"])
+            [b.column(k) for k in range(b.num_columns - 1)] + [_by_line(line, place, kept, n), _by_line(line, place, kept & same, n), pa.array(run.astype(np.int32))],
+            names=b.schema.names[:-1] + ["places", "same", "run"])
 
 
 def _by_line(line, place, which, n):
@@ -184,15 +203,20 @@ def _by_line(line, place, which, n):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+          item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, run_words: int = RUN) -> DataFrame:
     """``(doc_id, text_hash, item_id, n_windows, coverage, exact)`` of every document that holds a benchmark item.
 
     ``coverage`` is the share of the item's windows found in alignments, without
-    those whose values clash there; rows under the ``coverage`` parameter are left out.
+    those whose values clash there; rows under the ``coverage`` parameter are left out,
+    unless ``run_words`` template words in a row are held.
     ``exact``: all of them are found with no value changed.
 
-    Defined results: null, empty or blank texts hold nothing, nor do items of
-    under four template words; rows with equal id and text are one document;
+    An item without template windows (under four template words, or names and
+    numbers for the most part) is found where all its words, values included,
+    occur in a row; one of a single word is held by every text with that word.
+
+    Defined results: null, empty or blank texts hold nothing, nor do items
+    without letters and digits; rows with equal id and text are one document;
     equal items are found each; null ids stay null; an empty table on either
     side gives no rows; other columns are not read, whatever their names.
     """
@@ -208,34 +232,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def hits(batches):
         for b in sliced(batches, 2):
-            for second, (row, token, value, spot, doubt) in enumerate(templates(b.column(2))):
-                for width in widths:
-                    h, a = _windows(width, token, value, row, doubt if second else None)
+            for form, (row, token, value, spot, doubt, tail) in enumerate(templates(b.column(2))):
+                for width in (w for w in widths if (w < 0) == (form == 2)):
+                    size = abs(width)
+                    h, a = _windows(size, token, value, row, doubt if form == 1 else None)
                     bit = (h & np.uint64(mask)).astype(np.int64)
                     there = (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
                     h, a = h[there], a[there]
+                    if form == 2 and size < window:  # the whole item: once in a text is enough
+                        a = a[np.sort(np.unique(np.stack([row[a].astype(np.uint64), h], 1), axis=0, return_index=True)[1])]
+                        h = run_hashes(token, a, a + size)
                     if not len(h):
                         continue
-                    own = pa.array(row[a])
-                    slots = value[a[:, None] + np.arange(width)].view(np.int64)
+                    own, many = pa.array(row[a]), 0 if form == 2 else size
+                    slots = value[a[:, None] + np.arange(many)].view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(own), b.column(1).take(own), pa.array(h.view(np.int64)), pa.array(np.full(len(h), width, np.int32)),
-                         pa.array(spot[a].astype(np.int32)), pa.ListArray.from_arrays(pa.array((np.arange(len(h) + 1) * width).astype(np.int32)), pa.array(slots.ravel()))],
-                        names=["doc_id", "text_hash", "window", "width", "at", "held"])
+                         pa.array(spot[a].astype(np.int32)), pa.ListArray.from_arrays(pa.array((np.arange(len(h) + 1) * many).astype(np.int32)), pa.array(slots.ravel())),
+                         pa.array(tail[a].view(np.int64))],
+                        names=["doc_id", "text_hash", "window", "width", "at", "held", "tail"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    found = slim.mapInArrow(hits, f"doc_id {kind}, text_hash long, window long, width int, at int, held array<long>")
+    found = slim.mapInArrow(hits, f"doc_id {kind}, text_hash long, window long, width int, at int, held array<long>, tail long")
     met = found.join(known, ["window", "width"]).withColumn("line", F.col("at") - F.col("place"))
     # one alignment: the windows of a document and an item at one distance
-    line = met.groupBy("doc_id", "text_hash", "item_id", "line", "n_windows").agg(F.collect_set(F.struct("place", "spots", "slots", "held")).alias("windows"))
-    ok = line.drop("line").mapInArrow(_consistent, f"doc_id {kind}, text_hash long, item_id long, n_windows int, places array<int>, same array<int>")
+    line = met.withColumns({"till": F.expr("if(width > 0, element_at(spots, -1) + 1, place - width)"), "plain": F.col("width") < 0}).groupBy(
+        "doc_id", "text_hash", "item_id", "line", "n_windows", "plain").agg(F.collect_set(F.struct("place", "till", "spots", "slots", "held", "tail")).alias("windows"))
+    line = line.where("not plain or size(windows) = n_windows").drop("line", "plain")
+    ok = line.mapInArrow(_consistent, f"doc_id {kind}, text_hash long, item_id long, n_windows int, places array<int>, same array<int>, run int")
     whole = ok.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"))
-    return whole.select("doc_id", "text_hash", "item_id", F.size("places").cast("long").alias("n_windows"),
-                        (F.size("places") / F.col("n_windows")).alias("coverage"),
-                        (F.size("same") == F.size("places")).alias("exact")).where(F.col("coverage") >= coverage)
+        F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"), F.max("run").alias("run")).where("size(places) > 0")
+    return whole.where((F.size("places") / F.col("n_windows") >= coverage) | (F.col("run") >= run_words)).select(
+        "doc_id", "text_hash", "item_id", F.size("places").cast("long").alias("n_windows"), (F.size("places") / F.col("n_windows")).alias("coverage"),
+        (F.size("same") == F.size("places")).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -32,3 +32,14 @@ def test_changed_names_that_open_a_sentence(spark):
     assert set(got) == {0, 1, 2, 3}
     assert got[0]["coverage"] == 1.0 and got[1]["coverage"] == 1.0 and got[2]["coverage"] == 1.0
     assert not got[0]["exact"] and not got[1]["exact"]
+
+
+def test_short_items_items_of_values_and_a_part_of_a_long_item(spark):
+    long = " ".join(f"term{i}" for i in range(100))
+    values = "Ann 3 Bob 7 Cy 12 Di 31 Ed 5 Flo 8"
+    got = found(spark, [("What is 12 + 34 * 56?", "He asks: what is 12 + 34 * 56? Well"), ("Compute 12 * 7.", "Compute 12 * 7. Then"), ("Compute 13 * 7.", "Compute 13 * 8."),
+                        (values, "So " + values + " all"), (values, values[:-2]), (long, "see " + " ".join(long.split()[40:60]) + " there"),
+                        (long, "see " + " ".join(long.split()[40:50]) + " there")])
+    assert set(got) == {0, 1, 3, 5}
+    assert got[0]["coverage"] == got[3]["coverage"] == 1.0 and got[0]["exact"] and got[3]["exact"] and got[5]["coverage"] < 0.2
+    assert found(spark, [("Tom has 3 apples and 4 pears.", "Then Paul Tom has 3 apples and 4 pears.")])[0]["exact"]

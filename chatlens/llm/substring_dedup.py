@@ -1,10 +1,12 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of consecutive sentences that just reaches ``least_words`` words is
-hashed: from each sentence forwards, and up to each sentence backwards, so a
-repeated passage is covered from its first sentence to its last.  Runs
+Sentences of more than ``least_words`` words are cut into pieces where their
+words say so, so a passage inside one has the same pieces wherever it stands.
+Every run of consecutive pieces (a short sentence is one) that just reaches
+``least_words`` words is hashed: from each piece forwards, and up to each piece
+backwards, so a repeated passage is covered from its first to its last.  Runs
 are joined on their hash over all documents; of each, the first in the order
-(id, text hash, place) stays and the sentences of all others are removed.
+(id, text hash, place) stays and the pieces of all others are removed.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.tables import packed, sliced, small_batches, stored, unpacked
-from chatlens.llm.words import run_hashes, span_hashes, text_buffers, word_spans
-
-#: A run has this many words at least; one very long sentence can be a run.
-LEAST_WORDS = 40
+from chatlens.llm.words import BASE, mix, run_hashes, span_hashes, text_buffers, word_spans
+
+#: A run has this many words at least; one sentence can be a run.
+LEAST_WORDS = 20
+#: A long sentence is cut before a word whose hash with the one before it is the least among so many on either side.
+REACH = 4
+#: A piece without such a word (one word said over and over) is cut after so many times ``least_words`` words.
+LONGEST = 5
 #: Runs that a map task compares among themselves before the shuffle.
 GATHER = 1 << 20
 #: Text bytes for one fragment of the hash range, and the least and most fragments.
@@ -28,35 +34,58 @@ _SPANS = "fragment int, doc_id binary, text_hash binary, counts binary, hashes b
 _COVER = "doc_id long, text_hash long, first binary, last binary"
 
 
-def sentences(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences of every row: ``(begin byte, row, first word, word hashes)``.
+def sentences(raw: np.ndarray, at: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """Pieces of every row: ``(begin byte, row, first word, sentence, word hashes)``; sentences count through all rows.
 
     A sentence ends at a line break, or at white space after ``.``, ``!`` or
     ``?``; it holds a word at least, and white space after it is its own.
     """
     start, end, row = word_spans(raw, at)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     breaks = np.r_[0, np.cumsum(raw == 10)]
     stop = np.isin(raw[end - 1], [46, 33, 63])
     new = np.r_[True, (row[1:] != row[:-1]) | stop[:-1] | (breaks[start[1:]] > breaks[end[:-1]])]
-    word = np.flatnonzero(new)
-    return start[word], row[word], word, span_hashes(raw, start, end)
+    word = span_hashes(raw, start, end)
+    sentence = np.cumsum(new) - 1
+    long = np.flatnonzero((np.bincount(sentence) > least_words)[sentence])
+    if len(long):
+        new[long[_cuts(word[long], sentence[long])]] = True
+        most = LONGEST * least_words
+        head = np.flatnonzero(new)
+        size = np.diff(np.r_[head, len(word)])
+        if size.max() > most:
+            new |= (np.arange(len(word)) - np.repeat(head, size)) % most == 0
+    first = np.flatnonzero(new)
+    return start[first], row[first], first, sentence[first], word
+
+
+def _cuts(word, sentence) -> np.ndarray:
+    """Flags the words before which a long sentence is cut."""
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    pair = np.r_[most, mix(word[:-1] * np.uint64(BASE) + word[1:])]
+    pair[np.r_[True, sentence[1:] != sentence[:-1]]] = most
+    least = pair < most
+    for d in range(1, min(REACH, len(word) - 1) + 1):
+        apart = sentence[d:] != sentence[:-d]
+        least[d:] &= apart | (pair[d:] < pair[:-d])
+        least[:-d] &= apart | (pair[:-d] < pair[d:])
+    return least
 
 
 def runs(column, least_words: int) -> tuple[np.ndarray, ...]:
-    """Distinct runs of every row as ``(row, hash, first sentence, last sentence)``, numbered in the row."""
+    """Distinct runs of every row as ``(row, hash, first piece, last piece)``, numbered in the row."""
     raw, at = text_buffers(column)
-    begin, row, first_word, word = sentences(raw, at)
+    begin, row, first_word, _, word = sentences(raw, at, least_words)
     n = len(begin)
     if not n:
         return (np.zeros(0, np.int64),) * 4
-    bound = np.r_[first_word, len(word)]  # words before each sentence
+    bound = np.r_[first_word, len(word)]  # words before each piece
     head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     low = np.repeat(head, np.diff(np.r_[head, n]))
     high = np.repeat(np.r_[head[1:], n], np.diff(np.r_[head, n]))  # exclusive
     each = np.arange(n)
-    to = np.searchsorted(bound, bound[:-1] + least_words)  # sentences [i, to) hold enough words
+    to = np.searchsorted(bound, bound[:-1] + least_words)  # pieces [i, to) hold enough words
     back = np.searchsorted(bound, bound[1:] - least_words, side="right") - 1
     ok, ko = to <= high, back >= low
     a, b = np.r_[each[ok], back[ko]], np.r_[to[ok], each[ko] + 1]
@@ -137,7 +166,7 @@ def _repeats(key, table):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, text_hash, first, last)``: packed sentence numbers of every repeated run but the first.
+    """``(doc_id, text_hash, first, last)``: packed piece numbers of every repeated run but the first.
 
     A null id sorts before all others.
     """
@@ -150,14 +179,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS,
                     count_col: str | None = None) -> DataFrame:
-    """``docs``, all columns, with the sentences of repeated runs taken out of the text.
+    """``docs``, all columns, with the pieces of repeated runs taken out of the text.
 
-    Adds ``n_sentences`` and ``n_removed`` unless the table has such columns
+    Adds ``n_sentences`` and ``n_removed`` (sentences taken out, whole or in part) unless the table has such columns
     already; ``count_col``, if given, becomes the new text's length.
 
     Defined results: a null, empty or blank text stays as it is; a text of
     repeats only becomes empty, and its row stays; rows with equal id and
-    text are one document and keep or lose the same sentences; a null id comes
+    text are one document and keep or lose the same pieces; a null id comes
     first in the order; an empty table gives no rows.
     """
     spans = stored(repeated_spans(docs, id_col, text_col, least_words), "spans")
@@ -174,7 +203,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in sliced(batches, at):
             text = batch.column(at)
             raw, bound = text_buffers(text)
-            begin, row, _, _ = sentences(raw, bound)
+            begin, row, _, sentence, _ = sentences(raw, bound, least_words)
             n = len(text)
             base = np.searchsorted(row, np.arange(n + 1))
             cover, gone = batch.column(batch.num_columns - 1), np.zeros(len(begin) + 1, np.int64)
@@ -197,7 +226,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 parts = [whole[a:b] for a, b, x in zip(edges[:-1].tolist(), edges[1:].tolist(), cut.tolist(), strict=True) if not x]
                 kept = lead + b"".join(parts)
                 out[i] = (kept.rstrip(b" \t\n\x0b\x0c\r") if len(cut) and cut[-1] else kept).decode()
-                removed[i] = int(cut.sum())
+                removed[i] = len(np.unique(sentence[base[i]: base[i + 1]][cut]))
             old = text.to_pylist()
             new = [o if x is None else x for o, x in zip(old, out, strict=True)]
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
@@ -205,7 +234,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if counted >= 0:
                 k = counted
                 columns[k] = pa.array([c if x is None else len(x) for c, x in zip(columns[k].to_pylist(), out, strict=True)], columns[k].type)
-            made = {"n_sentences": np.diff(base).astype(np.int32), "n_removed": removed}
+            made = {"n_sentences": np.bincount(row[np.r_[True, sentence[1:] != sentence[:-1]][:len(row)]], minlength=n).astype(np.int32), "n_removed": removed}
             yield pa.RecordBatch.from_arrays(columns + [pa.array(made[c]) for c in extra], names=names + extra)
 
     return joined.mapInArrow(run, schema)

@@ -50,7 +50,8 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the tokenizer.  tests/llm covers the stages' operators: near duplicates and span dedup
+#: against brute force, the others by example cases; no test runs the stages themselves.
 ORACLE_SQL = None
 
 

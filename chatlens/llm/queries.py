@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlens.llm import centroids, divergence, url_rules
 from chatlens.llm.decontaminate import leaks
 from chatlens.llm.html_extract import extract
 from chatlens.llm.jaccard_join import jaccard_components
@@ -71,6 +72,23 @@ def op10_license_patience_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3)
+
+
+#: Rules of the URL filter (host, path, verdict): fixed values.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), k=200, least_docs=3)
+
+
 QUERIES = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -82,6 +100,9 @@ QUERIES = {
     "op7_html_minimum_cut": op7_html_minimum_cut,
     "op10_license_patience_scan": op10_license_patience_scan,
     "op8_nn_descent": op8_nn_descent,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_url_digest_filter": op12_url_digest_filter,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -100,4 +121,7 @@ reach as (select doc_id as x, doc_id as y from documents union select r.x, e.y f
 select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c.component_id
 from documents d left join sized using (doc_id) join (select x, min(y) as component_id from reach group by x) c on c.x = d.doc_id
 """,
+    "op11_centroid_clustering": centroids.sql(clusters=8, rounds=10, seed=3),
+    "op12_url_digest_filter": url_rules.SQL,
+    "op13_source_divergence": divergence.SQL,
 }

@@ -28,7 +28,7 @@ def first_centroids(rows: DataFrame, clusters: int, seed: int) -> list[list[int]
 
 
 def literal(centroid: list[int]) -> Column:
-    return F.lit(centroid).cast("array<bigint>")
+    return F.expr(f"array({', '.join(f'{x}L' for x in centroid)})")
 
 
 def distance(v: str, centroid: list[int]) -> Column:
@@ -44,10 +44,11 @@ def nearest(v: str, centroids: list[list[int]]) -> Column:
 
 def moved(rows: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """One round: every centroid with vectors becomes their componentwise ``floor(sum / count)``."""
-    near = rows.select(nearest("v", centroids)["cluster"].alias("cluster"), *[F.get("v", F.lit(i)).alias(f"x{i}") for i in range(len(centroids[0]))])
-    sums = near.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(len(centroids[0]))])
-    mean = [F.expr(f"(x{i} - pmod(x{i}, n)) div n") for i in range(len(centroids[0]))]  # exact floor, below zero too
-    held = {r["cluster"]: r["v"] for r in sums.select("cluster", F.array(*mean).alias("v")).collect()}  # one row a cluster
+    axes = range(len(centroids[0]))
+    near = rows.select(nearest("v", centroids)["cluster"].alias("cluster"), "v").selectExpr("cluster", *[f"v[{i}] as x{i}" for i in axes])
+    sums = near.groupBy("cluster").agg(F.count("*").alias("n"), *[F.expr(f"sum(x{i}) as x{i}") for i in axes])
+    mean = ", ".join(f"(x{i} - pmod(x{i}, n)) div n" for i in axes)  # exact floor, below zero too
+    held = {r["cluster"]: r["v"] for r in sums.selectExpr("cluster", f"array({mean}) as v").collect()}  # one row a cluster
     return [held.get(i, c) for i, c in enumerate(centroids)]
 
 

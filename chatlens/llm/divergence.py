@@ -24,7 +24,6 @@ GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHARE = 1_000_000_000
 #: Numbers in one task's pair sums, and in one block of dense shares: bounds its memory when a language has many sources.
 SUMS, DENSE = 1 << 22, 1 << 20
-TOP = 1 << 62
 
 
 def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -84,24 +83,36 @@ class Skyband:
     """Counts dominators among the terms taken so far, offered by falling group count, then rising total, then UTF-8.
 
     A Fenwick tree over the total; each node has the first k terms below it.
-    Dominators that were not taken need no count: k taken ones dominate theirs.
+    It grows by doubling: the node of a power of two covers all below, so the
+    next power starts as its copy.  Dominators that were not taken need no
+    count: k taken ones dominate theirs.
     """
 
     def __init__(self, k: int):
-        self.k, self.nodes = k, {}
+        self.k, self.top, self.nodes = k, 1, {}
 
     def takes(self, total: int, term: str) -> bool:
+        k, nodes = self.k, self.nodes
+        while self.top < total:
+            nodes[2 * self.top] = nodes.get(self.top, [])[:]
+            self.top *= 2
         before, i = 0, total
         while i:
-            before += bisect_left(self.nodes.get(i, ()), term)
-            if before >= self.k:
-                return False
+            if i in nodes:
+                before += bisect_left(nodes[i], term)
+                if before >= k:
+                    return False
             i &= i - 1
         i = total
-        while i <= TOP:
-            node = self.nodes.setdefault(i, [])
-            insort(node, term)
-            del node[self.k:]
+        while i <= self.top:
+            node = nodes.get(i)
+            if node is None:
+                nodes[i] = [term]
+            elif len(node) < k:
+                insort(node, term)
+            elif term < node[-1]:
+                node.pop()
+                insort(node, term)
             i += i & -i
         return True
 

@@ -1,8 +1,7 @@
 """User keyword tags and side tables (UT1-UT7, SD1-SD6, AG28).
 
-Keyword matching (UT1) is a projection over the conversations: the keyword
-list, an array whose size is checked, is tested against model, language,
-country and tag text in the row.
+Keyword matching (UT1) is a projection over the conversations while there are
+few keywords, and a look-up in an index (``keyword_index``) when there are many.
 """
 
 from __future__ import annotations
@@ -13,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.functions.expr import top_n_per_group
+from chatlens.operators.keyword_index import holds, indexed_matches, pieces
 from chatlens.schema import COUNTRY, KEY, LANG, MODEL, TAGS
 
-KEYWORD_BYTES = 8 << 20  # keywords of one matching pass
+FEW_KEYWORDS_BYTES = 16 << 10  # keywords that every row is tested against
 
 
 def parse_keywords(raw) -> F.Column:
@@ -38,46 +38,36 @@ def keyword_table(tags: DataFrame, keywords: str = "keywords") -> DataFrame:
                 .where(F.col("kw") != "").distinct())
 
 
-def _keyword_array(kws: DataFrame) -> F.Column:
-    """All keywords as one array ``(tag_id, kw, piece, plain)``; its size is checked while it is built."""
-    volume = F.sum(F.octet_length("kw") + 16)
-    too_large = F.raise_error(F.lit(f"over {KEYWORD_BYTES} bytes of keywords in one part: give more parts"))
-    # the longest piece without wildcards: a plain test that spares most rows the pattern
-    pieces = F.transform(F.split("kw", r"[%_\\]"), lambda x: F.struct(F.length(x).alias("n"), x.alias("piece")))
-    every = F.collect_list(F.struct("tag_id", "kw", F.array_max(pieces)["piece"].alias("piece"), (F.array_max(pieces)["piece"] == F.col("kw")).alias("plain")))
-    return kws.agg(F.when(volume > KEYWORD_BYTES, too_large.cast("array<struct<tag_id:int,kw:string,piece:string,plain:boolean>>")).otherwise(every)).scalar()
+def _keyword_array(kws: DataFrame, literal: bool) -> F.Column:
+    """All keywords as one array ``(tag_id, pattern, piece, plain)``."""
+    words = kws.join(pieces(kws, literal), "kw")
+    return words.agg(F.collect_list(F.struct("tag_id", "pattern", "piece", "plain"))).scalar()
 
 
 def match_keywords(df: DataFrame, tags: DataFrame, literal: bool = False,
                    fields=(MODEL, LANG, COUNTRY), tags_col: str = TAGS,
-                   key: str = KEY, parts: int = 1, unique_keys: bool = False) -> DataFrame:
+                   key: str = KEY, unique_keys: bool = False, index: bool | None = None) -> DataFrame:
     """UT1 / FL10: ``(tag_id, conversation_hash)`` for every tag with a keyword
     that is a case-insensitive substring of a field or of the tag text.
 
-    Plan: the keywords are one array of checked size (a scalar subquery), the
-    fields are lower-cased once, and every row keeps the tags whose keyword it
-    holds: a projection, with no join and no shuffle of conversations.  A
-    keyword table over ``KEYWORD_BYTES`` needs more ``parts``: its tags are
-    dealt to so many arrays, each matched in a pass of its own.  Without
-    ``unique_keys`` the matches of repeated keys are reduced to one.
+    A few keywords (up to ``FEW_KEYWORDS_BYTES``, measured) are one array
+    tested in every row: a projection, without join or shuffle of
+    conversations.  More are looked up in ``keyword_index``, whose cost hardly
+    grows with their number; ``index`` forces either.  Both give the same rows.
+    Without ``unique_keys`` the matches of repeated keys are reduced to one.
     """
     kws = keyword_table(tags).withColumn("tag_id", F.col("tag_id").cast("int"))
     texts = [F.lower(F.col(f)) for f in fields]
     texts.append(F.lower(F.concat_ws(" ", F.coalesce(F.col(tags_col), F.array().cast("array<string>")))))
     rows = df.select(key, F.array_compact(F.array(*texts)).alias("_v"))
-
-    def holds(v, k):
-        if literal:
-            return v.contains(k["kw"])
-        return v.contains(k["piece"]) & (k["plain"] | F.like(v, F.concat(F.lit("%"), k["kw"], F.lit("%"))))
-
-    out = []
-    for i in range(parts):
-        own = kws if parts == 1 else kws.where(F.pmod(F.xxhash64("tag_id"), F.lit(parts)) == i)
-        hits = F.filter("_k", lambda k: F.exists("_v", lambda v: holds(v, k)))
-        ids = F.array_distinct(F.transform(hits, lambda k: k["tag_id"]))
-        out.append(rows.withColumn("_k", _keyword_array(own)).select(key, F.explode_outer(ids).alias("tag_id")).where("tag_id is not null").select("tag_id", key))
-    found = reduce(DataFrame.unionByName, out)
+    if index is None:
+        index = (kws.agg(F.sum(F.octet_length("kw") + 16)).first()[0] or 0) > FEW_KEYWORDS_BYTES  # one number
+    if index:
+        return indexed_matches(rows, kws, key, "_v", literal)
+    hits = F.filter("_k", lambda k: F.exists("_v", lambda v: holds(v, k)))
+    ids = F.array_distinct(F.transform(hits, lambda k: k["tag_id"]))
+    found = (rows.withColumn("_k", _keyword_array(kws, literal)).select(key, F.explode_outer(ids).alias("tag_id"))
+                 .where("tag_id is not null").select("tag_id", key))
     return found if unique_keys else found.distinct()
 
 
@@ -111,20 +101,20 @@ def duplicate_tag_names(tags: DataFrame) -> DataFrame:
                 .where(F.col("count") > 1))
 
 
-def replace_assignments(assign: DataFrame, tag_ids: list[int], path: str) -> None:
+def replace_assignments(assign: DataFrame, tag_ids: DataFrame | list[int], path: str) -> None:
     """UT2: replace all assignments of ``tag_ids`` in a table partitioned by tag.
 
-    Dynamic partition overwrite rewrites only the touched tags.  A tag whose
-    new match set is empty gets one marker row with a null key, so its old
-    partition is replaced too (an empty write would leave it in place); readers
-    drop null keys.
+    Dynamic partition overwrite rewrites only the touched tags.  Each touched
+    tag also gets a marker row with a null key, so that its old partition goes
+    when nothing matches any more (an empty write would leave it in place);
+    readers drop null keys.  The write is balanced by size: a small tag is one
+    file, a large one several.
     """
-    spark = assign.sparkSession
-    ids = spark.createDataFrame([(int(t),) for t in tag_ids], "tag_id int")
-    marker = ids.join(assign.select("tag_id").distinct(), "tag_id", "left_anti") \
-                .select("tag_id", F.lit(None).cast("string").alias(KEY))
-    rows = assign.select(F.col("tag_id").cast("int"), KEY).dropDuplicates().unionByName(marker)
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if isinstance(tag_ids, list):
+        tag_ids = assign.sparkSession.createDataFrame([(int(t),) for t in tag_ids], "tag_id int")
+    marker = tag_ids.select(F.col("tag_id").cast("int"), F.lit(None).cast("string").alias(KEY)).distinct()
+    rows = assign.select(F.col("tag_id").cast("int"), KEY).distinct().unionByName(marker)
+    (rows.hint("rebalance", "tag_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("tag_id").parquet(path))
 
 
@@ -145,13 +135,15 @@ def changed_tags(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where(~same).select("tag_id", "user_id", "name", "keywords")
 
 
-def rematch(df: DataFrame, old_tags: DataFrame, new_tags: DataFrame, path: str) -> list[int]:
-    """UT3: re-match only the tags whose keywords changed and replace their assignments."""
-    ch = changed_tags(old_tags, new_tags)
-    ids = [r["tag_id"] for r in ch.select("tag_id").collect()]  # tag ids only (small)
-    if ids:
-        replace_assignments(match_keywords(df, ch), ids, path)
-    return ids
+def rematch(df: DataFrame, old_tags: DataFrame, new_tags: DataFrame, path: str) -> DataFrame:
+    """UT3: re-match only the tags whose keywords changed and replace their assignments.
+
+    One job matches and writes; the changed tags stay a table.  Returns their
+    ``(tag_id)``; with none changed nothing is rewritten.
+    """
+    changed = changed_tags(old_tags, new_tags)
+    replace_assignments(match_keywords(df, changed, unique_keys=True), changed, path)
+    return changed.select("tag_id")
 
 
 # ---- side tables ------------------------------------------------------------------

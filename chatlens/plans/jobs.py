@@ -17,7 +17,7 @@ from chatlens.plans import oracle
 from chatlens.plans.catalog import _stream_source, cm, cmt, docs, events, query, tr_requests
 from chatlens.schema import COUNTRY, KEY, LANG, MODEL, STATE, TAGS, TS, TURN
 from chatlens.session import scratch_path
-from chatlens.sources import dims, parquet
+from chatlens.sources import dims, footers, key_index, parquet
 from chatlens.sources import fixtures as fx
 from chatlens.streaming import dedupe_stream, stream_first_wins
 
@@ -118,6 +118,40 @@ SELECT conv_id, md5(CAST(conv_id AS VARCHAR)) AS conversation_hash, count(*) AS
 FROM conversations GROUP BY conv_id HAVING bool_or(turn = 1)"""
 
 
+@query("schema_differences")
+def q_schema_differences(spark, d):
+    """IO2: documents in parts by language, three of them in another schema; what the footers tell."""
+    base = new_path(spark, "schemas")
+    t = docs(spark, d).select("doc_id", "lang", "n_chars", "source")
+    shapes = {"de": ["doc_id", "lang", "n_chars", "source"], "en": ["doc_id", "lang", "cast(n_chars as int) n_chars", "source"],
+              "es": ["doc_id", "lang", "n_chars", "source", "true as extra"], "fr": ["lang", "doc_id", "n_chars", "source"]}
+    for lang, shape in shapes.items():
+        t.where(F.col("lang") == lang).selectExpr(*shape).coalesce(1).write.parquet(f"{base}/{lang}")
+    report = footers.schema_report(spark, [f"{base}/{lang}" for lang in shapes])
+    return report.select(F.substring_index("path", "/", -1).alias("part"), "column", "expected", "actual", "files")
+
+
+SQL["schema_differences"] = """
+WITH present AS (SELECT DISTINCT lang FROM documents)
+SELECT p.lang AS part, x.col AS "column", x.expected, x.actual, CAST(1 AS BIGINT) AS files
+FROM present p JOIN (VALUES ('en', 'n_chars', 'bigint', 'int'), ('es', 'extra', NULL, 'boolean'),
+                            ('fr', NULL, 'doc_id,lang,n_chars,source', 'lang,doc_id,n_chars,source')) x(lang, col, expected, actual) ON x.lang = p.lang"""
+
+
+@query("row_index")
+def q_row_index(spark, d):
+    """IO13, FL8: documents in their own order, the stored index of every key, and each row found again by file and place."""
+    base = new_path(spark, "indexed")
+    key_index.write_in_groups(docs(spark, d).select("doc_id", "lang", "text"), f"{base}/table", "doc_id", group_rows=2000)
+    key_index.write_index(spark, f"{base}/table", f"{base}/index", "doc_id", bucket_rows=500)
+    index = spark.read.parquet(f"{base}/index").withColumnRenamed("doc_id", "key")
+    rows = spark.read.parquet(f"{base}/table").select("doc_id", "lang", F.md5("text").alias("text_md5"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(index, ["file", "row"]).select(F.col("key").alias("doc_id"), "lang", "text_md5", (F.col("key") == F.col("doc_id")).alias("same"))
+
+
+SQL["row_index"] = "SELECT doc_id, lang, md5(text) AS text_md5, TRUE AS same FROM documents"
+
+
 @query("column_order")
 def q_column_order(spark, d):
     """IO14: ``source`` moved right after ``doc_id``; the line shows the order."""
@@ -360,6 +394,34 @@ def q_user_tag_rematch(spark, d):
 SQL["user_tag_rematch"] = SQL["user_tag_match"]
 
 
+@query("user_tag_index")
+def q_user_tag_index(spark, d):
+    """UT1 through the index of keyword spans: a tag for every customer."""
+    return user_tags.match_keywords(cmt(spark, d), fx.customer_tags(spark, d), index=True)
+
+
+@query("user_tag_index_literal")
+def q_user_tag_index_literal(spark, d):
+    """UT1 through the index, wildcards as plain characters."""
+    return user_tags.match_keywords(cmt(spark, d), fx.customer_tags(spark, d), literal=True, index=True)
+
+
+def _customer_matches(test: str) -> str:
+    """Every distinct text against every keyword, then back to the conversations."""
+    return with_cm("SELECT DISTINCT h.tag_id, f.conversation_hash FROM hit h JOIN field f ON f.v = h.v", """
+ck AS (SELECT CAST(c_custkey AS INTEGER) AS tag_id, c_custkey AS k, c_name, c_mktsegment FROM customer),
+ckw AS (SELECT DISTINCT tag_id, lower(unnest(['brand#' || (1 + k % 25) || ' brand#' || (1 + (k // 25) % 25) || ' brand#' || (1 + (k * 7) % 25),
+        '#' || (1 + k % 9) || '_ %#' || (10 + (k // 9) % 15) || ' %#' || (k % 7) || '_', c_name,
+        CASE WHEN k % 500 = 0 THEN '%' || c_mktsegment || '%' END])) AS kw FROM ck),
+field AS (SELECT conversation_hash, unnest([lower(model), lower(language), lower(country), lower(array_to_string(tags, ' '))]) AS v FROM cm),
+texts AS (SELECT DISTINCT v FROM field WHERE v IS NOT NULL),
+hit AS (SELECT texts.v, ckw.tag_id FROM texts JOIN ckw ON """ + test + ")")
+
+
+SQL["user_tag_index"] = _customer_matches("texts.v LIKE '%' || ckw.kw || '%'")
+SQL["user_tag_index_literal"] = _customer_matches("contains(texts.v, ckw.kw)")
+
+
 # ---- streams -----------------------------------------------------------------------------------
 def _tagged_stream(spark, d, log=None):
     schema, path = _stream_source(spark, d, "documents")

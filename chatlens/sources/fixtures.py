@@ -201,3 +201,14 @@ USER_TAGS = [
 def user_tags(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         USER_TAGS, "tag_id int, user_id int, name string, color string, keywords array<string>")
+
+
+def customer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user tag a customer, with keywords of its own: brands in a row, wildcards across tags, a name, and for a few a whole segment."""
+    k = F.col("c_custkey")
+    keywords = F.array(
+        F.concat(F.lit("Brand#"), 1 + k % 25, F.lit(" BRAND#"), 1 + F.floor(k / 25) % 25, F.lit(" brand#"), 1 + (k * 7) % 25),
+        F.concat(F.lit("#"), 1 + k % 9, F.lit("_ %#"), 10 + F.floor(k / 9) % 15, F.lit(" %#"), k % 7, F.lit("_")),
+        F.col("c_name"),
+        F.when(k % 500 == 0, F.concat(F.lit("%"), F.upper("c_mktsegment"), F.lit("%"))))
+    return table(spark, sf_dir, "customer").select(k.cast("int").alias("tag_id"), F.array_compact(keywords).alias("keywords"))

@@ -1,4 +1,4 @@
-"""Parquet / CSV scans and sinks (IO1-IO9, IO13, IO14)."""
+"""Parquet / CSV scans and sinks (IO1, IO3-IO8, IO13, IO14)."""
 
 from __future__ import annotations
 
@@ -21,27 +21,6 @@ def read_parts(spark: SparkSession, paths, schema: StructType | None = None,
     return df.select(*columns) if columns else df
 
 
-def schema_report(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """IO2: compare every file's schema with the first one's.
-
-    Only Parquet footers are read (on the driver, metadata only).  Returns
-    ``(path, column, expected, actual)`` rows; empty means consistent.
-    """
-    rows = []
-    first = None
-    for p in paths:
-        s = spark.read.parquet(p).schema
-        if first is None:
-            first = s
-            continue
-        exp = {f.name: f.dataType.simpleString() for f in first.fields}
-        act = {f.name: f.dataType.simpleString() for f in s.fields}
-        for c in sorted(set(exp) | set(act)):
-            if exp.get(c) != act.get(c):
-                rows.append((p, c, exp.get(c), act.get(c)))
-    return spark.createDataFrame(rows, "path string, column string, expected string, actual string")
-
-
 def publish(df: DataFrame, path: str | None = None, mode: str = "overwrite",
             view: str | None = None, partition_by: list[str] | None = None) -> None:
     """IO4 / IO7: write Parquet (overwrite or append) and/or register a global temp view."""
@@ -99,6 +78,6 @@ def write_keyed(df: DataFrame, path: str, key: str = KEY, partitions: int | None
 
 def place_after(df: DataFrame, column: str, anchor: str) -> DataFrame:
     """IO14: move ``column`` right after ``anchor``; a missing anchor is an error."""
-    rest = [c for c in df.columns if c != column]
-    at = rest.index(anchor) + 1
-    return df.select(*rest[:at], column, *rest[at:])
+    place = {name: (i, 0) for i, name in enumerate(df.columns)}
+    place[column] = (place[anchor][0], 1)
+    return df.select(*sorted(place, key=place.get))

@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatlens.operators import user_tags
 from chatlens.sources import fixtures as fx
@@ -39,8 +41,9 @@ def test_match_keywords_brute_force(spark):
     for literal in (False, True):
         got = {(r.tag_id, r.conversation_hash) for r in user_tags.match_keywords(df, tags, literal).collect()}
         assert got == brute_match(rows, fx.USER_TAGS, literal)
-        parts = user_tags.match_keywords(df.union(df), tags, literal, parts=3).collect()
-        assert len(parts) == len(got) and {(r.tag_id, r.conversation_hash) for r in parts} == got
+        for index in (False, True):
+            rows_ = user_tags.match_keywords(df.union(df), tags, literal, index=index).collect()
+            assert len(rows_) == len(got) and {(r.tag_id, r.conversation_hash) for r in rows_} == got
 
 
 def test_keywords_of_no_tag_match_nothing(spark):
@@ -49,11 +52,49 @@ def test_keywords_of_no_tag_match_nothing(spark):
     assert user_tags.match_keywords(df, none).count() == 0
 
 
-def test_too_many_keywords_in_one_part_raise(spark, monkeypatch):
-    monkeypatch.setattr(user_tags, "KEYWORD_BYTES", 10)
-    df = spark.createDataFrame([("a", "m", None, None, None)], "conversation_hash string, model string, language string, country string, tags array<string>")
-    with pytest.raises(Exception, match="give more parts"):
-        user_tags.match_keywords(df, fx.user_tags(spark)).collect()
+def test_many_keywords_take_the_index(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "1-URGENT", None, "NATION_1", ["Brand#13", "Brand#14"])], SCHEMA)
+    few = user_tags.match_keywords(df, fx.user_tags(spark)).collect()
+    monkeypatch.setattr(user_tags, "FEW_KEYWORDS_BYTES", 10)
+    many = user_tags.match_keywords(df, fx.user_tags(spark))
+    assert "Join" in many._jdf.queryExecution().toString()
+    assert sorted(many.collect()) == sorted(few) != []
+
+
+SCHEMA = "conversation_hash string, model string, language string, country string, tags array<string>"
+#: Wildcards, short and empty pieces, escapes, characters beyond ASCII and beyond 16 bits, a control character.
+ODD = ["a", "é", "日本", "%", "_", "__%_", "a%c", "a_c", "%%b", r"\%", r"100\%", r"a\bc", "c++", " x ", "\x01", "\x013", "😀", "😀b", "x y", "", "  ", "_é", "zzz", "ab%zz"]
+
+
+@pytest.mark.parametrize("literal", [False, True])
+def test_index_equals_the_projection_on_odd_keywords(spark, literal):
+    rng = random.Random(4)
+    alphabet = ["a", "b", "c", "é", "日", "本", "😀", "%", "_", "\\", " ", "x", "y", "\x01", "3"]
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+    rows = [(f"k{i}", rng.choice([None, text(4)]), text(9), text(2), rng.choice([None, [], [text(3), text(6)]])) for i in range(120)]
+    rows += [("same", "abc", "100%", "a", ["x", "y"])] * 60
+    tags = [(i, [k]) for i, k in enumerate(ODD)] + [(100 + i, [text(5), text(3)]) for i in range(60)]
+    tags = [(i, [k for k in ks if literal or not k.rstrip().endswith("\\")]) for i, ks in tags] + [(999, None)]
+    df, tg = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(tags, "tag_id int, keywords array<string>")
+    plain, index = (sorted(map(tuple, user_tags.match_keywords(df, tg, literal, index=i).collect())) for i in (False, True))
+    assert plain == index and len(plain) > 200
+    if literal:  # the rule itself, in plain Python
+        want = set()
+        for i, ks in tags:
+            for k in {k.strip(" ").lower() for k in ks or []} - {""}:
+                want |= {(i, h) for h, m, la, c, t in rows if any(k in (f or "").lower() for f in (m, la, c, " ".join(t or [])))}
+        assert set(index) == want
+
+
+def test_the_index_compares_few_pairs(spark):
+    """Each value meets only the keywords whose rarest span it holds."""
+    from chatlens.operators import keyword_index as ki
+    rows = spark.range(2000).selectExpr("cast(id as string) as k", "array(concat('common words ', id)) as _v")
+    kws = spark.range(1000).selectExpr("cast(id as int) as tag_id", "concat('common words ', id, ' ') as kw")
+    cut = rows.selectExpr("explode(_v) as v").distinct().select("v", F.explode(ki.spans("v")).alias("span"))
+    looked = ki.lookups(ki.pieces(kws, True), cut.groupBy("span").agg(F.count("*").alias("n")))
+    assert cut.join(looked, "span").count() < 20_000  # of 2,000,000
+    assert ki.indexed_matches(rows, kws, "k", "_v", True).count() == 0
 
 
 def test_counts_and_duplicates(spark):
@@ -83,10 +124,23 @@ def test_rematch_only_changed(spark, tmpdir_path):
                                "conversation_hash string, model string, language string, country string, tags array<string>")
     old = fx.user_tags(spark)
     new = old.withColumn("name", old["name"])  # same keywords
-    assert user_tags.rematch(df, old, new, tmpdir_path + "/a") == []
-    from pyspark.sql import functions as F
+    assert user_tags.rematch(df, old, new, tmpdir_path + "/a").collect() == []
     new2 = old.withColumn("keywords", F.when(F.col("tag_id") == 4, F.array(F.lit("urgent"))).otherwise(F.col("keywords")))
-    assert user_tags.rematch(df, old, new2, tmpdir_path + "/a") == [4]
+    assert [r.tag_id for r in user_tags.rematch(df, old, new2, tmpdir_path + "/a").collect()] == [4]
+    assert [tuple(r) for r in user_tags.read_assignments(spark, tmpdir_path + "/a").select("tag_id", "conversation_hash").collect()] == [(4, "a")]
+
+
+def test_rematch_reads_the_conversations_once(spark, tmpdir_path, monkeypatch):
+    """The written plan evaluates the match once: one scan of the conversations."""
+    path = tmpdir_path + "/conv"
+    spark.createDataFrame([("a", "1-URGENT", "X", "Y", ["t"])], SCHEMA).write.parquet(path)
+    old = fx.user_tags(spark)
+    seen = []
+    whole = user_tags.replace_assignments
+    monkeypatch.setattr(user_tags, "replace_assignments", lambda rows, ids, to: (seen.append(rows), whole(rows, ids, to)))
+    user_tags.rematch(spark.read.parquet(path), old.where("tag_id > 1"), old, tmpdir_path + "/a")
+    assert str(seen[0]._jdf.queryExecution().sparkPlan()).count("FileScan parquet") == 1
+    assert [r.tag_id for r in user_tags.read_assignments(spark, tmpdir_path + "/a").collect()] == [1]
 
 
 def test_side_tables(spark):
@@ -117,7 +171,6 @@ def test_clean_activity(spark):
 
 
 def test_removed_and_cleared_tags_are_changes(spark):
-    from pyspark.sql import functions as F
     old = fx.user_tags(spark)
     ids = sorted(r.tag_id for r in old.where("size(keywords) > 0").collect())
     new = old.where(F.col("tag_id") != ids[0]).withColumn(

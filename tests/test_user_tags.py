@@ -91,9 +91,9 @@ def test_the_index_compares_few_pairs(spark):
     from chatlens.operators import keyword_index as ki
     rows = spark.range(2000).selectExpr("cast(id as string) as k", "array(concat('common words ', id)) as _v")
     kws = spark.range(1000).selectExpr("cast(id as int) as tag_id", "concat('common words ', id, ' ') as kw")
-    cut = rows.selectExpr("explode(_v) as v").distinct().select("v", F.explode(ki.spans("v")).alias("span"))
-    looked = ki.lookups(ki.pieces(kws, True), cut.groupBy("span").agg(F.count("*").alias("n")))
-    assert cut.join(looked, "span").count() < 20_000  # of 2,000,000
+    words = ki.pieces(kws, True)
+    cut = ki.value_spans(rows.selectExpr("explode(_v) as v").distinct(), words)
+    assert cut.join(ki.lookups(words, cut), "span").count() < 20_000  # of 2,000,000
     assert ki.indexed_matches(rows, kws, "k", "_v", True).count() == 0
 
 
@@ -185,3 +185,10 @@ def test_activity_cap_is_per_user(spark):
     got = user_tags.clean_activity(df, 4)
     assert sorted(r.event_id for r in got.collect()) == list(range(18, 30))
     assert sorted(r.event_id for r in user_tags.session_history(got, 1).collect()) == [27, 28, 29]
+
+
+def test_span_sizes(spark):
+    from chatlens.operators.keyword_index import span_size
+    got = [r[0] for r in spark.range(0, 400).select(span_size(F.col("id").cast("int"))).collect()]
+    sizes = [0, 1, 2, 3, 6, 12, 24, 48, 96, 192, 384]
+    assert got == [max(s for s in sizes if s <= n) for n in range(400)]

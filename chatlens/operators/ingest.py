@@ -64,13 +64,13 @@ def first_wins_load(new: DataFrame, target: DataFrame | None, key: str = KEY,
 
 
 def log_run(spark: SparkSession, path: str, rows: int, status: str, errors: int,
-            seconds: float, notes: str = "", run_id: str | None = None) -> None:
-    """IO12: append one run-log row (duration 2 dp, notes cut to 500 chars)."""
+            seconds: float, notes: str = "", run_id: str | None = None, mode: str = "append", note_chars: int = 500) -> None:
+    """IO12: write one run-log row (duration 2 dp, notes cut to ``note_chars``), appended unless ``mode`` says otherwise."""
     import datetime
     import uuid
     row = [(run_id or uuid.uuid4().hex, datetime.datetime.now(datetime.timezone.utc).replace(microsecond=0, tzinfo=None), int(rows),
-            status, int(errors), round(float(seconds), 2), (notes or "")[:500])]
-    spark.createDataFrame(row, RUN_LOG_SCHEMA).write.mode("append").parquet(path)
+            status, int(errors), round(float(seconds), 2), (notes or "")[:note_chars])]
+    spark.createDataFrame(row, RUN_LOG_SCHEMA).write.mode(mode).parquet(path)
 
 
 @contextmanager

@@ -645,14 +645,13 @@ def q_stream_first_wins(spark, d):
     schema, path = _stream_source(spark, d, "documents")
     base = scratch_path(spark, f"st1-{uuid.uuid4().hex[:10]}")
 
-    def shape(s):
-        return s.select(F.sha2("text", 256).alias("conversation_hash"), "doc_id", "source", "lang")
-
     q = stream_first_wins(spark, path, f"{base}/target", f"{base}/ckpt", schema,
-                          key="conversation_hash", order_by=["doc_id"], transform=shape,
+                          key="conversation_hash", order_by=["doc_id"],
+                          keyed=lambda s: s.withColumn("conversation_hash", F.sha2("text", 256)),
+                          transform=lambda s: s.select("conversation_hash", "doc_id", "source", "lang"),
                           run_log=f"{base}/runs")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/target")
+    return spark.read.parquet(f"{base}/target").drop("load_batch")
 
 
 @query("stream_hourly_counts")

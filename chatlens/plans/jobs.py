@@ -17,9 +17,9 @@ from chatlens.plans import oracle
 from chatlens.plans.catalog import _stream_source, cm, cmt, docs, events, query, tr_requests
 from chatlens.schema import COUNTRY, KEY, LANG, MODEL, STATE, TAGS, TS, TURN
 from chatlens.session import scratch_path
-from chatlens.sources import dims, footers, key_index, parquet
+from chatlens.sources import dims, footers, key_index, manifest, parquet
 from chatlens.sources import fixtures as fx
-from chatlens.streaming import dedupe_stream, stream_first_wins
+from chatlens.streaming import dedupe_stream, stream_first_wins, stream_window_counts, window_counts
 
 SQL = oracle.SQL
 with_cm = oracle.with_cm
@@ -428,10 +428,10 @@ def _tagged_stream(spark, d, log=None):
     base = new_path(spark, "arrivals")
 
     def shape(s):
-        t = tagging.tag(s, fx.FIXTURE_DICTIONARY, text="text")
-        return t.select(F.sha2("text", 256).alias(KEY), "doc_id", F.concat_ws(",", TAGS).alias("tags"))
+        return tagging.tag(s, fx.FIXTURE_DICTIONARY, text="text").select(KEY, "doc_id", F.concat_ws(",", TAGS).alias("tags"))
 
-    q = stream_first_wins(spark, path, f"{base}/target", f"{base}/ckpt", schema, key=KEY, order_by=["doc_id"], transform=shape, run_log=f"{base}/runs")
+    q = stream_first_wins(spark, path, f"{base}/target", f"{base}/ckpt", schema, key=KEY, order_by=["doc_id"],
+                          keyed=lambda s: s.withColumn(KEY, F.sha2("text", 256)), transform=shape, run_log=f"{base}/runs")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/{'runs' if log else 'target'}")
 
@@ -470,3 +470,62 @@ def q_stream_distinct_users(spark, d):
 
 
 SQL["stream_distinct_users"] = "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"
+
+
+def _arrivals(spark, table, order: str, path: str, parts: int = 6) -> None:
+    """The table in part files that arrive one after another, in the order of a column."""
+    edges = table.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)]).alias("e")).first()["e"]
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+        part = table if low is None else table.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+@query("stream_first_wins_batches")
+def q_stream_first_wins_batches(spark, d):
+    """ST1 over several micro-batches: documents arrive in six files, the first of each text is kept."""
+    base = new_path(spark, "batches")
+    source = docs(spark, d).select("doc_id", "text", "lang")
+    _arrivals(spark, source, "doc_id", f"{base}/in")
+    q = stream_first_wins(spark, f"{base}/in", f"{base}/target", f"{base}/ckpt", source.schema, key=KEY, order_by=["doc_id"],
+                          keyed=lambda s: s.withColumn(KEY, F.sha2("text", 256)), max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/target").select(KEY, "doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+SQL["stream_first_wins_batches"] = """
+SELECT sha256(text) AS conversation_hash, doc_id, lang, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
+
+
+@query("stream_window_totals")
+def q_stream_window_totals(spark, d):
+    """ST4 with every window: events arrive in six files by time; hourly counts, those of the open windows included."""
+    base = new_path(spark, "windows")
+    source = events(spark, d).where(F.col("ts").isNotNull()).select("ts", "event_type")
+    _arrivals(spark, source.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "us", f"{base}/in")
+    stream = spark.readStream.schema("ts timestamp_ntz, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream_window_counts(stream, "ts", ["event_type"], f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return window_counts(spark, f"{base}/out", ["event_type"])
+
+
+SQL["stream_window_totals"] = """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS count
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+# ---- deletes -----------------------------------------------------------------------------------
+@query("purge_rewrite")
+def q_purge_rewrite(spark, d):
+    """SD5: a user's history purged from a table by rewriting the files that hold it, then what is left a user."""
+    path = new_path(spark, "history")
+    manifest.create(fx.history(spark, d).repartitionByRange(16, "user_id"), path)
+    deleted = manifest.delete_rows(spark, path, F.col("user_id") == 5)
+    manifest.vacuum(spark, path)
+    left = manifest.read(spark, path).groupBy("user_id").agg(F.count("*").alias("rows"))
+    return left.withColumn("deleted", F.lit(deleted).cast("long"))
+
+
+SQL["purge_rewrite"] = """
+SELECT user_id, count(*) AS rows, (SELECT count(*) FROM events WHERE user_id = 5) AS deleted
+FROM events WHERE user_id IS DISTINCT FROM 5 GROUP BY user_id"""

@@ -9,6 +9,8 @@ holds the key.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def look_up(spark: SparkSession, path: str, index_path: str, keys: list, key: st
 
     Keys that the index doesn't have give no rows; a key with several rows gives all.
     """
-    files = sorted(r["file"] for r in in_index(spark, index_path, keys, key).select("file").distinct().collect())  # at most as many as rows asked for
+    files = sorted(unquote(r["file"]) for r in in_index(spark, index_path, keys, key).select("file").distinct().collect())  # at most as many as rows asked for
     table = spark.read.option("basePath", path)
     if not files:
         return table.parquet(path).limit(0)

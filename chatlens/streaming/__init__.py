@@ -1,6 +1,6 @@
-"""Structured Streaming forms of the incremental jobs (ST1-ST5)."""
+"""Structured Streaming jobs."""
 
-from chatlens.streaming.incremental import (dedupe_stream, event_time_counts,
-                                            stream_first_wins)
+from chatlens.streaming.incremental import (dedupe_stream, event_time_counts, stream_first_wins,
+                                            stream_window_counts, window_counts)
 
-__all__ = ["stream_first_wins", "dedupe_stream", "event_time_counts"]
+__all__ = ["dedupe_stream", "event_time_counts", "stream_first_wins", "stream_window_counts", "window_counts"]

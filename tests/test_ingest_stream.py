@@ -4,7 +4,8 @@ import os
 from pyspark.sql import functions as F
 
 from chatlens.operators import ingest
-from chatlens.streaming import dedupe_stream, event_time_counts, stream_first_wins
+from chatlens.sources import manifest
+from chatlens.streaming import dedupe_stream, event_time_counts, stream_first_wins, stream_window_counts, window_counts
 
 SCHEMA = ("conversation_hash string, model string, turn long, language string, country string, "
           "state string, redacted boolean, toxic boolean, ts timestamp_ntz, seq long")
@@ -92,3 +93,83 @@ def test_stream_tags_on_arrival(spark, tmpdir_path):
     got = {r.conversation_hash: list(r.tags) for r in spark.read.parquet(tgt).collect()}
     want = {r.conversation_hash: list(r.tags) for r in tagging.tag(df, d, text="text").collect()}
     assert got == want
+
+
+def test_a_batch_reads_its_own_files_only(spark, tmpdir_path):
+    """The second run knows the keys from its state: it writes elsewhere and never sees the first target."""
+    src, ck, log = (os.path.join(tmpdir_path, x) for x in ("in dir", "ck", "log"))
+    schema = part(spark, rows_for(["a"], 0)).schema
+    read = []
+    for i, keys in enumerate((["a", "b", "a", None], ["b", "c", "c", "a"], ["a"])):
+        part(spark, rows_for(keys, 10 * i)).coalesce(1).write.mode("append").parquet(src)
+        q = stream_first_wins(spark, src, f"{tmpdir_path}/target{i}", ck, schema, order_by=["seq"], run_log=log)
+        q.awaitTermination(120)
+        read.append(sum(p.numInputRows for p in q.recentProgress))
+    assert read == [4, 4, 1]
+    got = [sorted((r.conversation_hash, r.seq) for r in spark.read.parquet(f"{tmpdir_path}/target{i}").collect()) for i in (0, 1)]
+    assert got == [[("a", 0), ("b", 1)], [("c", 11)]]
+    assert not os.path.exists(f"{tmpdir_path}/target2")
+    assert sorted(r.rows_processed for r in spark.read.parquet(log).where("rows_processed > 0").collect()) == [1, 2]
+
+
+def test_a_replayed_batch_overwrites_what_it_wrote(spark, tmpdir_path, monkeypatch):
+    from chatlens.streaming import incremental
+    src, tgt, ck, log = (os.path.join(tmpdir_path, x) for x in ("in", "out", "ck", "log"))
+    rows = part(spark, rows_for(["a", "b", "a"], 0))
+    rows.coalesce(1).write.parquet(src)
+    whole = incremental.log_run
+    monkeypatch.setattr(incremental, "log_run", lambda *a, **k: 1 / 0)  # fails after the rows are written
+    q = stream_first_wins(spark, src, tgt, ck, rows.schema, order_by=["seq"], run_log=log)
+    try:
+        q.awaitTermination(120)
+        raise AssertionError("the batch should fail")
+    except Exception as e:
+        assert "division by zero" in str(e)
+    assert spark.read.parquet(tgt).count() == 2
+    monkeypatch.setattr(incremental, "log_run", whole)
+    stream_first_wins(spark, src, tgt, ck, rows.schema, order_by=["seq"], run_log=log).awaitTermination(120)
+    assert sorted((r.conversation_hash, r.seq) for r in spark.read.parquet(tgt).collect()) == [("a", 0), ("b", 1)]
+    assert [r.rows_processed for r in spark.read.parquet(log).where("notes = 'micro-batch 0'").collect()] == [2]
+
+
+def test_window_counts_go_on_in_the_next_run(spark, tmpdir_path):
+    """Open windows are counted, updated by a later run, and late rows stay out."""
+    src, out, ck = (os.path.join(tmpdir_path, x) for x in ("w", "wo", "wc"))
+    t = dt.datetime
+    schema = "ts timestamp_ntz, event_type string"
+    runs = [[(t(2024, 1, 1, 0, 5), "a"), (t(2024, 1, 1, 3, 0), "a")], [(t(2024, 1, 1, 3, 30), "a"), (t(2024, 1, 1, 0, 6), "a"), (t(2024, 1, 1, 5, 0), None)]]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream_window_counts(spark.readStream.schema(schema).parquet(src), "ts", ["event_type"], out, ck).awaitTermination(120)
+    got = {(r.window_start.hour, r.event_type): r["count"] for r in window_counts(spark, out, ["event_type"]).collect()}
+    assert got == {(0, "a"): 1, (3, "a"): 2, (5, None): 1}  # 00:06 came after the watermark had passed its window
+
+
+def test_delete_rewrites_touched_files_only(spark, tmpdir_path):
+    path = tmpdir_path + "/table"
+    df = spark.range(0, 4000, 1, 4).selectExpr("id", "case when id % 7 = 0 then null else id div 500 end as user_id")
+    manifest.create(df, path)
+    before = {r.file for r in manifest.live_files(spark, path).collect()}
+    assert manifest.delete_rows(spark, path, F.col("user_id") == 99) == 0 and manifest.latest_version(spark, path) == 0
+    gone = manifest.delete_rows(spark, path, F.col("user_id") == 3)
+    assert gone == df.where("user_id = 3").count() > 0
+    after = {r.file for r in manifest.live_files(spark, path).collect()}
+    assert len(before) == 4 and len(before & after) == 3  # user 3 lies in one of four files
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(manifest.read(spark, path), df.where("user_id is distinct from 3"))
+    assert same(manifest.read(spark, path, version=0), df)
+    files = lambda: {f for _, _, names in os.walk(path + "/data") for f in names if f.endswith(".parquet")}
+    assert manifest.vacuum(spark, path) == 1 and files() == {f.split("/")[-1] for f in after}
+    assert manifest.delete_rows(spark, path, F.lit(True)) == 4000 - gone
+    assert manifest.read(spark, path).count() == 0 and manifest.read(spark, path).columns == ["id", "user_id"]
+
+
+def test_of_two_deletes_of_one_version_one_fails(spark, tmpdir_path):
+    path = tmpdir_path + "/table"
+    manifest.create(spark.range(10), path)
+    manifest._commit(manifest.live_files(spark, path), path, 1)
+    try:
+        manifest._commit(manifest.live_files(spark, path), path, 1)
+        raise AssertionError("the version is taken")
+    except Exception as e:
+        assert "already exists" in str(e)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +21,7 @@ from chatlens.llm.tables import small_batches
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_TOKEN = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math canvas object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +31,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = frozenset("ul ol dl table body article section div main".split())
+#: What may stand in a head; any other element, and any text, ends it.
+HEAD = frozenset("head title meta link base style script noscript template basefont bgsound".split())
+#: Blocks that hold one text; their parent is where they belong.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li pre td blockquote".split())
 
 #: Weights of the classifier: positive for content.
 TAGS = {"nav": -9.0, "aside": -8.0, "footer": -8.0, "header": -5.0, "form": -8.0, "button": -8.0, "select": -9.0, "menu": -8.0, "dialog": -8.0,
@@ -41,6 +45,8 @@ BAD_NAMES = frozenset("ad ads advert advertisement adverts advertising adbox ads
                       "recommend recommended recommendations comment comments reply replies respond disqus breadcrumb breadcrumbs pagination pager menu nav "
                       "navbar navigation footer masthead copyright search widget widgets toolbar hidden tags sitemap topbar".split())
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
+#: Parts of a class that says something about its page: ``has-sidebar`` is no sidebar.
+STATES = frozenset("has no not with without is enabled disabled open closed supports show hide".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAME_WEIGHT, GOOD_WEIGHT, ROLE_WEIGHT = -9.0, 2.0, -9.0
 LINK_WEIGHT, LENGTH_WEIGHT, STOP_WEIGHT, BIAS = -5.0, 0.4, 0.5, -1.5
@@ -48,24 +54,82 @@ LINK_WEIGHT, LENGTH_WEIGHT, STOP_WEIGHT, BIAS = -5.0, 0.4, 0.5, -1.5
 NEXT, KIN = 1.0, 0.8
 
 
+class Element:
+    """An element of the page and what lies around it; blocks share the elements above them."""
+
+    __slots__ = ("above", "tag", "names", "home", "depth", "wraps", "plain", "seen", "total", "named")
+
+    def __init__(self, above: Element | None, tag: str, names: float):
+        self.above, self.tag, self.names = above, tag, names
+        self.home = above.home if above and tag in INLINE else self  # the innermost element that isn't inline
+        self.depth = above.home.depth + 1 if above and self.home is self else 0
+        self.wraps, self.plain, self.seen, self.total, self.named = False, 0, frozenset(), 0.0, 0.0
+
+    def up(self) -> Element:
+        return self.above.home
+
+
 class Block:
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "place", "linked")
+
+    def __init__(self, text: str, place: Element, linked: int):
+        self.text, self.place, self.linked = text, place, linked
+
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
+def name_weight(value: str) -> float:
+    """Weight of a class list or id: whole names count, by their parts."""
+    weight = 0.0
+    for name in value.split():
+        parts = {x.lower() for x in _PART.findall(name)}
+        if parts & BAD_NAMES and not parts & STATES:
+            return NAME_WEIGHT
+        if parts & GOOD_NAMES:
+            weight = GOOD_WEIGHT
+    return weight
+
+
+def weigh(elements: list[Element], found: list[Block]) -> None:
+    """Sum up, from the page downwards, what the tags and names around each element say.
+
+    An element that wraps the page's main part says nothing by its names, nor
+    as a form: one around a ``main`` or the page's only ``article``, and on pages
+    with neither, one that holds most of the unlinked text.
+    """
+    cores = [e for e in elements if e.tag == "main"] or [e for e in elements if e.tag == "article"]
+    if cores and (cores[0].tag == "main" or len(cores) == 1):
+        for e in cores:
+            while e and not e.wraps:
+                e.wraps, e = True, e.above
+    else:
+        for b in found:
+            b.place.plain += len(b.text) - b.linked
+        for e in reversed(elements[1:]):  # each comes after the one above it
+            e.above.plain += e.plain
+        for e in elements:
+            e.wraps = e.tag in ("html", "body") or e.tag != "article" and 2 * e.plain > elements[0].plain
+    for e in elements[1:]:
+        names = 0.0 if e.wraps and e.names < 0 else e.names
+        e.named = min(e.above.named, names) if names < 0 or e.above.named < 0 else max(e.above.named, names)
+        weight = TAGS.get(e.tag, 0.0)
+        e.seen, e.total = e.above.seen, e.above.total
+        if weight and e.tag not in e.seen and not (e.tag == "form" and e.wraps) and not (e.tag == "header" and e.seen & {"article", "main"}):
+            e.seen, e.total = e.seen | {e.tag}, e.total + weight
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, each with the elements around it.
 
     Unclosed and misnested markup is taken as a browser would for text: a new
-    block closes an open paragraph, a list item the one before, and an end tag
-    all that is still open inside.  Raw elements and the head have no text.
+    block closes an open paragraph, a list item the one before, an end tag all
+    that is still open inside, and what can't be in a head ends it.  Raw
+    elements and the head have no text.
     """
     out: list[Block] = []
-    stack: list[tuple[int, str, float]] = []  # (number, tag, weight of its names)
+    elements = [Element(None, "", 0.0)]
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = serial = at = in_head = anchors = 0
+    linked = at = in_head = anchors = 0
     size = len(page)
 
     def flush() -> None:
@@ -73,11 +137,13 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else elements[0], min(linked, len(text))))
             parts, linked = [], 0
 
     def say(raw: str) -> None:
         nonlocal linked
+        if in_head and raw and not raw.isspace():
+            end_head()
         if raw and not in_head:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -86,11 +152,16 @@ def blocks(page: str) -> list[Block]:
 
     def close(to: int) -> None:
         nonlocal in_head, anchors
-        for _, tag, _ in stack[to:]:
-            in_head -= tag == "head"
-            anchors -= tag == "a"
+        for e in stack[to:]:
+            opened[e.tag] -= 1
+            in_head -= e.tag == "head"
+            anchors -= e.tag == "a"
         del stack[to:]
 
+    def end_head() -> None:
+        flush()
+        close(next(k for k, e in enumerate(stack) if e.tag == "head"))
+
     while at < size:
         m = _MARKUP.search(page, at)
         if m is None:
@@ -105,15 +176,15 @@ def blocks(page: str) -> list[Block]:
         if ending:
             if tag not in INLINE:
                 flush()
-                if tag == "head":
-                    in_head = max(0, in_head)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1] == tag:
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
+                if stack[k].tag == tag:
                     close(k)
                     break
-                if tag in INLINE and stack[k][1] not in INLINE:
+                if tag in INLINE and stack[k].tag not in INLINE:
                     break
             continue
+        if in_head and tag not in HEAD:
+            end_head()
         if tag in RAW:
             if rest.rstrip().endswith("/") and tag in ("svg", "math"):
                 continue
@@ -130,11 +201,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag == "body":
-                in_head = 0
             shut = CLOSES.get(tag, ())
             for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][1]
+                name = stack[k].tag
                 if name in shut or name == "p" and tag not in ("tr", "td", "th"):
                     close(k)
                     break
@@ -145,58 +214,50 @@ def blocks(page: str) -> list[Block]:
         weight = 0.0
         if rest:
             for name, x, y, z in _ATTRIBUTE.findall(rest):
-                name, value = name.lower(), (x or y or z).lower()
+                name, value = name.lower(), x or y or z
                 if name in ("class", "id"):
-                    words = set(_TOKEN.findall(value))
-                    if words & BAD_NAMES:
-                        weight += NAME_WEIGHT
-                    elif words & GOOD_NAMES:
-                        weight += GOOD_WEIGHT
-                elif name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                    weight += name_weight(value)
+                elif (name == "role" and value.lower() in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true"
+                      or name == "style" and "display:none" in value.lower().replace(" ", "")):
                     weight += ROLE_WEIGHT
         if not rest.rstrip().endswith("/") or tag not in INLINE:
-            serial += 1
-            stack.append((serial, tag, weight))
+            elements.append(Element(stack[-1] if stack else elements[0], tag, weight))
+            stack.append(elements[-1])
+            opened[tag] += 1
             in_head += tag == "head"
             anchors += tag == "a"
     flush()
+    weigh(elements, out)
     return out
 
 
 def score(block: Block) -> float:
     """Log-odds that a block is content."""
-    total, seen, names = BIAS, set(), 0.0
-    for _, tag, weight in block.path:
-        if tag not in seen:
-            seen.add(tag)
-            total += TAGS.get(tag, 0.0)
-        names = min(names, weight) if weight < 0 or names < 0 else max(names, weight)
     n = len(block.text)
-    total += names + LENGTH_WEIGHT * min(5.0, n / 40) + LINK_WEIGHT * block.linked / n
+    total = BIAS + block.place.total + block.place.named + LENGTH_WEIGHT * min(5.0, n / 40) + LINK_WEIGHT * block.linked / n
     return total + (STOP_WEIGHT if block.text[-1] in ".!?:;\"'”»)" else 0.0)
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours on the page, and the next block with the same parent."""
     out: list[tuple[int, int, float]] = []
-    last: dict[int, int] = {}
-    homes = []
-    for b in found:
-        home = [e for e in b.path if e[1] not in INLINE]
-        homes.append([e[0] for e in home[:-1]] if home and home[-1][1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "blockquote") else [e[0] for e in home])
-    for i, home in enumerate(homes):
-        if i:
-            before = homes[i - 1]
-            common = 0
-            for x, y in zip(before, home, strict=False):
-                if x != y:
-                    break
-                common += 1
-            out.append((i - 1, i, NEXT / (1 + len(before) + len(home) - 2 * common)))
-        parent = home[-1] if home else 0
-        if parent in last and last[parent] != i - 1:
-            out.append((last[parent], i, KIN))
-        last[parent] = i
+    last: dict[Element, int] = {}
+    before = None
+    for i, b in enumerate(found):
+        home = b.place.home
+        home = home.up() if home.tag in LEAF else home
+        if before is not None:
+            x, y, steps = before, home, 0
+            while x is not y:  # up to where both meet, over what was closed and opened between them
+                steps += 1
+                if x.depth >= y.depth:
+                    x = x.up()
+                else:
+                    y = y.up()
+            out.append((i - 1, i, NEXT / (1 + steps)))
+        if home in last and last[home] != i - 1:
+            out.append((last[home], i, KIN))
+        last[home], before = i, home
     return out
 
 

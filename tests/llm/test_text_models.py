@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -81,6 +82,36 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+TWO = "<p>A first long paragraph of the article, which goes on for a while.</p><p>A second one follows it, and it is just as long as that.</p>"
+BOTH = "A first long paragraph of the article, which goes on for a while.\nA second one follows it, and it is just as long as that."
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="single has-sidebar"><article>{TWO}</article><div class="sidebar"><p>Other posts to read, with some text.</p></div></body>',
+    f'<body class="page no-cookie-notice"><main>{TWO}</main></body>',
+    f'<body><article class="post share-enabled">{TWO}</article></body>',
+    f'<form id="aspnetForm"><nav><a href=x>Home</a></nav><article>{TWO}</article></form>',
+    f"<html><head><title>T</title><meta charset=utf-8>{TWO}",
+    f'<html><head><title>T</title></head><body><div id="page-sidebar-layout"><div>{TWO}</div></div><div id="sidebar">Links and more of them.</div>',
+    f'<body><form action=/x><div>{TWO}</div></form><footer>Imprint and all that.</footer></body>',
+    f'<main class="widget"><article>{TWO}</article><div class="post-comments"><article class="comment"><p>I like this article a lot, thank you.</p></article></div></main>',
+    f'<head><link rel=x>\n <style>p{{}}</style>\n<script>1</script>{TWO}<div class="hasNoMenu"></div><div class="siteFooter">About us, and how to find us here.</div>',
+])
+def test_a_word_above_the_article_does_not_lose_it(page):
+    assert main_text(page) == BOTH
+
+
+def test_a_title_in_the_articles_own_header_stays():
+    assert main_text(f"<header><h1>Site name</h1></header><article><header><h1>Title of it all</h1></header>{TWO}</article>") == "Title of it all\n" + BOTH
+
+
+def test_deep_pages_take_time_in_proportion():
+    for n in (2_000, 40_000):
+        start = time.time()
+        page = "<article>" + "<div>" * n + TWO + "<p>x</p></div>" * 50
+        assert main_text(page).startswith(BOTH) and time.time() - start < 5
+
+
 def test_cut_is_least_over_all_labellings():
     rnd = random.Random(4)
     for _ in range(60):

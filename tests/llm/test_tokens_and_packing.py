@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatlens.llm.packing import best_fit_decreasing, best_fit_packing, lower_bound, pack
-from chatlens.llm.sharding import grown, rebalanced, slot_map, slotted, virtual_slot_shards
+from chatlens.llm.sharding import edit_map, first_map, grown, read_map, rebalanced, slotted, virtual_slot_shards, write_version
 from chatlens.llm.token_counts import token_counts
 from chatlens.llm.wordbpe import WordBpe, whole_tokens
 
@@ -121,10 +121,49 @@ def test_shards_are_near_equal_and_numbered(spark):
     assert virtual_slot_shards(docs.where("false")).count() == 0
 
 
-def test_slot_map_is_versioned_and_edits_are_few(spark):
-    docs = spark.createDataFrame([(i, "y" * (i % 50)) for i in range(2000)], "doc_id long, text string")
-    maps = slot_map(slotted(docs), 8)
-    assert {r["version"]: r["n"] for r in maps.groupBy("version").agg(F.countDistinct("virtual_slot").alias("n")).collect()} == {0: 8192, 1: 8192, 2: 8192}
+def test_a_stored_map_is_read_edited_and_stored_again(spark, tmp_path):
+    rng = random.Random(8)
+    docs = lambda n: spark.createDataFrame([(i, "x" * rng.randint(0, 400)) for i in range(n)], "doc_id long, text string")
+    path = str(tmp_path / "map")
+    write_version(spark, path, 0, first_map(512, 8), np.zeros(512, np.int64))
+    first = slotted(docs(3000), 512).persist()
+    assert edit_map(path, first, 8) == 1
+    more = slotted(docs(9000), 512).persist()  # the table has grown since
+    assert edit_map(path, more, 8) == 2 and edit_map(path, more, 9) == 3
+    maps = {}
+    for r in read_map(spark, path).collect():
+        maps.setdefault(r["version"], {})[r["virtual_slot"]] = r["shard"]
+    assert {v: len(m) for v, m in maps.items()} == {0: 512, 1: 512, 2: 512, 3: 512}
+    size = {r["virtual_slot"]: r["b"] for r in more.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}
+
+    def loads(m):
+        out = {}
+        for s, b in size.items():
+            out[m[s]] = out.get(m[s], 0) + b
+        return out
+
+    near = loads(maps[2])
+    assert max(near.values()) - min(near.values()) < 0.01 * sum(near.values()) / 8
+    moved = {s for s in maps[2] if maps[2][s] != maps[3][s]}
+    assert moved and {maps[3][s] for s in moved} == {8}  # only into the new shard
+    assert sum(maps[1][s] != maps[2][s] for s in maps[2]) < 200  # edited, not dealt anew
+    with pytest.raises(ValueError, match="has 9 shards"):
+        edit_map(path, more, 12)
+
+
+def test_the_law_holds_when_a_third_of_all_rows_is_one_row(spark):
+    rows = [(i, "y" * (i % 90)) for i in range(6000)] + [(7, "the same record, again and again")] * 3000
+    out = virtual_slot_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=24).collect()
+    load, slots = {}, {}
+    for r in out:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(out) == 9000 and len(load) == 24
+    assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / 24
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_edits_of_a_map_are_few():
     size = np.random.RandomState(0).randint(0, 1000, 8192)
     first = np.arange(8192) % 24
     new = rebalanced(first, size, 24)

@@ -24,6 +24,8 @@ GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHARE = 1_000_000_000
 #: Numbers in one task's pair sums, and in one block of dense shares: bounds its memory when a language has many sources.
 SUMS, DENSE = 1 << 22, 1 << 20
+#: Text bytes whose terms are counted at once: the more, the fewer rows leave a task.
+SLICE = 8 << 20
 
 
 def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -56,7 +58,7 @@ def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
     """
 
     def run(batches):
-        for part in sliced(batches, 2):
+        for part in sliced(batches, 2, SLICE):
             if part.num_rows:
                 yield counted(part)
 

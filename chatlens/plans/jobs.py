@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chatlens.functions import expr, text
-from chatlens.operators import explore, geo, ingest, profile, tagging, translate, user_tags
+from chatlens.operators import dictionary, explore, geo, ingest, profile, tagging, translate, user_tags
 from chatlens.plans import oracle
 from chatlens.plans.catalog import _stream_source, cm, cmt, docs, events, query, tr_requests
 from chatlens.schema import COUNTRY, KEY, LANG, MODEL, STATE, TAGS, TS, TURN
@@ -223,6 +223,41 @@ SELECT conversation_hash, CASE WHEN list_contains(tags, 'untagged') THEN substr(
        CASE WHEN list_contains(tags, 'untagged') THEN 'malformed' ELSE array_to_string(tags, '|') END AS decoded FROM cm""")
 
 
+@query("tag_by_table")
+def q_tag_by_table(spark, d):
+    """TG2-TG5: documents tagged with a dictionary table of some 2,000 keywords."""
+    t = dictionary.tag_by_table(docs(spark, d), fx.topic_dictionary(spark, d), "doc_id", "text")
+    return t.select("doc_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query("tag_by_table_min_hits")
+def q_tag_by_table_min_hits(spark, d):
+    """TG4: two distinct keywords a topic, their occurrences not overlapping; keywords joined to the texts' runs."""
+    t = dictionary.tag_by_table(docs(spark, d), fx.topic_dictionary(spark, d), "doc_id", "text", min_hits=2, held=False)
+    return t.select("doc_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+def _by_table(least: int) -> str:
+    """One alternation a topic, longest first; letters and digits beyond ASCII become ``_``, a word character that no keyword has."""
+    topic = lambda c: f"'topic_' || (CAST('0x' || substr(md5({c}), 1, 4) AS INTEGER) % 66)"
+    return rf"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS k FROM documents),
+word AS (SELECT {topic('k')} AS topic, k FROM (SELECT k FROM w WHERE length(k) > 2 ORDER BY md5(k), k LIMIT 1800)),
+phrase AS (SELECT {topic('k')} AS topic, k FROM (SELECT DISTINCT regexp_extract(lower(text), '^[a-z]+ [a-z]+') AS k FROM benchmark) WHERE k <> ''),
+dict AS (SELECT * FROM word UNION SELECT * FROM phrase UNION SELECT topic, split_part(k, ' ', 2) FROM phrase
+         UNION SELECT 'marks', unnest([{', '.join(oracle.q(m) for m in fx.MARKS)}])),
+alternative AS (SELECT topic, k, CASE WHEN regexp_matches(k, '^[a-z]') THEN '\b' ELSE '' END || regexp_replace(k, '([^a-z])', '\\\1', 'g')
+                                 || CASE WHEN regexp_matches(k, '[a-z]$') THEN '\b' ELSE '' END AS p FROM dict),
+pattern AS (SELECT topic, string_agg(p, '|' ORDER BY length(p) DESC, length(k) DESC, k) AS p FROM alternative GROUP BY topic),
+plain AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\x00-\x7F\PL]', '_', 'g'), '[^\x00-\x7F\PN]', '_', 'g') AS t FROM documents),
+found AS (SELECT doc_id, topic FROM plain, pattern WHERE len(list_distinct(regexp_extract_all(t, p))) >= {least})
+SELECT d.doc_id, coalesce(string_agg(topic, ',' ORDER BY topic), 'untagged') AS tags FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id"""
+
+
+SQL["tag_by_table"] = _by_table(1)
+SQL["tag_by_table_min_hits"] = _by_table(2)
+
+
 @query("tag_job")
 def q_tag_job(spark, d):
     """TG10: the tagging job: conversations read from parts, tagged, written."""

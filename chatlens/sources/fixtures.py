@@ -212,3 +212,19 @@ def customer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name"),
         F.when(k % 500 == 0, F.concat(F.lit("%"), F.upper("c_mktsegment"), F.lit("%"))))
     return table(spark, sf_dir, "customer").select(k.cast("int").alias("tag_id"), F.array_compact(keywords).alias("keywords"))
+
+
+def topic_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(topic, keyword)``: 1,800 of the documents' words, two-word phrases of the benchmark with their second word, and marks, in 66 topics."""
+    topic = lambda c: F.concat(F.lit("topic_"), F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int") % 66)
+    found = table(spark, sf_dir, "documents").select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("keyword"))
+    words = found.where(F.length("keyword") > 2).distinct().orderBy(F.md5("keyword"), "keyword").limit(1800)
+    opening = F.regexp_extract(F.lower("text"), "^[a-z]+ [a-z]+", 0)
+    phrase = table(spark, sf_dir, "benchmark").select(opening.alias("keyword")).where("keyword <> ''").distinct().withColumn("topic", topic(F.col("keyword")))
+    second = phrase.select("topic", F.substring_index("keyword", " ", -1).alias("keyword"))
+    marks = spark.createDataFrame([("marks", m) for m in MARKS], "topic string, keyword string")
+    return words.select(topic(F.col("keyword")).alias("topic"), "keyword").unionByName(phrase.select("topic", "keyword")).unionByName(second).unionByName(marks).distinct()
+
+
+#: Keywords without a word character at an edge.
+MARKS = ["!!", "***", "&&&", "%%%", "...", "the.", "###"]

@@ -36,9 +36,11 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: str = KEY, order_by: list[str] | None = None) -> DataFrame:
-    """WN6: one row per key, the first by ``order_by``; an aggregation with
-    map-side combine (``min_by``), so a repeated key is reduced in every map
-    task instead of being gathered in one."""
+    """WN6: one row per key, the first by ``order_by``; a repeated key is
+    reduced in every map task instead of being gathered in one.
+
+    The aggregation sorts whole rows by key, in each map task and after the
+    shuffle; for wide rows in files ``first_wins_parts`` sorts keys only."""
     order_by = order_by or []
     others = [c for c in df.columns if c != key]
     order = F.struct(*[F.col(c) for c in order_by]) if order_by else F.lit(0)
@@ -47,6 +49,29 @@ def first_wins(df: DataFrame, key: str = KEY, order_by: list[str] | None = None)
               .select(key, "_r.*"))
 
 
+def with_places(df: DataFrame) -> DataFrame:
+    """Rows read from Parquet files with the file and the place that they come from, as ``_file`` and ``_row``."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def first_wins_parts(spark: SparkSession, paths, key: str = KEY, order_by: list[str] | None = None, keyed=None, schema=None) -> DataFrame:
+    """WN6 / IO10 over part files, in two phases: the first row of each key.
+
+    The first phase reduces key, order, file and place alone; the second
+    fetches the winners' rows by file and place, so what else a row holds is
+    read once and never sorted by key.  ``keyed`` adds a key that the files
+    lack and must keep the columns it is given.  Equal orders go by file and
+    place; rows without a key are dropped.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    rows = with_places(reader.parquet(*paths))
+    rows = keyed(rows) if keyed else rows
+    place = F.struct("_file", "_row")
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(place, F.struct(*(order_by or []), "_file", "_row")).alias("_p"))
+    return rows.join(first.select("_p.*"), ["_file", "_row"], "left_semi").drop("_file", "_row")
+
+
 def new_keys(new: DataFrame, target: DataFrame, key: str = KEY) -> DataFrame:
     """JN4: rows whose key is not in the target yet (left anti join)."""
     return new.join(target.select(key), key, "left_anti")

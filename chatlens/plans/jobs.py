@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chatlens.functions import expr, text
-from chatlens.operators import dictionary, explore, geo, ingest, profile, tagging, translate, user_tags
+from chatlens.operators import dictionary, explore, geo, ingest, profile, selection, tagging, translate, user_tags
 from chatlens.plans import oracle
 from chatlens.plans.catalog import _stream_source, cm, cmt, docs, events, query, tr_requests
 from chatlens.schema import COUNTRY, KEY, LANG, MODEL, STATE, TAGS, TS, TURN
@@ -207,6 +207,64 @@ SELECT count(*) AS rows_processed, 'success' AS status, CAST(0 AS INTEGER) AS er
 UNION ALL SELECT 0, 'error', CAST(1 AS INTEGER), (count(DISTINCT event_type) + max(event_type IS NULL)::BIGINT) || ' event types without a target' FROM events"""
 
 
+@query("first_wins_parts")
+def q_first_wins_parts(spark, d):
+    """IO10, WN6 in two phases: the first document of each text, its row fetched by file and place."""
+    found = ingest.first_wins_parts(spark, f"{d.rstrip('/')}/documents.parquet", KEY, ["doc_id"], keyed=lambda s: s.withColumn(KEY, F.sha2("text", 256)))
+    return found.select(KEY, "doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+SQL["first_wins_parts"] = """
+SELECT sha256(text) AS conversation_hash, doc_id, lang, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
+
+
+# ---- samples, pages and quantiles ---------------------------------------------------
+@query("sample_selected")
+def q_sample_selected(spark, d):
+    """PR9: exactly 5,000 conversations for a seed, selected by a histogram of their digests."""
+    return selection.selected_sample(cm(spark, d), KEY, 5000, 42).select(KEY, MODEL, COUNTRY)
+
+
+SQL["sample_selected"] = with_cm("""
+SELECT conversation_hash, model, country FROM cm ORDER BY md5(conversation_hash || '42'), conversation_hash LIMIT 5000""")
+
+
+@query("conversations_deep_page")
+def q_conversations_deep_page(spark, d):
+    """SL2: page 120 of all conversations, 100 a page, found by a histogram of their times."""
+    return selection.deep_page(cm(spark, d), 120, 100).select(KEY, MODEL, TS)
+
+
+SQL["conversations_deep_page"] = with_cm("""
+SELECT conversation_hash, model, ts FROM cm ORDER BY ts NULLS FIRST, conversation_hash LIMIT 100 OFFSET 11900""")
+
+
+@query("quartile_rank_errors")
+def q_quartile_rank_errors(spark, d):
+    """PR2, PR7: quartiles per language and of all, from stored sketches, merged ones and ``percentile_approx``;
+    whether the rank that each has is within one percent of the rows."""
+    path = new_path(spark, "sketches")
+    t = docs(spark, d).select("lang", "n_chars")
+    parquet.publish(profile.quantile_sketches(t, ["n_chars"], ("lang",)), path)
+    stored = spark.read.parquet(path)
+    whole = t.select(F.lit("all").alias("lang"), "n_chars")
+    both = t.unionByName(whole)
+    sketched = profile.sketch_quantiles(stored).unionByName(profile.sketch_quantiles(profile.merged_sketches(stored).withColumn("lang", F.lit("all")).select(*stored.columns)))
+    bounds = profile.iqr_bounds(t, "n_chars")
+    approx = bounds.select(F.lit("all").alias("lang"), F.lit("n_chars").alias("column"), F.inline(F.array(
+        F.struct(F.lit(0.25).alias("q"), F.col("q1").alias("value")), F.struct(F.lit(0.75).alias("q"), F.col("q3").alias("value")))))
+    out = [profile.rank_errors(both, e, ("lang",)).select(F.lit(name).alias("method"), "lang", "q", "count", (F.col("error") <= 0.01).alias("within"))
+           for name, e in (("sketch", sketched), ("percentile_approx", approx))]
+    return out[0].unionByName(out[1])
+
+
+SQL["quartile_rank_errors"] = """
+WITH g AS (SELECT lang, count(n_chars) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'all', count(n_chars) FROM documents)
+SELECT 'sketch' AS method, lang, CAST(q AS DOUBLE) AS q, n AS count, TRUE AS within FROM g, (VALUES (0.25), (0.5), (0.75)) p(q)
+UNION ALL SELECT 'percentile_approx', lang, CAST(q AS DOUBLE), n, TRUE FROM g, (VALUES (0.25), (0.75)) p(q) WHERE lang = 'all'"""
+
+
 # ---- text helpers --------------------------------------------------------------------
 @query("tags_json")
 def q_tags_json(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlens.functions.expr import mean_round, pct
@@ -28,16 +28,22 @@ def state_drilldown(df: DataFrame, country: str, n: int = 30) -> DataFrame:
              .orderBy(F.desc("count"), F.asc("name")).limit(n))
 
 
-def drilldown_status(df: DataFrame, country: str, state: str | None = None) -> DataFrame:
-    """AG16 empty cases: one row with level and message (no rows / city level / no states)."""
-    c = df.where(F.col(COUNTRY) == F.lit(country))
+def drilldown_status(df: DataFrame, requests: DataFrame) -> DataFrame:
+    """AG16's answer to each request ``(country, state)``: level, message of the empty cases, rows.
+
+    ``state`` is null for the drill-down itself; a request below a state gets
+    the city level, which no data has.  A request with states to show has no message.
+    """
     nonblank = F.col(STATE).isNotNull() & (F.trim(F.col(STATE)) != "")
-    g = c.agg(F.count(F.lit(1)).alias("rows"), F.count_if(nonblank).alias("state_rows"))
-    msg = (F.when(F.col("rows") == 0, F.lit(f"No data found for '{country}'"))
-            .when(F.lit(state is not None), F.lit("City-level data is not available in this dataset"))
-            .when(F.col("state_rows") == 0, F.lit(f"Sub-national data is not available for {country}")))
-    level = F.when((F.col("rows") > 0) & F.lit(state is not None), F.lit("city")).otherwise(F.lit("state"))
-    return g.select(level.alias("level"), msg.alias("message"), "rows", "state_rows")
+    held = df.where(F.col(COUNTRY).isNotNull()).groupBy(F.col(COUNTRY).alias("_c")).agg(F.count("*").alias("rows"), F.count_if(nonblank).alias("state_rows"))
+    r = requests.select(F.col("country").alias("request_country"), F.col("state").alias("request_state"))
+    g = r.join(held, F.col("request_country") == F.col("_c"), "left").na.fill(0, ["rows", "state_rows"])
+    deeper = F.col("request_state").isNotNull()
+    message = (F.when(F.col("rows") == 0, F.concat(F.lit("No data found for '"), "request_country", F.lit("'")))
+                .when(deeper, "City-level data is not available in this dataset")
+                .when(F.col("state_rows") == 0, F.concat(F.lit("Sub-national data is not available for "), "request_country")))
+    level = F.when((F.col("rows") > 0) & deeper, "city").otherwise("state")
+    return g.select("request_country", "request_state", level.alias("level"), message.alias("message"), "rows", "state_rows")
 
 
 def continents(country_counts: DataFrame, dim: DataFrame) -> DataFrame:
@@ -64,68 +70,58 @@ def _norm_key(c) -> Column:
     return F.collate(F.trim(F.regexp_replace(x, "['’ʼ`]", "")), "UNICODE_CI_AI")
 
 
+#: What a country's rule may do to a name; ``_norm`` compares without case, accents and apostrophes.
+OPERATIONS = ("prefix", "suffix", "strip_suffix", "prefix_norm", "suffix_norm", "strip_suffix_norm")
+
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``(country, rank, operation, text)`` of a list of country rules, in the order they are tried."""
+    for _, op, _ in rules:
+        if op not in OPERATIONS:
+            raise ValueError(op)
+    return spark.createDataFrame([(c, i, op, t) for i, (c, op, t) in enumerate(rules)], "country string, rank int, operation string, text string")
+
+
 def resolve_regions(names: DataFrame, items: DataFrame, aliases: DataFrame | None = None,
-                    rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+                    rules: DataFrame | list[tuple[str, str, str]] | None = None) -> DataFrame:
     """JN10: map region names (of a map) to data items (states) of the same country.
 
     Rules, the first that hits wins: (1) exact name; (2) alias table;
-    (3) accent-, apostrophe- and case-insensitive equality; (10+i) the i-th
-    country rule ``(country, operation, text)`` (``dims.REGION_AFFIX_RULES``).
-    Every rule is an equi-join on (country, key); the winner per name is a
-    ``min_by`` on the rule rank (an aggregation, no window).
+    (3) accent-, apostrophe- and case-insensitive equality; (10+rank) the
+    country's rule of that rank, from a table ``(country, rank, operation,
+    text)`` or a list (``dims.REGION_AFFIX_RULES`` unless given).
+
+    The rules are data: they meet the names in one join by country, all
+    candidates meet the items in one join by country and normalised name, and
+    exact rules then ask for the very same string.  The plan is the same for
+    any number of rules.
 
     ``names``: (country, name); ``items``: (country, item); ``aliases``:
     (country, alias, name) meaning map name ``alias`` is item ``name``.
     Returns (country, name, item, rule) with null item and rule for no match.
     """
     from chatlens.sources.dims import REGION_AFFIX_RULES
-    rules = REGION_AFFIX_RULES if rules is None else rules
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(names.sparkSession, REGION_AFFIX_RULES if rules is None else rules)
     # fresh column names on both sides: inputs may derive from the same frame
     n = names.select(F.col("country").alias("n_c"), F.col("name").alias("n_n")).distinct()
-    it = items.select(F.col("country").alias("i_c"), F.col("item").alias("i_i")).distinct()
-
-    # candidate strings per name: rule 1 (itself, exact), rule 3 (itself,
-    # normalised) and one per applicable country rule; all exact candidates are
-    # resolved by one equi-join and all normalised ones by another
-    exact = [F.struct(F.lit(1).alias("rule"), F.col("n_n").alias("cand"))]
-    normed = [F.struct(F.lit(3).alias("rule"), F.col("n_n").alias("cand"))]
-    for i, (country, op, text) in enumerate(rules):
-        if op.startswith("prefix"):
-            cand = F.concat(F.lit(text), F.col("n_n"))
-        elif op.startswith("strip_suffix"):
-            cand = F.regexp_replace(F.col("n_n"), re_escape(text) + "$", "")
-        elif op.startswith("suffix"):
-            cand = F.concat(F.col("n_n"), F.lit(text))
-        else:
-            raise ValueError(op)
-        c = F.when(F.col("n_c") == F.lit(country),
-                   F.struct(F.lit(10 + i).alias("rule"), cand.alias("cand")))
-        (normed if op.endswith("_norm") else exact).append(c)
-    ex = n.select("n_c", "n_n", F.explode(F.array_compact(F.array(*exact))).alias("e"))
-    ex = ex.select("n_c", "n_n", F.col("e.rule").alias("rule"), F.col("e.cand").alias("cand"))
-    cands = [ex.join(it, (F.col("n_c") == F.col("i_c")) & (F.col("cand") == F.col("i_i")))
-               .select("n_c", "n_n", "i_i", "rule")]
-    nm = n.select("n_c", "n_n", F.explode(F.array_compact(F.array(*normed))).alias("e"))
-    nm = nm.select("n_c", "n_n", F.col("e.rule").alias("rule"), _norm_key(F.col("e.cand")).alias("n_k"))
-    ni = it.withColumn("i_k", _norm_key("i_i"))
-    cands.append(nm.join(ni, (F.col("n_c") == F.col("i_c")) & (F.col("n_k") == F.col("i_k")))
-                   .select("n_c", "n_n", "i_i", "rule"))
+    it = items.select(F.col("country").alias("i_c"), F.col("item").alias("i_i")).distinct().withColumn("i_k", _norm_key("i_i"))
+    own = n.select("n_c", "n_n", F.inline(F.array(F.struct(F.lit(1).alias("rule"), F.lit(False).alias("normed")), F.struct(F.lit(3).alias("rule"), F.lit(True).alias("normed")))))
+    cands = own.withColumn("cand", F.col("n_n"))
+    r = rules.select(F.col("country").alias("r_c"), "rank", "operation", "text")
+    name, text, op = F.col("n_n"), F.col("text"), F.regexp_replace("operation", "_norm$", "")
+    made = (F.when(op == "prefix", F.concat(text, name)).when(op == "suffix", F.concat(name, text))
+             .when(op == "strip_suffix", F.when(F.endswith(name, text), F.substr(name, F.lit(1), F.length(name) - F.length(text))).otherwise(name))
+             .otherwise(F.raise_error(F.concat(F.lit("unknown operation "), "operation"))))
+    ruled = n.join(r, F.col("n_c") == F.col("r_c")).select("n_c", "n_n", (F.col("rank") + 10).cast("int").alias("rule"), F.endswith("operation", F.lit("_norm")).alias("normed"), made.alias("cand"))
+    cands = cands.unionByName(ruled)
     if aliases is not None:
-        a = aliases.select(F.col("country").alias("a_c"), F.col("alias").alias("a_a"),
-                           F.col("name").alias("a_n"))
-        j = (n.join(a, (F.col("n_c") == F.col("a_c")) & (F.col("n_n") == F.col("a_a")))
-              .join(it, (F.col("n_c") == F.col("i_c")) & (F.col("a_n") == F.col("i_i"))))
-        cands.append(j.select("n_c", "n_n", "i_i", F.lit(2).alias("rule")))
-    u = cands[0]
-    for c in cands[1:]:
-        u = u.unionByName(c)
-    best = (u.groupBy("n_c", "n_n")
-             .agg(F.min_by(F.struct("i_i", "rule"), F.struct("rule", "i_i")).alias("b")))
+        a = aliases.select(F.col("country").alias("a_c"), F.col("alias").alias("a_a"), F.col("name").alias("cand"))
+        known = n.join(a, (F.col("n_c") == F.col("a_c")) & (F.col("n_n") == F.col("a_a")))
+        cands = cands.unionByName(known.select("n_c", "n_n", F.lit(2).alias("rule"), F.lit(False).alias("normed"), "cand"))
+    met = cands.withColumn("n_k", _norm_key("cand")).join(it, (F.col("n_c") == F.col("i_c")) & (F.col("n_k") == F.col("i_k")))
+    hit = met.where(F.col("normed") | (F.col("cand") == F.col("i_i")))
+    best = hit.groupBy("n_c", "n_n").agg(F.min(F.struct("rule", "i_i")).alias("b"))
     return (n.join(best, ["n_c", "n_n"], "left")
              .select(F.col("n_c").alias("country"), F.col("n_n").alias("name"),
                      F.col("b.i_i").alias("item"), F.col("b.rule").alias("rule")))
-
-
-def re_escape(s: str) -> str:
-    import re
-    return re.escape(s)

@@ -18,39 +18,38 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.expr import mean_round, pct, share_of_window, within
 from chatlens.schema import COUNTRY, LANG, MODEL, REDACTED, TOXIC, TS, TURN
-from chatlens.sources.dims import MODEL_FAMILIES, VOLUME_PCT_BINS, WEEKDAY_NAMES
+from chatlens.sources.dims import MODEL_BADGES, MODEL_FAMILIES, VOLUME_PCT_BINS, WEEKDAY_NAMES
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-def _top_struct(df: DataFrame, col: str):
-    """Scalar subquery: (value, count) of the most frequent non-null value, ties to the lowest."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(
-        F.min_by(F.struct(F.col(col).alias("v"), F.col("n")),
-                 F.struct(-F.col("n"), F.col(col)))).scalar()
-
-
 def overview(df: DataFrame) -> DataFrame:
-    """AG1: one-row corpus overview."""
-    top = _top_struct(df, LANG)
-    total = F.count(F.lit(1))
-    agg = df.agg(
-        total.alias("total_conversations"),
+    """AG1: one-row corpus overview.
+
+    One grouping by language, model and country, combined map-side; the
+    distinct counts and the top language are taken from its few rows.
+    """
+    g = df.groupBy(LANG, MODEL, COUNTRY).agg(
+        F.count("*").alias("rows"), F.sum(TURN).alias("turns"), F.count(TURN).alias("with_turn"), F.max(TURN).alias("most"),
+        F.count_if(F.col(REDACTED)).alias("redacted"), F.count(REDACTED).alias("with_redacted"), F.min(TS).alias("first"), F.max(TS).alias("last"))
+    languages = g.where(F.col(LANG).isNotNull()).groupBy(LANG).agg(F.sum("rows").alias("n"))
+    top = languages.select(F.min(F.struct((-F.col("n")).alias("n"), F.col(LANG).alias("v"))).alias("t")).select(
+        F.col("t.v").alias("top_language"), (-F.col("t.n")).alias("top_rows"))
+    none = F.lit(0).cast("long")
+    agg = g.agg(
+        F.coalesce(F.sum("rows"), none).alias("total_conversations"),
         F.count_distinct(LANG).alias("total_languages"),
-        mean_round(F.sum(TURN), F.count(TURN), 1).alias("avg_turns"),
-        F.max(TURN).alias("max_turns"),
-        F.count_if(F.col(REDACTED)).alias("redacted_count"),
-        pct(F.count_if(F.col(REDACTED)), F.count(REDACTED), 2).alias("redacted_pct"),
+        mean_round(F.sum("turns"), F.sum("with_turn"), 1).alias("avg_turns"),
+        F.max("most").alias("max_turns"),
+        F.coalesce(F.sum("redacted"), none).alias("redacted_count"),
+        pct(F.sum("redacted"), F.sum("with_redacted"), 2).alias("redacted_pct"),
         F.count_distinct(MODEL).alias("total_models"),
         F.count_distinct(COUNTRY).alias("total_countries"),
-        F.date_format(F.min(TS), ISO).alias("date_from"),
-        F.date_format(F.max(TS), ISO).alias("date_to"),
+        F.date_format(F.min("first"), ISO).alias("date_from"),
+        F.date_format(F.max("last"), ISO).alias("date_to"),
     )
-    return agg.select(
-        "*",
-        top["v"].alias("top_language"),
-        pct(top["n"], F.col("total_conversations"), 1).alias("top_language_pct"))
+    return agg.crossJoin(top).select(  # one row each
+        *agg.columns, "top_language", pct("top_rows", F.col("total_conversations"), 1).alias("top_language_pct"))
 
 
 def _counts_with_total(df: DataFrame, dim: str, *aggs) -> DataFrame:
@@ -247,6 +246,15 @@ def model_family(model) -> F.Column:
     return out
 
 
+def model_badge(model) -> F.Column:
+    """SC12: short badge of a model name: each long part, where it first occurs, becomes its short form."""
+    out = F.col(model) if isinstance(model, str) else model
+    for long, short in MODEL_BADGES:
+        at = F.instr(out, long)
+        out = F.when(at > 0, F.concat(F.substr(out, F.lit(1), at - 1), F.lit(short), F.substr(out, at + len(long)))).otherwise(out)
+    return out
+
+
 def volume_class(p) -> F.Column:
     """SC10: class 5..0 of a percentage by the volume thresholds (strictly greater)."""
     c = F.col(p) if isinstance(p, str) else p

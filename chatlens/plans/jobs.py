@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatlens.functions import expr, text
-from chatlens.operators import dictionary, explore, geo, ingest, profile, selection, tagging, translate, user_tags
+from chatlens.operators import dictionary, explore, geo, ingest, profile, selection, stats, tagging, translate, user_tags
 from chatlens.plans import oracle
-from chatlens.plans.catalog import _stream_source, cm, cmt, docs, events, query, tr_requests
+from chatlens.plans.catalog import CATS, _stream_source, cm, cmt, docs, events, query, tr_requests
 from chatlens.schema import COUNTRY, KEY, LANG, MODEL, STATE, TAGS, TS, TURN
 from chatlens.session import scratch_path
 from chatlens.sources import dims, footers, key_index, manifest, parquet
@@ -433,6 +434,92 @@ LEFT JOIN {oracle.values([(i, n, o) for o, (n, at) in enumerate(_CONT.items()) f
 GROUP BY ALL""")
 
 
+_NUMBERS = {"United States": 840, "Türkiye": 792, "Turkey": 792, "The Netherlands": 528, "Netherlands": 528, "Czechia": 203, "Czech Republic": 203,
+            "Brazil": 76, "Egypt": 818, "Australia": 36, "Japan": 392, "Canada": 124, "France": 250, "Nigeria": 566, "India": 356, "Chile": 152,
+            "Mexico": 484, "China": 156, "Germany": 276, "Israel": 376, "South Africa": 710, "Colombia": 170, "Norway": 578}
+
+
+@query("country_map_numbers")
+def q_country_map_numbers(spark, d):
+    """JN9: conversations by the number that the world map has for their country."""
+    place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), F.regexp_extract(COUNTRY, r"(\d+)$", 1).cast("int") + 1)
+    c = cm(spark, d).select(place.alias("country")).groupBy("country").agg(F.count("*").alias("count"))
+    return c.join(dims.country_numbers(spark), "country", "left").groupBy("map_number").agg(F.sum("count").alias("count"), F.count("*").alias("spellings"))
+
+
+SQL["country_map_numbers"] = with_cm(f"""
+SELECT CAST(n.map_number AS INTEGER) AS map_number, CAST(sum(c.count) AS BIGINT) AS count, count(*) AS spellings
+FROM (SELECT p.place, count(*) AS count FROM cm JOIN {oracle.values(list(enumerate(PLACES)), ['i', 'place'])} p ON p.i = CAST(substr(cm.country, 8) AS INTEGER) GROUP BY p.place) c
+LEFT JOIN {oracle.values(list(_NUMBERS.items()), ['place', 'map_number'])} n ON n.place = c.place GROUP BY n.map_number""")
+
+
+@query("drilldown_status")
+def q_drilldown_status(spark, d):
+    """AG16: the answer for every country (one of them without states), for a city of each, and for countries without data."""
+    c = cm(spark, d).withColumn(STATE, F.when(F.col(COUNTRY) != "NATION_7", F.col(STATE)))
+    asked = c.select(COUNTRY).distinct()
+    requests = (asked.select(F.col(COUNTRY).alias("country"), F.lit(None).cast("string").alias("state"))
+                .unionByName(asked.select(F.concat(COUNTRY, F.lit("?")).alias("country"), F.lit(None).cast("string").alias("state")))
+                .unionByName(asked.select(F.col(COUNTRY).alias("country"), F.lit("a state").alias("state"))))
+    return geo.drilldown_status(c, requests)
+
+
+SQL["drilldown_status"] = with_cm("""
+SELECT request_country, request_state, CASE WHEN rows > 0 AND request_state IS NOT NULL THEN 'city' ELSE 'state' END AS level,
+       CASE WHEN rows = 0 THEN 'No data found for ' || chr(39) || request_country || chr(39)
+            WHEN request_state IS NOT NULL THEN 'City-level data is not available in this dataset'
+            WHEN state_rows = 0 THEN 'Sub-national data is not available for ' || request_country END AS message, rows, state_rows
+FROM (SELECT country AS request_country, s AS request_state, n AS rows, CASE WHEN country = 'NATION_7' THEN 0 ELSE k END AS state_rows FROM held, (VALUES (NULL), ('a state')) v(s)
+      UNION ALL SELECT country || '?', NULL, 0, 0 FROM held)""",
+    "held AS (SELECT country, count(*) AS n, CAST(count(CASE WHEN trim(state) <> '' THEN 1 END) AS BIGINT) AS k FROM cm GROUP BY country)")
+
+
+@query("model_badges")
+def q_model_badges(spark, d):
+    """SC12: short badges of model names made of every conversation's fields."""
+    heads = F.array(*[F.lit(p) for p in ("gpt-3.5-turbo-", "gpt-4-", "gpt-4o-", "claude-", "gpt-4-gpt-4-", "my-gpt-4-")])
+    preview = lambda flag: F.when(F.col(flag), "-preview").otherwise("")
+    name = F.concat(F.element_at(heads, F.coalesce(F.col(TURN), F.lit(0)).cast("int") % 6 + 1), MODEL, preview("redacted"), preview("toxic"))
+    c = cm(spark, d).select(name.alias("name")).withColumn("badge", stats.model_badge("name"))
+    return c.groupBy("name", "badge").agg(F.count("*").alias("count"))
+
+
+SQL["model_badges"] = with_cm(r"""
+SELECT name, regexp_replace(regexp_replace(regexp_replace(name, 'gpt-3\.5-turbo-', '3.5-'), 'gpt-4-', '4-'), '-preview', '') AS badge, count(*) AS count
+FROM (SELECT ['gpt-3.5-turbo-', 'gpt-4-', 'gpt-4o-', 'claude-', 'gpt-4-gpt-4-', 'my-gpt-4-'][coalesce(turn, 0) % 6 + 1] || model
+             || CASE WHEN redacted THEN '-preview' ELSE '' END || CASE WHEN toxic THEN '-preview' ELSE '' END AS name FROM cm) GROUP BY 1, 2""")
+
+
+@query("day_classes")
+def q_day_classes(spark, d):
+    """SC10: log-ratio class of each day against its country's busiest, by conversations with a turn count; days with none are the lowest."""
+    day = cm(spark, d).groupBy(COUNTRY, F.date_format(TS, "yyyy-MM-dd").alias("day")).agg(F.count(TURN).alias("count"))
+    most = F.max("count").over(Window.partitionBy(COUNTRY))
+    return day.select(COUNTRY, "day", "count", stats.log_ratio_class(expr.log_ratio(F.col("count"), most)).alias("intensity_class"))
+
+
+SQL["day_classes"] = with_cm("""
+SELECT country, day, count, CASE WHEN r > 0.8 THEN 5 WHEN r > 0.6 THEN 4 WHEN r > 0.4 THEN 3 WHEN r > 0.2 THEN 2 WHEN r > 0.05 THEN 1 ELSE 0 END AS intensity_class
+FROM (SELECT *, CASE WHEN m > 1 THEN ln(1 + count) / ln(1 + m) ELSE 1.0 END AS r FROM (SELECT *, max(count) OVER (PARTITION BY country) AS m FROM
+      (SELECT country, strftime(ts, '%Y-%m-%d') AS day, count(turn) AS count FROM cm GROUP BY 1, 2)))""")
+
+
+@query("category_table")
+def q_category_table(spark, d):
+    """JN6 with the hierarchy as a table: tag counts by category, joined, and by the hierarchy loaded from the table."""
+    table = CATS.frame(spark).unionByName(spark.createDataFrame([("Math / science", None, 4)], "category string, tag string, cat_order int"))
+    tags = cmt(spark, d).select(F.explode_outer(TAGS).alias("tag")).where("tag is not null")
+    joined = dims.categorised(tags, table).groupBy("category").agg(F.count("*").alias("joined"))
+    loaded = dims.Categories.from_table(table)
+    inlined = tags.groupBy(loaded.category_of(F.col("tag")).alias("category")).agg(F.count("*").alias("inlined"))
+    return joined.join(inlined, "category", "full_outer")
+
+
+SQL["category_table"] = with_cm(f"""
+SELECT coalesce(c.category, 'Other') AS category, count(*) AS joined, count(*) AS inlined
+FROM (SELECT unnest(tags) AS tag FROM cm) t LEFT JOIN {oracle.CAT_DIM} c ON c.tag = t.tag GROUP BY 1""")
+
+
 # ---- translation --------------------------------------------------------------------------
 def busy_or_chatty(conversation: str) -> str:
     """A translator for tests: fails on some texts and answers others without JSON."""

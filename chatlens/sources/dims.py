@@ -25,7 +25,18 @@ class Categories:
     def __post_init__(self):
         n = sum(len(v) for v in self.tags.values())
         if n > MAX_INLINE_DIM:
-            raise ValueError(f"category dimension too large to inline ({n} tags)")
+            raise ValueError(f"category dimension too large to inline ({n} tags): join it (categorised)")
+
+    @classmethod
+    def from_table(cls, table: DataFrame, default: str = "Other") -> Categories:
+        """The hierarchy of a table ``(category, tag, cat_order)``; a null tag gives a category without tags.
+
+        For tables of up to ``MAX_INLINE_DIM`` rows; larger ones are joined (``categorised``).
+        """
+        tags: dict[str, list[str]] = {}
+        for r in table.select("category", "tag", "cat_order").distinct().orderBy("cat_order", "category", "tag").limit(MAX_INLINE_DIM + 1).collect():  # one more is refused
+            tags.setdefault(r["category"], []).extend([r["tag"]] if r["tag"] is not None else [])
+        return cls(tags, default)
 
     @property
     def order(self) -> list[str]:
@@ -76,6 +87,12 @@ class Categories:
         return spark.createDataFrame(list(enumerate(self.order)), "cat_order int, category string")
 
 
+def categorised(tagged: DataFrame, table: DataFrame, tag: str = "tag", default: str = "Other") -> DataFrame:
+    """JN6 for a hierarchy of any size: rows with their tag's category by a join, unknown tags in the default."""
+    dim = table.select(F.col("tag").alias("_tag"), "category").where(F.col("_tag").isNotNull()).dropDuplicates(["_tag"])
+    return tagged.join(dim, F.col(tag) == F.col("_tag"), "left").drop("_tag").withColumn("category", F.coalesce("category", F.lit(default)))
+
+
 # --- fixed values: the dashboard's topic categories (category -> tags) --------
 # These strings must equal the tags written by the topic tagger, so they are
 # kept verbatim and in their original order.
@@ -139,7 +156,7 @@ CONTINENTS = {
     "Africa": ["Egypt", "Nigeria", "South Africa"],
     "Oceania": ["Australia"],
 }
-# Alternative spellings that the world map uses for the same countries.
+# --- fixed values: the world map's spellings of three countries ----------------
 SPELLINGS = {"Türkiye": "Turkey", "The Netherlands": "Netherlands", "Czechia": "Czech Republic"}
 
 # --- fixed values: weekday labels, Monday first -------------------------------
@@ -149,11 +166,33 @@ WEEKDAY_NAMES = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 MODEL_FAMILIES = [("gpt-4o-mini", "GPT-4o mini"), ("gpt-4o", "GPT-4o"),
                   ("gpt-4", "GPT-4"), ("gpt-3.5", "GPT-3.5")]
 
+# --- fixed values: what a model badge shortens, in this order -------------------
+MODEL_BADGES = [("gpt-3.5-turbo-", "3.5-"), ("gpt-4-", "4-"), ("-preview", "")]
+
+# --- fixed values: ISO 3166-1 numbers by which the world map knows countries ----
+COUNTRY_NUMBERS = {
+    "United States": 840, "Russia": 643, "China": 156, "Hong Kong": 344, "United Kingdom": 826,
+    "Germany": 276, "France": 250, "Japan": 392, "India": 356, "Canada": 124, "Brazil": 76, "Australia": 36,
+    "South Korea": 410, "Italy": 380, "Spain": 724, "Poland": 616, "The Netherlands": 528, "Sweden": 752,
+    "Türkiye": 792, "Mexico": 484, "Indonesia": 360, "Saudi Arabia": 682, "United Arab Emirates": 784,
+    "Argentina": 32, "Chile": 152, "Colombia": 170, "Vietnam": 704, "Thailand": 764, "Philippines": 608,
+    "Egypt": 818, "Nigeria": 566, "South Africa": 710, "Pakistan": 586, "Bangladesh": 50, "Ukraine": 804,
+    "Romania": 642, "Czechia": 203, "Hungary": 348, "Portugal": 620, "Greece": 300, "Belgium": 56,
+    "Switzerland": 756, "Austria": 40, "Denmark": 208, "Norway": 578, "Finland": 246, "Israel": 376,
+    "Iran": 364, "Iraq": 368, "Malaysia": 458, "Singapore": 702, "Taiwan": 158,
+}
+
 # --- fixed values: class thresholds (strictly greater than) for map colouring -
 VOLUME_PCT_BINS = [15, 8, 4, 2, 0.5]
 LOG_RATIO_BINS = [0.8, 0.6, 0.4, 0.2, 0.05]
 
 
+def country_numbers(spark: SparkSession) -> DataFrame:
+    """JN9: ``(country, map_number)`` including the alternative spellings."""
+    rows = dict(COUNTRY_NUMBERS) | {SPELLINGS[c]: n for c, n in COUNTRY_NUMBERS.items() if c in SPELLINGS}
+    return spark.createDataFrame(list(rows.items()), "country string, map_number int")
+
+
 def continent_frame(spark: SparkSession, continents: dict | None = None) -> DataFrame:
     """``(country, continent, cont_order)`` including the alternative spellings."""
     continents = continents or CONTINENTS

@@ -42,6 +42,8 @@ _GAPS = np.zeros(256, bool)
 _GAPS[:128] = [not chr(i).isalnum() for i in range(128)]
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+#: Whether a character of up to three bytes is a capital (a title letter too).
+_CAPITAL = np.array([chr(i).isupper() or chr(i).istitle() for i in range(1 << 16)])
 NUM, NAME, UNIT = (np.uint64(0xD1CEBA5E_00000001 + 2 * k) for k in range(3))
 
 
@@ -52,7 +54,7 @@ def templates(column) -> list[tuple[np.ndarray, ...]]:
 
     Words are runs of letters and digits (a point or comma between digits is
     part of a number).  A word that starts with a digit is a number; a unit
-    must follow one; a capital inside a sentence makes a name.  Runs of
+    must follow one; a capital, of any script, inside a sentence makes a name.  Runs of
     numbers, or of names, are one placeholder, and plain words are lowered.
     The low two bits of a value are its kind: 1 a number, 2 a name, 3 a unit.
 
@@ -79,7 +81,7 @@ def templates(column) -> list[tuple[np.ndarray, ...]]:
     unit = _among(word, UNITS) & np.r_[False, number[:-1]] & ~new_row
     stops = np.r_[0, np.cumsum((raw == 46) | (raw == 33) | (raw == 63) | (raw == 10))]
     opens = new_row | (stops[start] > np.r_[0, stops[end[:-1]]])
-    capital = (raw[start] >= 65) & (raw[start] <= 90) & ~unit
+    capital = _CAPITAL[_first_letter(raw, start)] & ~unit
     doubt = capital & opens
     doubt[doubt] = ~_among(word[doubt], FUNCTION_WORDS)
     out, spot = [], None
@@ -99,6 +101,13 @@ def templates(column) -> list[tuple[np.ndarray, ...]]:
     return out[::-1] + [(row, word, np.zeros(len(word), np.uint64), place, doubt, np.zeros(len(word), np.uint64))]
 
 
+def _first_letter(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Code point that each word starts with; 0 for one of four bytes."""
+    a = raw[start].astype(np.int64)
+    b, c = (raw[np.minimum(start + k, len(raw) - 1)].astype(np.int64) & 63 for k in (1, 2))
+    return np.select([a < 0xC0, a < 0xE0, a < 0xF0], [a & 0x7F, (a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c], 0)
+
+
 def _among(word: np.ndarray, words: list[str]) -> np.ndarray:
     """Flags the hashes that are of one of ``words``."""
     raw = np.frombuffer(" ".join(words).encode(), np.uint8)
@@ -266,7 +275,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"), F.max("run").alias("run")).where("size(places) > 0")
     return whole.where((F.size("places") / F.col("n_windows") >= coverage) | (F.col("run") >= run_words)).select(
         "doc_id", "text_hash", "item_id", F.size("places").cast("long").alias("n_windows"), (F.size("places") / F.col("n_windows")).alias("coverage"),
-        (F.size("same") == F.size("places")).alias("exact"))
+        (F.size("same") == F.col("n_windows")).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

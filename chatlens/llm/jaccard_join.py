@@ -31,8 +31,12 @@ from chatlens.llm.words import mix, shingles
 
 #: Shingles a map task gathers before it cuts them into fragments.
 GATHER = 1 << 20
-#: Text bytes for one fragment, and the least and most fragments.
+#: Text bytes for one fragment, the least number of fragments, and how many there are before a fragment may take more.
 FRAGMENT_BYTES, FRAGMENTS = 12 << 20, (64, 4096)
+#: Text bytes that no fragment exceeds; their number has no end.
+LARGEST_BYTES = 128 << 20
+#: Text bytes whose documents' narrow rows are one group.
+ROWS_BYTES = 256 << 10
 #: Expanded n-grams that one counting step holds.
 COUNT_BLOCK = 4 << 20
 
@@ -40,13 +44,26 @@ _CUT = "fragment int, node long, doc_id long, text_hash long, n int, nodes binar
 _SEEN = "kind int, fragment int, node long, doc_id long, text_hash long, n int, m int, tokens binary, dfs binary"
 
 
-def _cut(size: int, bits: int):
-    """Map side: a narrow row per document, and per fragment one packed block of segments."""
-    spread = 64
+def power_of_two(n: int) -> int:
+    """The exponent of the largest power of two up to ``n``."""
+    return max(1, n).bit_length() - 1
+
+
+def fragment_bits(volume: int, least: int, middle: int) -> int:
+    """Fragments, as a power of two, of so many text bytes: ``FRAGMENT_BYTES`` each up to ``middle`` of them, then ``LARGEST_BYTES``."""
+    return power_of_two(max(least, min(middle, volume // FRAGMENT_BYTES), 2 * volume // LARGEST_BYTES))
+
+
+def _cut(size: int, bits: int, spread: int):
+    """Map side: a narrow row per document, and per fragment one packed block of segments.
+
+    Narrow rows need no common place; they are dealt in turn to ``spread``
+    groups, so that copies of one text don't meet.
+    """
 
     def block(nodes, tokens, counts):
         node, token, n = np.concatenate(nodes), np.concatenate(tokens), np.concatenate(counts)
-        frag = (token >> np.uint64(64 - bits)).astype(np.uint16)
+        frag = (token >> np.uint64(64 - bits)).astype(np.uint32)
         own = np.repeat(np.arange(len(node), dtype=np.int64), n)
         order = np.argsort(frag, kind="stable")
         frag, own, token = frag[order].astype(np.int64), own[order], token[order]
@@ -67,14 +84,18 @@ def _cut(size: int, bits: int):
     def run(batches):
         seen: set[int] = set()  # as many as the partition has texts
         nodes, tokens, counts, held = [], [], [], 0
+        turn = None
         for batch in sliced(batches, 2):
             flat, at = shingles(batch.column(2), size)
             n = np.diff(at)
             total = np.concatenate([[np.uint64(0)], np.cumsum(flat, dtype=np.uint64)])
             node = mix(mix(total[at[1:]] - total[at[:-1]]) + n.astype(np.uint64)).view(np.int64)
             k, empty = len(n), pa.nulls(len(n), pa.binary())
+            turn = int(node[0]) & (spread - 1) if turn is None and k else turn or 0  # tasks begin at different groups
+            dealt = -1 - ((turn + np.arange(k)) & (spread - 1))
+            turn += k
             yield pa.RecordBatch.from_arrays([
-                pa.array((-1 - (node & (spread - 1))).astype(np.int32)), pa.array(node, mask=n == 0),
+                pa.array(dealt.astype(np.int32)), pa.array(node, mask=n == 0),
                 batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), empty, empty, empty, empty,
             ], names=[c.split()[0] for c in _CUT.split(", ")])
             keep = np.zeros(k, bool)
@@ -153,11 +174,16 @@ def _prefixes(num: int, den: int, bits: int):
     return run
 
 
-def _overlaps(key, segments, pairs):
+def _overlaps(bits: int):
+    return lambda key, segments, pairs: _overlap_parts(bits, segments, pairs)
+
+
+def _overlap_parts(bits: int, segments, pairs):
     """Partial overlap of each pair in one fragment group of one bucket."""
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
     token, many = unpacked(segments["tokens"], np.uint64)
-    token = np.repeat(segments["fragment"].to_numpy().astype(np.uint64), many) << np.uint64(48) | token & np.uint64((1 << 48) - 1)
+    low = min(48, 64 - bits)  # what a fragment's number doesn't say of the hash
+    token = np.repeat(segments["fragment"].to_numpy().astype(np.uint64), many) << np.uint64(low) | token & np.uint64((1 << low) - 1)
     names, own = np.unique(segments["node"].to_numpy(), return_inverse=True)
     known, token = np.unique(token, return_inverse=True)
     key_of = np.sort(np.repeat(own, many).astype(np.int64) * max(1, len(known)) + token)
@@ -207,9 +233,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     num, den = threshold
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     volume = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(FRAGMENTS[0], min(FRAGMENTS[1], volume // FRAGMENT_BYTES)).bit_length() - 1
-    fragments = 1 << bits
-    cut = slim.mapInArrow(_cut(size, bits), _CUT)
+    bits = fragment_bits(volume, *FRAGMENTS)
+    spread = 1 << power_of_two(max(64, volume // ROWS_BYTES))
+    cut = slim.mapInArrow(_cut(size, bits, spread), _CUT)
     seen = stored(cut.groupBy("fragment").applyInArrow(_shared, _SEEN), "shared", by=["kind"])
     rows = seen.where("kind = 0").select("node", "doc_id", "text_hash", "n")
     segments = seen.where("kind = 1").select("node", "fragment", "m", "tokens", "dfs")
@@ -223,7 +249,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = stored(first.join(hubs, "token").where("node <> hub.node").select(
         F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "star")
 
-    groups = fragments // 16  # fragments are dealt to so many counting tasks of a bucket
+    groups = min(1 << bits, FRAGMENTS[1]) // 16  # fragments are dealt to so many counting tasks of a bucket
     buckets = max(1, volume // (64 << 20))
     coarse = components(star.select("a", "b")).select("node", F.pmod(F.xxhash64("comp"), F.lit(buckets)).cast("int").alias("bucket"))
     coarse = stored(coarse, "coarse")
@@ -234,7 +260,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = stored(pairs, "pairs")
         dealt = pairs.join(coarse.select(F.col("node").alias("a"), "bucket"), "a").select(
             "bucket", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "a", "b")
-        parts = ready.groupBy("bucket", "g").cogroup(dealt.groupBy("bucket", "g")).applyInArrow(_overlaps, "a long, b long, part long")
+        parts = ready.groupBy("bucket", "g").cogroup(dealt.groupBy("bucket", "g")).applyInArrow(_overlaps(bits), "a long, b long, part long")
         total = parts.groupBy("a", "b").agg(F.sum("part").alias("o"))
         return stored(total.join(pairs, ["a", "b"]).where(f"{den} * o >= {num} * (na + nb - o)").select("a", "b"), "links")
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatlens.llm.jaccard_join import fragment_bits, power_of_two
 from chatlens.llm.tables import packed, sliced, small_batches, stored, unpacked
 from chatlens.llm.words import BASE, mix, run_hashes, span_hashes, text_buffers, word_spans
 
@@ -27,8 +28,10 @@ REACH = 4
 LONGEST = 5
 #: Runs that a map task compares among themselves before the shuffle.
 GATHER = 1 << 20
-#: Text bytes for one fragment of the hash range, and the least and most fragments.
-FRAGMENT_BYTES, FRAGMENTS = 12 << 20, (16, 4096)
+#: The least number of fragments of the hash range, and how many there are before one may take more text (``fragment_bits``).
+FRAGMENTS = 16, 4096
+#: Text bytes whose documents' known repeats are one group.
+ROWS_BYTES = 256 << 10
 
 _SPANS = "fragment int, doc_id binary, text_hash binary, counts binary, hashes binary, first binary, last binary"
 _COVER = "doc_id long, text_hash long, first binary, last binary"
@@ -104,14 +107,15 @@ def _firsts(doc, text_hash, h, first) -> np.ndarray:
     return out
 
 
-def _cut(least_words: int, bits: int):
+def _cut(least_words: int, bits: int, spread: int):
     def covered(doc, text_hash, first, last):
         order = np.lexsort((first, text_hash, doc))
         doc, text_hash, first, last = doc[order], text_hash[order], first[order], last[order]
         head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])])
         at = np.r_[head, len(doc)]
         k = len(head)
-        frag = pa.array(np.full(k, -1, np.int32) - (text_hash[head] & 63).astype(np.int32))
+        # repeats already found need no common place: dealt in turn, so that copies of one text don't meet
+        frag = pa.array((-1 - ((int(text_hash[0]) + np.arange(k)) & (spread - 1))).astype(np.int32))
         each = np.arange(k + 1)
         return pa.RecordBatch.from_arrays(
             [frag, packed(doc[head], each), packed(text_hash[head], each), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
@@ -123,7 +127,7 @@ def _cut(least_words: int, bits: int):
         if (~keep).any():
             yield covered(doc[~keep], text_hash[~keep], first[~keep], last[~keep])
         doc, text_hash, h, first, last = (x[keep] for x in (doc, text_hash, h, first, last))
-        frag = (h >> np.uint64(64 - bits)).astype(np.uint16)
+        frag = (h >> np.uint64(64 - bits)).astype(np.uint32)
         order = np.lexsort((first, text_hash, doc, frag))
         doc, text_hash, h, first, last, frag = (x[order] for x in (doc, text_hash, h, first, last, frag))
         seg = np.flatnonzero(np.r_[True, (frag[1:] != frag[:-1]) | (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])])
@@ -173,8 +177,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     volume = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(FRAGMENTS[0], min(FRAGMENTS[1], volume // FRAGMENT_BYTES)).bit_length() - 1
-    return slim.mapInArrow(_cut(least_words, bits), _SPANS).groupBy("fragment").applyInArrow(_repeats, _COVER)
+    bits = fragment_bits(volume, *FRAGMENTS)
+    spread = 1 << power_of_two(max(64, volume // ROWS_BYTES))
+    return slim.mapInArrow(_cut(least_words, bits, spread), _SPANS).groupBy("fragment").applyInArrow(_repeats, _COVER)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS,

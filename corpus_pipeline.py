@@ -50,8 +50,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer.  tests/llm covers the stages' operators: near duplicates and span dedup
-#: against brute force, the others by example cases; no test runs the stages themselves.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_stages.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 

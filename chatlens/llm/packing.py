@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.tables import small_batches, stored
-from chatlens.llm.wordbpe import loaded, whole_tokens
+from chatlens.llm.wordbpe import loaded, proofs
 
 #: Pieces that one packing task handles, and rounds of exchange.
 DEAL, ROUNDS = 20_000, 3
@@ -77,11 +77,11 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
            end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: every text's ids and ``end_id``, cut only where over ``capacity``."""
     small_batches(docs.sparkSession)
-    whole = whole_tokens(tokenizer)
+    whole, doubt = proofs(tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        reader = loaded(tokenizer, whole)
+        reader = loaded(tokenizer, whole, doubt)
         for batch in batches:
             row, piece, start, length, crc, held = [], [], [], [], [], []
             for i, ids in enumerate(reader.ids(batch.column(1))):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens.llm.tables import small_batches
-from chatlens.llm.wordbpe import loaded, whole_tokens
+from chatlens.llm.wordbpe import loaded, proofs
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -24,11 +24,11 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     no rows; other columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
-    whole = whole_tokens(tokenizer)
+    whole, doubt = proofs(tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        counter = loaded(tokenizer, whole)
+        counter = loaded(tokenizer, whole, doubt)
         for batch in batches:
             text = batch.column(1)
             n = counter.counts(text)

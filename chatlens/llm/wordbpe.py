@@ -16,9 +16,8 @@ import sys
 import unicodedata
 
 import numpy as np
-import pyarrow as pa
 
-from chatlens.llm.words import BASE, INVERSE, mix
+from chatlens.llm.words import BASE, INVERSE, long_spans, mix
 
 SPACE, LETTER, NUMBER, OTHER, UNSURE = 0, 1, 2, 3, 4
 #: The white space of Unicode.
@@ -49,6 +48,44 @@ def prepare(text: str) -> str:
     return text.lower()
 
 
+def doubtful(library) -> np.ndarray:
+    """Code points that the library treats in another way than ``prepare`` and ``cut``, sorted.
+
+    Its Unicode tables may be older than Python's.  Every assigned code point
+    is tried: its normal form alone, decomposed and, for a mark, on both sides
+    of a long known mark of each combining class; then its class among pre-tokens.
+    """
+    kind = classes()
+    assigned = np.flatnonzero(kind != UNSURE)
+    signs = [chr(c) for c in assigned.tolist() if c != ord("|") and kind[c] != SPACE]
+    marks = [c for c in signs if unicodedata.combining(c)]
+    of_class = {own: c for c in marks if (own := unicodedata.ucd_3_2_0.combining(c))}
+    tried = [("q" + c, c) for c in signs]  # no sign composes with a q
+    tried += [("q" + apart, c) for c in signs if not "\uac00" <= c <= "\ud7a3" and (apart := unicodedata.normalize("NFD", c)) != c]
+    tried += [(pair, c) for c in marks for other in of_class.values() for pair in ("q" + c + other, "q" + other + c)]
+    joined = "|".join(text for text, _ in tried)
+    theirs, ours = library.normalizer.normalize_str(joined).split("|"), prepare(joined).split("|")
+    odd: set[str] = set()
+    for (_, c), x, y in zip(tried, theirs, ours, strict=True):
+        if x != y:
+            odd |= {c, *(set(y) - set(x))}
+    white = [chr(c) for c in WHITE]
+    odd |= {c for c in white if library.normalizer.normalize_str(f"a{c}a") != "a a"}
+
+    def differs(block: list[str], own: int) -> bool:
+        places = [place for _, place in library.pre_tokenizer.pre_tokenize_str("a" + "".join(block))]
+        n = len(block)
+        want = {LETTER: [(0, n + 1)], OTHER: [(0, 1), (1, n + 1)], NUMBER: [(0, 1), *((k, k + 1) for k in range(1, n + 1))]}[own]
+        return places != want
+
+    for own in (LETTER, NUMBER, OTHER):
+        group = [c for c in signs if kind[ord(c)] == own and c != "'"]
+        for k in range(0, len(group), 512):
+            if differs(group[k: k + 512], own):
+                odd |= {c for c in group[k: k + 512] if differs([c], own)}
+    return np.array(sorted(map(ord, odd)), np.uint32)
+
+
 def cut(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every pre-token in an array of code points."""
     kind = classes()[points]
@@ -92,7 +129,7 @@ def hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray
         f, e = first[lo:hi] - a, end[lo:hi] - a
         out[lo:hi] = mix((run[e] - run[f]) * back[f] + (e - f).astype(np.uint64))
         lo = hi
-    return out
+    return long_spans(out, points, first, end)
 
 
 def whole_tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -243,15 +280,21 @@ class Merges:
 
 
 class WordBpe:
-    """Ids of whole texts, equal to the library's for every text."""
+    """Ids of whole texts, equal to the library's for every text.
 
-    def __init__(self, path: str, whole: tuple[np.ndarray, np.ndarray]):
+    ``doubt`` holds the code points whose texts are left to the library
+    (``doubtful``, found here where it is not given).
+    """
+
+    def __init__(self, path: str, whole: tuple[np.ndarray, np.ndarray], doubt: np.ndarray | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.unsure = classes() == UNSURE
+        self.unsure[doubtful(self.library) if doubt is None else doubt] = True
         self.merges = Merges(path)
         self.whole = whole
         self.forget()
@@ -277,7 +320,6 @@ class WordBpe:
 
     def _places(self, texts: list[str | None]):
         """Where each pre-token's ids lie, which text it is in, and the texts left to the library."""
-        table = classes()
         alone, ready = {}, []
         for i, text in enumerate(texts):
             text = text or ""
@@ -288,7 +330,7 @@ class WordBpe:
         points = np.frombuffer("\n".join(ready).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, ready), np.int64, len(ready))
         begin = np.cumsum(size + 1) - size - 1
-        odd = np.flatnonzero(table[points] == UNSURE)
+        odd = np.flatnonzero(self.unsure[points])
         if len(odd):
             points = points.copy()
             for i in np.unique(np.searchsorted(begin, odd, side="right") - 1).tolist():
@@ -348,12 +390,15 @@ class WordBpe:
 _LOADED: dict[str, WordBpe] = {}
 
 
-def loaded(path: str, whole: tuple[np.ndarray, np.ndarray]) -> WordBpe:
+def loaded(path: str, whole: tuple[np.ndarray, np.ndarray], doubt: np.ndarray) -> WordBpe:
     """One tokenizer per worker process."""
     if path not in _LOADED:
-        _LOADED[path] = WordBpe(path, whole)
+        _LOADED[path] = WordBpe(path, whole, doubt)
     return _LOADED[path]
 
 
-def arrow_texts(batch: pa.RecordBatch, name: str):
-    return batch.column(batch.schema.get_field_index(name))
+def proofs(path: str) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """What is proved once, on the driver: the whole tokens and the doubtful code points."""
+    from tokenizers import Tokenizer
+
+    return whole_tokens(path), doubtful(Tokenizer.from_file(path))

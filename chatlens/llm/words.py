@@ -7,6 +7,8 @@ the cost is a few nanoseconds a byte and texts of any length are handled whole.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,6 +24,10 @@ SYMBOL = np.random.RandomState(20240229).randint(1, 1 << 62, 256).astype(np.uint
 FOLDED = SYMBOL.copy()
 FOLDED[65:91] = SYMBOL[97:123]
 
+#: Spans of more units are hashed by their content as a whole: sums of powers
+#: modulo 2**64 are equal for some long spans of two units only, whatever the base.
+LONG_SPAN = 256
+
 _POWERS = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
 
@@ -43,6 +49,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def long_spans(out: np.ndarray, units: np.ndarray, start: np.ndarray, end: np.ndarray, folded: bool = False) -> np.ndarray:
+    """Put a digest in place of the hash of each span of over ``LONG_SPAN`` units."""
+    for i in np.flatnonzero(end - start > LONG_SPAN).tolist():
+        held = units[start[i]: end[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(held.lower() if folded else held, digest_size=8).digest(), "little")
+    return out
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string column; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -64,7 +78,8 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.n
         return np.zeros(0, np.uint64)
     run = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(table[raw] * _powers(len(raw), 1), out=run[1:])
-    return mix((run[end] - run[start]) * _powers(len(raw) + 1, -1)[start] + (end - start).astype(np.uint64))
+    out = mix((run[end] - run[start]) * _powers(len(raw) + 1, -1)[start] + (end - start).astype(np.uint64))
+    return long_spans(out, raw, start, end, table is FOLDED)
 
 
 def word_spans(raw: np.ndarray, at: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,4 +141,5 @@ def run_hashes(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     run = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(word * _powers(len(word), 1), out=run[1:])
-    return mix((run[b] - run[a]) * _powers(len(word) + 1, -1)[a] + (b - a).astype(np.uint64))
+    out = mix((run[b] - run[a]) * _powers(len(word) + 1, -1)[a] + (b - a).astype(np.uint64))
+    return long_spans(out, word, a, b)

@@ -1,6 +1,7 @@
 """Token ids against the library; packing and sharding by their laws."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from chatlens.llm.packing import best_fit_decreasing, best_fit_packing, lower_bo
 from chatlens.llm.sharding import edit_map, first_map, grown, read_map, rebalanced, slotted, virtual_slot_shards, write_version
 from chatlens.llm.token_counts import token_counts
 from chatlens.llm.wordbpe import WordBpe, whole_tokens
+from chatlens.llm.words import run_hashes, span_hashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " \n", "Hello world, don't we'll they've I'm you're he'd it's 's'sx ''s !!'s '", "x" * 3000, "İstanbul ΣΟΦΟΣ ΑΣ ß ǅ", "é café",
@@ -37,6 +39,34 @@ def test_ids_equal_the_library(bpe):
     assert bpe.counts(pa.array(texts)).tolist() == [len(x) for x in want]
 
 
+def test_marks_newer_than_the_library_are_left_to_it(bpe):
+    rnd = random.Random(5)
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    texts = ["a\u089d\u1939b", "x\u1939\u089d", "\U00011935\U00011930"]
+    texts += ["".join(rnd.choice(["a", "é", " ", rnd.choice(marks), rnd.choice(marks)]) for _ in range(40)) for _ in range(600)]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(32, 0xD800), rnd.randrange(0xE000, 0x20000)])) for _ in range(60)) for _ in range(600)]
+    want = [library_ids(bpe, t) for t in texts]
+    assert [x.tolist() for x in bpe.ids(pa.array(texts))] == want
+    assert bpe.unsure[[0x089D, 0x1E2AE]].all() and not bpe.unsure[[0x41, 0x301, 0x4E00, 0xAC00]].any()
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [256, 512, 1024, 2048, 4096])
+def test_long_words_of_two_letters_are_told_apart(bpe, n):
+    pair = [thue_morse(n, "ab"), thue_morse(n, "ba")]
+    bpe.forget()
+    assert [x.tolist() for x in bpe.ids(pa.array([" ".join(pair)]))] == [library_ids(bpe, " ".join(pair))]
+    raw = np.frombuffer("".join(pair).encode(), np.uint8)
+    bounds = np.array([0, n]), np.array([n, 2 * n])
+    assert len(set(span_hashes(raw, *bounds).tolist())) == 2
+    assert len(set(run_hashes(raw.astype(np.uint64), *bounds).tolist())) == 2
+    folded = np.frombuffer((pair[0] + pair[0].upper()).encode(), np.uint8)
+    assert len(set(span_hashes(folded, *bounds).tolist())) == 1
+
+
 def test_whole_tokens_are_proved(bpe):
     known, ids = whole_tokens(PATH)
     assert len(known) > 30_000 and len(np.unique(known)) == len(known) and len(ids) == len(known)

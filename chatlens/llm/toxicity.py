@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chatlens.llm.tables import packed, sliced, small_batches, stored, unpacked
 from chatlens.llm.words import span_hashes, text_buffers, word_spans
 
-#: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
+#: Labelled ids that a model is fitted on at most, one row each, chosen by a hash of the id.
 SAMPLE = 8000
 #: Words kept for each category, and the least sampled rows that hold one.
 VOCABULARY, LEAST_ROWS = 128, 3
@@ -49,7 +49,7 @@ def _words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 400) -> np.ndarray:
     """Logistic regression with an intercept (last weight), by accelerated gradient steps."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
+    x = np.column_stack([x, np.ones(len(x))])  # in double precision, cast once
     w = look = np.zeros(x.shape[1])
     v = np.random.RandomState(0).rand(x.shape[1])
     for _ in range(20):  # largest eigenvalue, for the step
@@ -112,20 +112,23 @@ class Chain:
 
 def fit_chain(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text",
               sample: int = SAMPLE, vocabulary: int = VOCABULARY, folds: int = FOLDS) -> Chain:
-    """Fit on at most ``sample`` labelled rows; ``labels`` has the id and one 0/1 column per name, in chain order.
+    """Fit on at most ``sample`` labelled ids, one row each; ``labels`` has the id and one 0/1 column per name, in chain order.
 
-    A category with one class only gets probability 0 (or 1) for all; rows with
-    a null label, id or without a text are not learnt from.  Candidate words
-    are counted by Spark; the driver gets the best words and the sampled
-    rows' flags for them, both bounded by the parameters.
+    Candidate words are counted by Spark; the driver gets the best words and the
+    sampled rows' flags for them, both bounded by the parameters.
+
+    Defined results: a category with one class only gets probability 0 (or 1)
+    for all; rows with a null label, id or without a text are not learnt from;
+    an id counts once, however many rows it has, with its greatest labels and
+    its least text; ids are integers; without labelled rows every probability is 0.
     """
     small_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("__id"), *[F.col(c).cast("int").alias(f"__y{k}") for k, c in enumerate(names)]).dropna()
     chosen = marks.groupBy("__id").agg(*[F.max(f"__y{k}").alias(f"__y{k}") for k in range(len(names))])
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
-    rows = text.join(F.broadcast(chosen), "__id").select("__id", *[f"__y{k}" for k in range(len(names))], "__text")
-    rows = stored(rows, "labelled")  # the bounded sample
+    once = text.join(F.broadcast(chosen), "__id").groupBy("__id", *[f"__y{k}" for k in range(len(names))]).agg(F.min("__text").alias("__text"))
+    rows = stored(once, "labelled")  # the bounded sample
 
     b_text = 1 + len(names)
 
@@ -208,7 +211,12 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 
 def without(docs: DataFrame, chain: Chain, name: str, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that the chain does not put in category ``name``."""
+    """The rows of ``docs``, all their columns, that the chain does not put in category ``name``; no shuffle.
+
+    Defined results: a null text is scored as an empty one; repeated rows stay
+    or go together; rows with a null id are judged like any other; an empty
+    table gives no rows; columns of any name pass through.
+    """
     small_batches(docs.sparkSession)
     at, k = docs.columns.index(text_col), chain.names.index(name)
 

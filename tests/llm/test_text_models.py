@@ -63,6 +63,16 @@ def test_chain_of_one_class_or_no_labels(spark):
     assert classify(docs.where("false"), chain).count() == 0
 
 
+def test_an_id_counts_once(spark):
+    rows = toxic_rows(300, 3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    many = docs.unionByName(spark.range(2000).select(F.lit(3).alias("doc_id"), F.concat(F.lit(rows[3][1]), F.lit(" "), F.col("id").cast("string")).alias("text")))
+    one, other = fit_chain(docs, labels, ["toxic"]), fit_chain(many, labels, ["toxic"])
+    assert one.vocabulary.tolist() == other.vocabulary.tolist() and np.allclose(one.weights[0], other.weights[0])
+    assert one.thresholds == other.thresholds
+
+
 def test_best_threshold_splits_the_scores():
     assert 0.3 < best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) < 0.8
 

@@ -8,20 +8,24 @@ same way.  The aligned share of the template's words is its coverage.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatlens.llm.licence_texts import FULL_TEXTS
 from chatlens.llm.tables import sliced, small_batches
 from chatlens.llm.words import FOLDED, span_hashes, text_buffers, word_spans
 
-#: Share of a template's words that must be aligned, and how much longer than it a stretch may be.
-COVERAGE, SLACK = 0.8, 1.25
+#: Share of a template's words that must be aligned.
+COVERAGE = 0.8
+#: Between two aligned words lie at most this share of the template's length in other words (and one in any case).
+APART = 0.25
 
 #: Short forms of public licence notices.
-TEMPLATES = {
+NOTICES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -33,6 +37,7 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "All-rights-reserved": "All rights reserved.",
 }
+TEMPLATES = NOTICES | FULL_TEXTS
 
 _GAPS = np.zeros(256, bool)
 _GAPS[:128] = [not chr(i).isalnum() for i in range(128)]
@@ -117,43 +122,73 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def found(words: np.ndarray, template: np.ndarray, coverage: float, slack: float = SLACK) -> list[tuple[int, int, int]]:
+def _aligned(held: list, place: list[int], a: int, e: int, floor: int, template: list, apart: int) -> list[tuple[int, int]]:
+    """Pairs of places of ``held[a:e]`` and ``template``, and what goes on before and after.
+
+    The template's words before the first pair and after the last are aligned
+    with the words next to the stretch, so it ends where the notice does.  Of
+    pairs that lie too far apart the longest chain stays.
+    """
+    pairs = [(a + i, j) for i, j in patience(held[a:e], template)]
+    if not pairs:
+        return []
+    lead, rest = pairs[0][1], pairs[-1][1] + 1
+    if lead:
+        low = max(floor, pairs[0][0] - 2 * lead)
+        pairs = [(low + i, j) for i, j in patience(held[low: pairs[0][0]], template[:lead])] + pairs
+    if rest < len(template):
+        low = pairs[-1][0] + 1
+        pairs += [(low + i, rest + j) for i, j in patience(held[low: low + 2 * (len(template) - rest)], template[rest:])]
+    cuts = [0, *[k for k in range(1, len(pairs)) if place[pairs[k][0]] - place[pairs[k - 1][0]] > apart + 1], len(pairs)]
+    return max((pairs[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), key=len)
+
+
+def _in_run(held: list, place: list[int], template: list, need: int, apart: int) -> list[tuple[int, int, int]]:
+    """The notices among a run of template words ``held`` at the places ``place``."""
+    wanted, have = Counter(template), Counter()
+    out: list[tuple[int, int, int]] = []
+    a = e = floor = held_of = 0
+    while e < len(held):
+        have[held[e]] += 1
+        held_of += have[held[e]] <= wanted[held[e]]
+        e += 1
+        while held_of >= need:  # the least stretch that ends here with enough of the template's words
+            while have[held[a]] > wanted[held[a]]:
+                have[held[a]] -= 1
+                a += 1
+            pairs = _aligned(held, place, a, e, floor, template, apart)
+            if len(pairs) >= need:
+                out.append((place[pairs[0][0]], place[pairs[-1][0]], len(pairs)))
+                a = e = floor = pairs[-1][0] + 1
+                have.clear()
+                held_of = 0
+            else:
+                have[held[a]] -= 1
+                held_of -= 1
+                a += 1
+    return out
+
+
+def found(words: np.ndarray, template: np.ndarray, coverage: float, apart: float = APART) -> list[tuple[int, int, int]]:
     """Stretches that hold the template: ``(first word, last word, aligned words)``, left to right and apart.
 
-    Only stretches with enough of the template's words, in any order, are
-    aligned; the bound is exact, so none that could reach ``coverage`` is missed.
+    A stretch has no fixed width: it runs from the first aligned word to the
+    last, with at most ``apart`` of the template's length in other words
+    between two of them.  Only words of the template are aligned, and only
+    runs of them with enough of its words, in any order, are looked at; that
+    bound is exact, so no run that could reach ``coverage`` is missed.
     """
     m = len(template)
-    need, width = int(np.ceil(coverage * m)), int(np.ceil(slack * m))
+    need, gap = int(np.ceil(coverage * m)), max(1, int(apart * m))
     kinds, times = np.unique(template, return_counts=True)
     at = np.minimum(np.searchsorted(kinds, words), len(kinds) - 1)
     spots = np.flatnonzero(kinds[at] == words)
-    if len(spots) < need:
-        return []
-    reach = np.searchsorted(spots, spots + width) - np.arange(len(spots))
+    bounds = np.r_[0, np.flatnonzero(np.diff(spots) > gap + 1) + 1, len(spots)]
     out: list[tuple[int, int, int]] = []
-    known, wanted = template.tolist(), dict(zip(kinds.tolist(), times.tolist(), strict=True))
-    for k in np.flatnonzero(reach >= need).tolist():
-        a = int(spots[k])
-        if out and a > out[-1][1] or not out:
-            best = 0
-        elif out[-1][2] == m:  # inside a whole one
-            continue
-        else:
-            best = out[-1][2]
-        stretch = words[a: a + width].tolist()
-        left, bound = dict(wanted), 0
-        for w in stretch:
-            if left.get(w, 0):
-                left[w] -= 1
-                bound += 1
-        if bound < need or bound <= best:
-            continue
-        pairs = patience(stretch, known)
-        if len(pairs) >= need and len(pairs) > best:
-            if best:
-                out.pop()  # a later start aligns more of the same notice
-            out.append((a + pairs[0][0], a + pairs[-1][0], len(pairs)))
+    for k in np.flatnonzero(np.diff(bounds) >= need).tolist():
+        run = spots[bounds[k]: bounds[k + 1]]
+        if np.minimum(np.bincount(at[run], minlength=len(kinds)), times).sum() >= need:
+            out += _in_run(words[run].tolist(), run.tolist(), template.tolist(), need, gap)
     return out
 
 
@@ -161,11 +196,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """``(doc_id, license, first_word, last_word, n_aligned, coverage)`` of every notice in every text; no shuffle.
 
     A text may hold several, and one notice more than once; each has its row.
+    ``templates`` maps names to texts of any length (``TEMPLATES`` where none are given).
 
     Defined results: null, empty and blank texts have none; repeated rows are
-    scanned each; null ids stay null; of overlapping stretches of one template
-    the best aligned counts, and of equal ones the first; an empty table gives no rows;
-    other columns are not read, whatever their names.
+    scanned each; null ids stay null; stretches of one template don't overlap,
+    the first that reaches ``coverage`` counts, with all that aligns next to it;
+    a full text and a notice that is part of it have a row each; an empty table
+    gives no rows; other columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -2,14 +2,17 @@
 
 import itertools
 import random
+import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chatlens.llm.html_extract import Block, blocks, edges, extract, main_text, minimum_cut
-from chatlens.llm.license_scan import TEMPLATES, patience, rising, scan
+from chatlens.llm.licence_texts import FULL_TEXTS
+from chatlens.llm.license_scan import COVERAGE, TEMPLATES, found, patience, rising, scan, word_hashes
 from chatlens.llm.nn_descent import nearest
 from chatlens.llm.toxicity import best_threshold, classify, fit_chain, without
 
@@ -172,6 +175,61 @@ def test_license_scan(spark):
     assert scan(docs.where("false")).count() == 0
 
 
+def marks(*texts):
+    return word_hashes(pa.array([" ".join(texts)]))[0]
+
+
+@pytest.mark.parametrize("every", [1, 2, 3])
+def test_a_notice_with_foreign_words_in_between_is_found_whole(every):
+    words = TEMPLATES["MIT-permission"].split()
+    template = marks(TEMPLATES["MIT-permission"])
+    mixed = " ".join(w + " xyzzy" * (k % every == 0) for k, w in enumerate(words))
+    text = marks("before it", mixed, "behind it")
+    (first, last, many), = found(text, template, COVERAGE)
+    assert many == len(template) and first == 2 and text[last] == template[-1] and last >= len(text) - 4
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_notices_are_found_where_a_whole_comparison_finds_them():
+    """Edited notices in prose made partly of the template's own words, against common subsequences of every stretch."""
+    rnd = random.Random(8)
+    name = "Apache-2.0-header"
+    words = re.findall(r"[a-z0-9]+", TEMPLATES[name].lower())
+    template = marks(TEMPLATES[name])
+    for trial in range(120):
+        prose = [rnd.choice(words[:12] if rnd.random() < 0.3 else ["lorem", "ipsum", "dolor"]) for _ in range(60)]
+        kept = [w for w in words if rnd.random() > (0.05 if trial % 3 else 0.4)]
+        for _ in range(rnd.randrange(6)):
+            kept.insert(rnd.randrange(len(kept)), "foreign")
+        text = prose[:30] + kept + prose[30:]
+        got = found(marks(*text), template, COVERAGE)
+        share = longest_common(kept, words) / len(words)
+        if share >= 0.9:
+            assert len(got) == 1 and got[0][2] >= COVERAGE * len(words)
+        if longest_common(text, words) < np.ceil(COVERAGE * len(words)):
+            assert got == []
+        for first, last, many in got:
+            assert np.ceil(COVERAGE * len(words)) <= many <= longest_common(text[first: last + 1], words)
+            assert first >= 15 and last < len(text) - 15
+
+
+def test_full_texts_and_copies_of_them():
+    for name, text in FULL_TEXTS.items():
+        template = marks(text)
+        n = len(template)
+        assert found(marks("Copyright (c) 2020 Somebody", text, text.upper(), "tail"), template, COVERAGE) == [(4, 3 + n, n), (4 + n, 3 + 2 * n, n)], name
+        assert found(template[: n // 2], template, COVERAGE) == []
+
+
 def brute_nearest(rows, top):
     out = {}
     good = {i: np.array(v, float) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8}

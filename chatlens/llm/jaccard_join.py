@@ -37,6 +37,10 @@ FRAGMENT_BYTES, FRAGMENTS = 12 << 20, (64, 4096)
 LARGEST_BYTES = 128 << 20
 #: Text bytes whose documents' narrow rows are one group.
 ROWS_BYTES = 256 << 10
+#: Bytes of shared n-grams in one counting task; a bucket with more has more rows and columns of tasks.
+CELL_BYTES = 4 << 20
+#: Rows that the join by class deals a class to.
+CLASS_SALTS = 16
 #: Expanded n-grams that one counting step holds.
 COUNT_BLOCK = 4 << 20
 
@@ -251,16 +255,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     groups = min(1 << bits, FRAGMENTS[1]) // 16  # fragments are dealt to so many counting tasks of a bucket
     buckets = max(1, volume // (64 << 20))
+    lane = f"shiftleft(1L, cast({{}} % {groups} % 64 as int))"  # a set's groups as a mask; from 64 groups on, groups share a bit
+    lanes = kept.groupBy("node").agg(F.max("m_all").alias("m"), F.expr(f"bit_or({lane.format('fragment')})").alias("lanes"))
     coarse = components(star.select("a", "b")).select("node", F.pmod(F.xxhash64("comp"), F.lit(buckets)).cast("int").alias("bucket"))
-    coarse = stored(coarse, "coarse")
-    ready = stored(kept.join(coarse, "node").select("bucket", F.expr(f"fragment % {groups}").alias("g"), "fragment", "node", "tokens"), "ready")
+    coarse = stored(coarse.join(lanes, "node"), "coarse")
+    # Of these there are at most 8 * (all shared n-grams) / (groups * CELL_BYTES): groups grow with the volume to 256, so 100 TB have about 100,000.
+    wide = coarse.groupBy("bucket").agg(F.ceil(F.sum("m") * F.lit(8 / (groups * CELL_BYTES))).alias("across")).where("across > 1")
+    coarse = coarse.join(F.broadcast(wide), "bucket", "left").select(
+        "node", "bucket", "lanes", F.coalesce("across", F.lit(1)).alias("across"))
+    coarse = stored(coarse.withColumn("place", F.expr("pmod(xxhash64(node), across)")), "placed")
     like = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """The linked ones of ``pairs``.
+
+        A bucket's pairs lie in ``across`` rows and columns of cells, by the
+        places of both ends, so pairs of one set with very many others part; a
+        set's segments go to the cells that its pairs are in, and a pair to the
+        groups of fragments where both sets may have segments.
+        """
         pairs = stored(pairs, "pairs")
-        dealt = pairs.join(coarse.select(F.col("node").alias("a"), "bucket"), "a").select(
-            "bucket", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "a", "b")
-        parts = ready.groupBy("bucket", "g").cogroup(dealt.groupBy("bucket", "g")).applyInArrow(_overlaps(bits), "a long, b long, part long")
+        ends = [coarse.select(F.col("node").alias(x), F.col("place").alias(f"p{x}"), F.col("lanes").alias(f"l{x}"), *more)
+                for x, more in (("a", ("bucket", "across")), ("b", ()))]
+        celled = stored(pairs.join(ends[0], "a").join(ends[1], "b").select(
+            "a", "b", "bucket", F.expr("pa * across + pb").alias("cell"), F.expr("la & lb").alias("both")).where("both <> 0"), "celled")
+        dealt = celled.select("a", "b", "bucket", "cell", F.explode(F.expr(f"filter(sequence(0, {groups - 1}), g -> both & {lane.format('g')} <> 0)")).alias("g"))
+        called = celled.select(F.explode(F.array("a", "b")).alias("node"), F.col("bucket").alias("of"), F.col("cell").alias("to")).distinct()
+        sent = kept.join(called, "node").select(F.col("of").alias("bucket"), F.col("to").alias("cell"), F.expr(f"fragment % {groups}").alias("g"), "fragment", "node", "tokens")
+        by = ["bucket", "cell", "g"]
+        parts = sent.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_overlaps(bits), "a long, b long, part long")
         total = parts.groupBy("a", "b").agg(F.sum("part").alias("o"))
         return stored(total.join(pairs, ["a", "b"]).where(f"{den} * o >= {num} * (na + nb - o)").select("a", "b"), "links")
 
@@ -296,10 +319,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = linked(cross.join(tried, ["a", "b"], "left_anti"))
     whole = components(near.unionByName(more))
 
-    owner = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    named = owner.join(whole, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_node = named.join(least, "comp").select("node", "comp", "component_id")
+    owner = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id")), "owner")
+    member = stored(whole.join(owner, "node"), "member")  # of classes of two sets or more
+    least = member.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))))
+    named = member.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node), {CLASS_SALTS}) as int)")).join(least, ["comp", "salt"])
+    by_node = owner.join(named.select("node", "comp", "component_id"), "node", "left").select(
+        "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "least_id").alias("component_id"))
     return rows.join(by_node, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from chatlens.llm import jaccard_join
 from chatlens.llm.components import components
 from chatlens.llm.decontaminate import leaks, without_leaks
 from chatlens.llm.jaccard_join import jaccard_components, one_of_each
@@ -80,6 +81,16 @@ def test_jaccard_classes_equal_brute_force_on_a_group_that_needs_chains(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("room", [200, 1 << 40])
+def test_a_class_over_many_cells_loses_no_link(spark, monkeypatch, room):
+    words = BASE.split()
+    rows = [(k, " ".join(words[:7] + [f"v{k}"] + words[8:] if k % 3 else words[k % 40:] + words)) for k in range(90)]  # near copies of one text
+    rows += [(500 + k, " ".join([f"far{k}_{j}" for j in range(12)] + words[:10])) for k in range(30)] + [(900, "one two"), (901, "One two")]
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", room)
+    got = sorted(((r[0], r[1], r[2]) for r in jaccard_components(frame(spark, rows)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
 def test_jaccard_threshold_is_met_exactly(spark):
     a = " ".join(f"s{i}" for i in range(18))  # 14 shingles
     w = a.split()

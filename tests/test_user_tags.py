@@ -97,6 +97,21 @@ def test_the_index_compares_few_pairs(spark):
     assert ki.indexed_matches(rows, kws, "k", "_v", True).count() == 0
 
 
+@pytest.mark.parametrize("literal", [True, False])
+def test_pairs_are_made_once_and_last(spark, literal):
+    """Tags and rows that share several keywords give one pair; no pair is shuffled or compared with others."""
+    rows = [(None if i == 0 else f"k{i % 40}", f"a{i % 7} b{i % 3}", f"c{i % 5}", None, ["a1", f"b{i % 2}"]) for i in range(80)]
+    tags = [(None if i == 0 else i, [f"A{i % 9}", f"b{i % 4}", f" a{i % 9}", "zzz", f"c{i % 6}"]) for i in range(90)] + [(0, ["a1 b1"]), (0, ["b1"])]
+    df, tg = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(tags, "tag_id int, keywords array<string>")
+    found = user_tags.match_keywords(df, tg, literal, index=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Join")]
+    holds = lambda r, ks: any(k.strip().lower() in v for k in ks for v in (r[1], r[2], " ".join(r[4])))
+    want = {(t, r[0]) for t, ks in tags for r in rows if holds(r, ks)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 2000
+
+
 def test_counts_and_duplicates(spark):
     assign = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "tag_id int, conversation_hash string")
     c = {r.tag_id: r.match_count for r in user_tags.match_counts(assign, fx.user_tags(spark)).collect()}

@@ -16,6 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ RUN = re.compile(r"\w+|\W+")
 UNTAGGED = "untagged"
 #: Keywords, in bytes, that each task holds whole; more are joined to the rows.
 HELD_BYTES = 8 << 20
+#: Bytes of text and keywords that Python takes from a batch at once.
+SLICE_BYTES = 1 << 20
 
 
 def keyword_rows(dictionary: DataFrame) -> DataFrame:
@@ -90,6 +93,21 @@ def _tagged(ids: pa.Array, tags: list[list[str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array([t or [UNTAGGED] for t in tags], pa.list_(pa.string()))], names=["id", "tags"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``SLICE_BYTES``: Spark puts thousands of rows in one, and their runs as Python strings take many times its bytes."""
+    for batch in batches:
+        start, size = 0, 0
+        lengths = pc.binary_length(batch.column(1)).to_pylist()
+        listed = pc.list_value_length(batch.column(2)).to_pylist() if batch.num_columns > 2 else [0] * len(lengths)
+        for i, (n, k) in enumerate(zip(lengths, listed, strict=True)):
+            size += (n or 0) + 100 * (k or 0)
+            if size >= SLICE_BYTES or i - start == 999:
+                yield batch.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def tag_by_table(df: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, min_hits: int = 1, held: bool | None = None) -> DataFrame:
     """``(id, tags)`` of every row: the topics with ``min_hits`` distinct keywords in the text, by name, or ``untagged``.
 
@@ -114,7 +132,7 @@ def _held(rows: DataFrame, words: DataFrame, min_hits: int, schema: str) -> Data
         (by_run[run] if whole else within).append((r["topic"], r["kw"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 candidates = defaultdict(list)
@@ -139,7 +157,7 @@ def _joined(rows: DataFrame, words: DataFrame, min_hits: int, schema: str) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([w for _, w in found], pa.bool_())], names=["kw", "run", "whole"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             runs = [sorted(set(RUN.findall(t))) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.string()))], names=["id", "runs"])
 
@@ -153,7 +171,7 @@ def _joined(rows: DataFrame, words: DataFrame, min_hits: int, schema: str) -> Da
     candidates = held.join(looked, "run").groupBy("id").agg(F.collect_set(F.struct("topic", "kw")).alias("keywords"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text, keywords in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 by_topic = defaultdict(list)

@@ -52,6 +52,48 @@ def test_a_large_dictionary_is_joined(spark, monkeypatch):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("held", [True, False])
+def test_a_batch_is_taken_in_slices(spark, monkeypatch, held):
+    """However many rows Spark puts in a batch, Python makes the runs and keywords of a few at once."""
+    import pyarrow as pa
+    n = 3000
+    text = " ".join(f"w{i}" for i in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None, text, ""] * (n // 3))], names=["id", "text"])
+    seen = []
+
+    class Frame:
+        def mapInArrow(self, f, schema):
+            seen.append([b.num_rows for b in f(iter([batch]))])
+            raise StopIteration
+
+    class Words:
+        def collect(self):
+            return [{"topic": "t", "kw": "w1"}]
+
+        def select(self, *_):
+            return self
+
+        distinct = select
+
+        def mapInArrow(self, f, schema):
+            return self
+
+    with pytest.raises(StopIteration):
+        (dic._held if held else dic._joined)(Frame(), Words(), 1, "id long, tags array<string>")
+    assert sum(seen[0]) == n and max(seen[0]) * len(text) < 4 * dic.SLICE_BYTES and len(seen[0]) > 1
+
+
+def test_slices_hold_all_rows():
+    import pyarrow as pa
+    texts = ["x" * (7919 * i % 60_000) if i % 5 else None for i in range(1500)]
+    words = [[{"topic": "t", "kw": "k"}] * (i % 300) if i % 4 else None for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts), pa.array(words)], names=["id", "text", "keywords"])
+    for b in (batch, batch.select(["id", "text"]), batch.slice(0, 0), batch.slice(3, 1)):
+        got = list(dic._slices([b]))
+        assert sum((g.to_pylist() for g in got), []) == b.to_pylist()
+        assert all(sum(len(r["text"] or "") for r in g.to_pylist()[:-1]) < dic.SLICE_BYTES for g in got)
+
+
 def test_dictionary_table_as_a_mapping(spark):
     table = spark.createDataFrame([("b", "y"), ("a", "x"), ("b", "x"), ("b", "y")], "topic string, keyword string")
     assert dic.dictionary_of(table) == {"a": ["x"], "b": ["x", "y"]}

@@ -112,6 +112,62 @@ def test_pairs_are_made_once_and_last(spark, literal):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 2000
 
 
+def row_shuffles(df, key="conversation_hash"):
+    """``(columns, rows, bytes)`` of each shuffle of rows with their key, as it ran."""
+    def walk(node):
+        if hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            yield from walk(node.plan())
+        elif node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            names = [node.output().apply(i).name() for i in range(node.output().size())]
+            if key in names:
+                yield names, *(node.metrics().apply(m).value() for m in ("shuffleRecordsWritten", "dataSize"))
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.fixture()
+def shuffled_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keywords_go_with_rows_as_numbers(spark, shuffled_joins):
+    """However long the keywords are, what is shuffled with a key is small."""
+    words = [c * 300 for c in "abcdefgh"]
+    df = spark.createDataFrame([(f"{i:032x}", words[i % 8] + words[(i + 1) % 8] + words[(i + 3) % 8], None, None, None) for i in range(400)], SCHEMA)
+    tags = spark.createDataFrame([(i, [words[i % 8], words[(i + 1) % 8]]) for i in range(24)], "tag_id int, keywords array<string>")
+    found = user_tags.match_keywords(df, tags, index=True)
+    got = [tuple(r) for r in found.collect()]
+    want = {(t, f"{i:032x}") for t in range(24) for i in range(400) if {t % 8, (t + 1) % 8} & {i % 8, (i + 1) % 8, (i + 3) % 8}}
+    assert len(got) == len(set(got)) and set(got) == want
+    ran = [(names, size / n) for names, n, size in row_shuffles(found) if "v" not in names and n]
+    assert ran and all(x < 200 for _, x in ran), ran
+
+
+def test_packed_keys_come_back(spark):
+    from chatlens.operators.keyword_index import packed, unpacked
+    keys = ["", "a", "0a", "0A", "00", "abc", "g1", "d41d8cd98f00b204e9800998ecf8427e", "D41D8CD98F00B204E9800998ECF8427E", "é", "日本", "\x00", "\x01", "\x01ab", " 0a", None]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", packed(F.col("k")).alias("p")).select("k", "p", unpacked(F.col("p")).alias("u")).collect()
+    assert [r.u for r in rows] == keys and len({None if r.p is None else bytes(r.p) for r in rows}) == len(keys)
+    assert len(rows[7].p) == 17
+
+
+@pytest.mark.parametrize("keys", ["long", "mixed"])
+def test_index_takes_any_keys(spark, keys):
+    """Keys that are no text, and texts that are alike but for case or a leading zero."""
+    names = {"long": (list(range(40)) + [None], "bigint"), "mixed": (["0a", "0A", "a", "", "é", None] * 5, "string")}[keys]
+    rows = [(k, f"a{i % 5}", None, None, [f"b{i % 3}"]) for i, k in enumerate(names[0])]
+    df = spark.createDataFrame(rows, SCHEMA.replace("conversation_hash string", f"conversation_hash {names[1]}"))
+    tags = spark.createDataFrame([(i, [f"a{i}", f"b{i % 4}"]) for i in range(8)], "tag_id int, keywords array<string>")
+    got = [tuple(r) for r in user_tags.match_keywords(df, tags, index=True).collect()]
+    want = {(i, r[0]) for i in range(8) for r in rows if r[1] == f"a{i}" or r[4] == [f"b{i % 4}"]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_counts_and_duplicates(spark):
     assign = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "tag_id int, conversation_hash string")
     c = {r.tag_id: r.match_count for r in user_tags.match_counts(assign, fx.user_tags(spark)).collect()}

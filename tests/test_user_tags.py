@@ -135,6 +135,18 @@ def shuffled_joins(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("literal", [True, False])
+def test_rows_without_a_keyword_are_not_shuffled(spark, shuffled_joins, literal):
+    """Of 2,000 rows with four values each, 20 hold a keyword."""
+    df = spark.range(2000).selectExpr("md5(cast(id as string)) as conversation_hash", "concat('model ', id) as model", "'en' as language", "concat('land ', id % 7) as country",
+                                      "array('x', if(id % 100 = 0, 'a rare one', concat('usual ', id))) as tags")
+    tags = spark.range(50).selectExpr("cast(id as int) as tag_id", "array('rare one', concat('none ', id)) as keywords")
+    found = user_tags.match_keywords(df, tags, literal, index=True)
+    assert len(found.collect()) == 20 * 50
+    ran = row_shuffles(found)
+    assert ran and all(n <= 30 for _, n, _ in ran), ran
+
+
 def test_keywords_go_with_rows_as_numbers(spark, shuffled_joins):
     """However long the keywords are, what is shuffled with a key is small."""
     words = [c * 300 for c in "abcdefgh"]
